@@ -72,6 +72,11 @@ def window_rows_sliced(windows: DataFrame, rows: DataFrame, profile: Profile, ho
     return _joined(windows, spread, probes, [*profile.join_keys, "_slice"], profile, how, start, end)
 
 
+def event_messages(events: DataFrame, profile: Profile) -> DataFrame:
+    """All call events inside each window, from its first marker to the failure."""
+    return window_rows(failure_windows(events, profile), events, profile, "left")
+
+
 def spread_size(windows: DataFrame, profile: Profile, start: str = START, end: str = END) -> int:
     """How many rows the windows make when spread over their time slices."""
     if profile.chunk_seconds is None:

@@ -1,7 +1,7 @@
 """Probe tables derived from a plain event log.
 
 The log has ``event_id, ts, user_id, event_type, value, props`` with
-``props = {"k": n}``. A user plays a work order, ten users share a device, and
+``props = {"k": n}``. A user plays a work order, two users share a device, and
 type and ``k`` of an event decide which probe rows it makes. With this the whole
 analysis runs on ordinary event data.
 """
@@ -13,9 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from callcause import schemas as S
 from callcause.plans.diagnosis import ProbeTables
 
-DEVICES = 10
-
-
 def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("long")
 
@@ -24,7 +21,7 @@ def _base(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("ts").cast("timestamp").alias("Time"),
         F.col("user_id").alias("WorkOrderId"),
-        (F.col("user_id") % DEVICES).alias("Device"),
+        F.floor(F.col("user_id") / 2).alias("Device"),
         "event_id", "event_type", "value", _k().alias("k"))
 
 
@@ -51,6 +48,19 @@ def call_events(events: DataFrame) -> DataFrame:
     return _base(events).select("Time", "WorkOrderId", "Device", text.alias("Event_CallEvent"), *_context(k))
 
 
+def probe_rows(events: DataFrame) -> DataFrame:
+    """Views and clicks as they are."""
+    return _base(events).filter(_kind("view", "click")).select(
+        "Time", "WorkOrderId", "Device", "event_type", "value", "k")
+
+
+def device_services(events: DataFrame) -> DataFrame:
+    """A device dimension: every third device downloads, every third uploads, the others talk."""
+    number = F.col("Device") % 3
+    service = F.when(number == 0, "IPERF3_DL").when(number == 1, "IPERF3_UL").otherwise("VOICE")
+    return _base(events).select("Device", service.alias("ServiceName")).distinct()
+
+
 def measurements(events: DataFrame) -> DataFrame:
     """One radio sample per view or click; some have a value missing."""
     k = F.col("k")
