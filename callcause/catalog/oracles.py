@@ -316,16 +316,24 @@ def oracle_sql() -> dict[str, str]:
     last = ('last_report as "Last_Report_Time", pcis as "NR5G_PCC_PCI_Last", rsrp_l as "NR5G_PCC_RSRP_Last", '
             f'sinr_l as "NR5G_PCC_SINR_Last", cells <= 1 as "One_Cell", {_POOR_LAST} as "Poor_Last"')
     window = f"{_base()} select {_KEY}, {_SPAN} from w"
+    suspected = _relation(f"""
+        select t as "Time", dev as "Device", wo as "WorkOrderId", {_CONTEXT_OUT.format(a="fil")},
+               pci as "S_PCI", freq as "S_Freq", t_pci as "T_PCI", t_freq as "T_Freq"
+        from fil where not exists (select 1 from suc where suc.wo = fil.wo and suc.dev = fil.dev
+            and suc.s_pci = fil.pci and suc.s_freq = fil.freq and suc.t_pci = fil.t_pci
+            and suc.t_freq is not distinct from fil.t_freq)""")
     devices_of_two = "dev % 3 in (0, 1)"
     text_time = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f') as \"{n}\""
     return {
         "failure_windows": window,
+        "failure_windows_sliced": window,
         "failure_windows_traffic_fail": f"{_base('Traffic Fail')} select {_KEY}, {_SPAN} from w",
         "window_rows_left": _window_rows("left"),
         "window_rows_inner": _window_rows("inner"),
         "window_rows_bucketed": _window_rows("left"),
         "window_rows_keyed": _window_rows("inner"),
         "window_rows_linear": _window_rows("inner"),
+        "window_rows_linear_sliced": _window_rows("inner"),
         "window_rows_by_device": _window_rows("inner", "dev"),
         "event_messages": f"""{_base()} select {_KEY}, {_SPAN}, ev.ts as "Time",
             case when event_type = 'signup' then '"Setup Start"' when event_type = 'purchase' then '"Call End"'
@@ -371,6 +379,7 @@ def oracle_sql() -> dict[str, str]:
         "reference_columns": f"""{_base()} select {_KEY}, ev.ts as "Time", {_CONTEXT_OUT.format(a="ev")}
             from w join ev on ev.wo = w.wo and ev.ts = w.e""",
         "diagnosis_v2": _diagnosis_v2(),
+        "diagnosis_v2_sliced": _diagnosis_v2(),
         "diagnosis_v1": _diagnosis_v1(),
         "diagnosis_v2_traffic_fail": _diagnosis_v2("Traffic Fail"),
         "diagnosis_v1_traffic_fail": _diagnosis_v1("Traffic Fail"),
@@ -415,12 +424,8 @@ def oracle_sql() -> dict[str, str]:
                   on l.l_orderkey = third.l_orderkey and l.l_partkey = third.l_partkey group by 1, 2)
             select f.l_orderkey, f.l_partkey, l.l_linenumber, l.l_quantity
             from f left join l on l.l_orderkey = f.l_orderkey and l.r = f.r""",
-        "suspected_missing_relations": _relation(f"""
-            select t as "Time", dev as "Device", wo as "WorkOrderId", {_CONTEXT_OUT.format(a="fil")},
-                   pci as "S_PCI", freq as "S_Freq", t_pci as "T_PCI", t_freq as "T_Freq"
-            from fil where not exists (select 1 from suc where suc.wo = fil.wo and suc.dev = fil.dev
-                and suc.s_pci = fil.pci and suc.s_freq = fil.freq and suc.t_pci = fil.t_pci
-                and suc.t_freq is not distinct from fil.t_freq)"""),
+        "suspected_missing_relations": suspected,
+        "suspected_missing_relations_sliced": suspected,
         "table_scan": "select o_orderkey, o_custkey, o_orderpriority from orders",
         "device_lookup": """select event_id, user_id, event_type, value from events
             where user_id in (select c_custkey from customer where c_mktsegment = 'BUILDING')""",

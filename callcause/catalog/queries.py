@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,12 +14,14 @@ from callcause.plans import diagnosis
 from callcause.plans.diagnosis import ProbeTables
 from callcause.plans.services import diagnose_services
 from callcause.profile import Profile
-from callcause.session import ensure_checkpoint_dir, settle
+from callcause.session import new_path, settle
 from callcause.sources import event_log, sinks, tables
 
 # The event log spans weeks and its events are hours apart, so gaps and slices are wide here.
 # Six digits keep rounding equal in other engines.
-PROFILE = Profile(chunk_seconds=5 * 86_400, digits=6, bler_ceiling=60.0, pingpong_seconds=259_200.0)
+PROFILE = Profile(slice_seconds=5 * 86_400, digits=6, bler_ceiling=60.0, pingpong_seconds=259_200.0)
+# The same with every series cut into slices, as it is for very long ones.
+SLICED = PROFILE.with_(chunk_seconds=5 * 86_400)
 PROFILE_V1 = PROFILE.with_(version="v1")
 FAIL = PROFILE.with_(marker="Traffic Fail")
 FAIL_V1 = FAIL.with_(version="v1")
@@ -47,17 +48,29 @@ def _tables(spark: SparkSession, folder: str) -> ProbeTables:
     return event_log.probe_tables(_events(spark, folder))
 
 
+def _calls(spark: SparkSession, folder: str) -> DataFrame:
+    return event_log.call_events(_events(spark, folder))
+
+
+def _measurements(spark: SparkSession, folder: str) -> DataFrame:
+    return event_log.measurements(_events(spark, folder))
+
+
+def _signalling(spark: SparkSession, folder: str) -> DataFrame:
+    return event_log.signalling(_events(spark, folder))
+
+
 def _probe_rows(spark: SparkSession, folder: str) -> DataFrame:
     return event_log.probe_rows(_events(spark, folder))
 
 
 def _windows(spark: SparkSession, folder: str, profile: Profile = PROFILE) -> DataFrame:
-    return windows.failure_windows(_tables(spark, folder).events, profile)
+    return windows.failure_windows(_calls(spark, folder), profile)
 
 
 def _tagged(spark: SparkSession, folder: str, profile: Profile = PROFILE) -> DataFrame:
     found = _windows(spark, folder, profile)
-    return signalling.tagged_signalling(found, _tables(spark, folder).signalling, profile)
+    return signalling.tagged_signalling(found, _signalling(spark, folder), profile)
 
 
 def _signalling_facts(spark: SparkSession, folder: str, profile: Profile = PROFILE) -> DataFrame:
@@ -66,7 +79,7 @@ def _signalling_facts(spark: SparkSession, folder: str, profile: Profile = PROFI
 
 def _radio_facts(spark: SparkSession, folder: str, profile: Profile = PROFILE) -> DataFrame:
     found = _windows(spark, folder, profile)
-    return radio.radio_facts(found, _tables(spark, folder).measurements, profile)
+    return radio.radio_facts(found, _measurements(spark, folder), profile)
 
 
 # --- windows and interval joins -------------------------------------------------
@@ -76,6 +89,11 @@ def failure_windows(spark, folder):
     return _windows(spark, folder)
 
 
+@query
+def failure_windows_sliced(spark, folder):
+    return _windows(spark, folder, SLICED)
+
+
 @query
 def failure_windows_traffic_fail(spark, folder):
     return _windows(spark, folder, FAIL)
@@ -93,8 +111,8 @@ def window_rows_inner(spark, folder):
 
 @query
 def window_rows_bucketed(spark, folder):
-    return windows.window_rows_sliced(_windows(spark, folder), _probe_rows(spark, folder), PROFILE,
-                                      "left", seconds=43_200)
+    narrow = PROFILE.with_(slice_seconds=43_200)
+    return windows.window_rows(_windows(spark, folder), _probe_rows(spark, folder), narrow, "left")
 
 
 @query
@@ -104,7 +122,12 @@ def window_rows_keyed(spark, folder):
 
 @query
 def window_rows_linear(spark, folder):
-    return windows.window_rows_linear(_tables(spark, folder).events, _probe_rows(spark, folder), PROFILE)
+    return windows.window_rows_linear(_calls(spark, folder), _probe_rows(spark, folder), PROFILE)
+
+
+@query
+def window_rows_linear_sliced(spark, folder):
+    return windows.window_rows_linear(_calls(spark, folder), _probe_rows(spark, folder), SLICED)
 
 
 @query
@@ -114,7 +137,7 @@ def window_rows_by_device(spark, folder):
 
 @query
 def event_messages(spark, folder):
-    found = _tables(spark, folder).events.select("Time", "WorkOrderId", "Device", "Event_CallEvent")
+    found = _calls(spark, folder).select("Time", "WorkOrderId", "Device", "Event_CallEvent")
     return windows.event_messages(found, PROFILE)
 
 
@@ -153,25 +176,25 @@ def roaming_v1(spark, folder):
 
 @query
 def message_class(spark, folder):
-    rows = signalling.message_class(_tables(spark, folder).signalling, PROFILE)
+    rows = signalling.message_class(_signalling(spark, folder), PROFILE)
     return rows.select("Device", "WorkOrderId", "Time", "RRC_NR5G_event", signalling.CHECK)
 
 
 @query
 def event_a3_config(spark, folder):
-    rows = signalling.narrow(_tables(spark, folder).signalling, PROFILE)
+    rows = signalling.narrow(_signalling(spark, folder), PROFILE)
     return rows.select("Device", "WorkOrderId", "Time", signalling.TARGET, signalling.OFFSET,
                        signalling.CLASS)
 
 
 @query
 def handover_success(spark, folder):
-    return handover.handover_success(_tagged(spark, folder), PROFILE)
+    return handover.handover_success(settle(_tagged(spark, folder)), PROFILE)
 
 
 @query
 def handovers(spark, folder):
-    return handover.handovers(_tagged(spark, folder), PROFILE)
+    return handover.handovers(settle(_tagged(spark, folder)), PROFILE)
 
 
 @query
@@ -183,24 +206,24 @@ def last_report_subwindow(spark, folder):
 @query
 def subwindow_radio(spark, folder):
     found = last_report_subwindow(spark, folder)
-    return radio.subwindow_radio(found, _tables(spark, folder).measurements, PROFILE)
+    return radio.subwindow_radio(found, _measurements(spark, folder), PROFILE)
 
 
 @query
 def subwindow_radio_v1(spark, folder):
     found = last_report_subwindow(spark, folder)
-    return radio.subwindow_radio(found, _tables(spark, folder).measurements, PROFILE_V1)
+    return radio.subwindow_radio(found, _measurements(spark, folder), PROFILE_V1)
 
 
 def _stretch(spark, folder, found, tagged):
     facts = signalling.signalling_facts(tagged, PROFILE)
-    return handover.last_stretch_facts(found, facts, _tables(spark, folder).measurements, PROFILE)
+    return handover.last_stretch_facts(found, facts, _measurements(spark, folder), PROFILE)
 
 
 @query
 def handover_failure(spark, folder):
     found = _windows(spark, folder)
-    tagged = settle(signalling.tagged_signalling(found, _tables(spark, folder).signalling, PROFILE))
+    tagged = settle(signalling.tagged_signalling(found, _signalling(spark, folder), PROFILE))
     success = handover.handover_success(tagged, PROFILE)
     return handover.handover_failure(_stretch(spark, folder, found, tagged), success, PROFILE)
 
@@ -213,7 +236,7 @@ def missing_neighbour(spark, folder):
 
 @query
 def rach_failure(spark, folder):
-    facts = access.rach_facts(_windows(spark, folder), _tables(spark, folder).rach, PROFILE)
+    facts = access.rach_facts(_windows(spark, folder), event_log.rach(_events(spark, folder)), PROFILE)
     return access.rach_failure(facts, PROFILE)
 
 
@@ -236,13 +259,13 @@ def reestablish_success(spark, folder):
 
 @query
 def high_bler(spark, folder):
-    facts = radio.bler_facts(_windows(spark, folder), _tables(spark, folder).physical, PROFILE)
+    facts = radio.bler_facts(_windows(spark, folder), event_log.physical(_events(spark, folder)), PROFILE)
     return radio.high_bler(facts, PROFILE)
 
 
 @query
 def reference_columns(spark, folder):
-    return diagnosis.reference_columns(_windows(spark, folder), _tables(spark, folder).events, PROFILE)
+    return diagnosis.reference_columns(_windows(spark, folder), _calls(spark, folder), PROFILE)
 
 
 # --- diagnoses --------------------------------------------------------------------
@@ -252,6 +275,11 @@ def diagnosis_v2(spark, folder):
     return diagnosis.diagnose(_tables(spark, folder), PROFILE)
 
 
+@query
+def diagnosis_v2_sliced(spark, folder):
+    return diagnosis.diagnose(_tables(spark, folder), SLICED)
+
+
 @query
 def diagnosis_v1(spark, folder):
     return diagnosis.diagnose(_tables(spark, folder), PROFILE_V1)
@@ -286,16 +314,17 @@ _PLACE = ("Device", "WorkOrderId", "Time", "RRC_NR5G_event")
 
 
 def _tokens(spark, folder):
-    return relations.event_token(_tables(spark, folder).signalling, PROFILE)
+    return relations.event_token(_signalling(spark, folder), PROFILE)
 
 
 def _decoded(spark, folder):
-    return relations.decoded_tokens(_tables(spark, folder).signalling, PROFILE)
+    decoded = relations.decode_messages(_tokens(spark, folder), PROFILE)
+    return relations.with_neighbours(settle(decoded), PROFILE)
 
 
 def _failed_rows(spark, folder):
-    rows = relations.rrc_sessions(_decoded(spark, folder), PROFILE)
-    return relations.not_succeeded(relations.next_targets(rows, PROFILE), PROFILE)
+    ordered = settle(relations.numbered_rows(_decoded(spark, folder), PROFILE))
+    return relations.not_succeeded(ordered, PROFILE)
 
 
 def _grouped(spark, folder):
@@ -372,7 +401,7 @@ def explode_neighbours(spark, folder):
 @query
 def forward_fill(spark, folder):
     """Price of the last purchase, carried to every later event of a user."""
-    rows = _tables(spark, folder).events.select(
+    rows = _calls(spark, folder).select(
         "Device", "WorkOrderId", "Time", "Event_CallEvent",
         F.when(F.col("Event_CallEvent") == PROFILE.end_text, F.col("Latitude")).alias("T_Freq"))
     return relations.forward_fill(rows, PROFILE)
@@ -393,7 +422,12 @@ def array_lookup(spark, folder):
 
 @query
 def suspected_missing_relations(spark, folder):
-    return relations.suspected_missing_relations(_tables(spark, folder).signalling, PROFILE, settle)
+    return relations.suspected_missing_relations(_signalling(spark, folder), PROFILE)
+
+
+@query
+def suspected_missing_relations_sliced(spark, folder):
+    return relations.suspected_missing_relations(_signalling(spark, folder), SLICED)
 
 
 # --- sources and sinks ----------------------------------------------------------------
@@ -441,23 +475,16 @@ def output_projection_v1(spark, folder):
     return sinks.times_as_text(_windows(spark, folder), sinks.DATE_TEXT)
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder next to the checkpoints, which all executors see."""
-    base = ensure_checkpoint_dir(spark)
-    name = os.path.basename(tempfile.mktemp(prefix="sink-"))
-    return f"{base.rstrip('/')}/{name}"
-
-
 @query
 def sink_roundtrip(spark, folder):
-    place = _scratch(spark)
+    place = new_path(spark, "sink")
     sinks.write_table(_windows(spark, folder), place)
     return spark.read.parquet(place)
 
 
 @query
 def sink_roundtrip_csv(spark, folder):
-    place = _scratch(spark)
+    place = new_path(spark, "sink")
     found = sinks.times_as_text(_windows(spark, folder))
     sinks.write_csv(found, place)
     return spark.read.schema(found.schema).csv(place, header=True)

@@ -8,21 +8,17 @@ from callcause import schemas as S
 from callcause.functions.values import is_true
 from callcause.operators import radio as R
 from callcause.operators import signalling as G
-from callcause.operators.sequence import Following, Series, scan
+from callcause.operators.sequence import Following, scan
 from callcause.profile import Profile
 
 
-def _in_window(profile: Profile) -> Series:
-    return Series(profile.event_key, profile.columns.time, profile.tie, profile.chunk_seconds)
-
-
 def handover_success(tagged: DataFrame, profile: Profile) -> DataFrame:
     """Windows in which the ordered target cell serves the next two handover rows."""
     c = profile.columns
     event, cell = F.col(c.rrc_event), F.col(c.rrc_cell).cast("long")
     steps = tagged.filter(
         event.isin(S.RECONFIGURATION, S.RECONFIGURATION_COMPLETE) | event.rlike(S.SYSTEM_INFORMATION))
-    ahead = scan(steps, _in_window(profile), {"_cell1": Following(cell), "_cell2": Following(cell, 2)})
+    ahead = scan(steps, profile.series(profile.event_key), {"_cell1": Following(cell), "_cell2": Following(cell, 2)})
     target = F.col(G.TARGET)
     return (ahead.filter((target == F.col("_cell1")) & (target == F.col("_cell2")))
             .select(*profile.event_key).distinct())
@@ -38,7 +34,7 @@ def handovers(tagged: DataFrame, profile: Profile) -> DataFrame:
     ties = [name for name in profile.tie if name != c.time]
     steps = (tagged.withColumn("_step", step).filter(F.col("_step").isNotNull())
              .select(*profile.event_key, c.time, *ties, "_step"))
-    ahead = scan(steps, _in_window(profile), {"_step1": Following(F.col("_step")),
+    ahead = scan(steps, profile.series(profile.event_key), {"_step1": Following(F.col("_step")),
                                               "_step2": Following(F.col("_step"), 2)})
     return ahead.filter((F.col("_step") == "sent") & (F.col("_step1") == "received")
                         & (F.col("_step2") == "completed")).drop("_step", "_step1", "_step2")
@@ -47,7 +43,7 @@ def handovers(tagged: DataFrame, profile: Profile) -> DataFrame:
 def pingpong_windows(tagged: DataFrame, profile: Profile) -> DataFrame:
     """Windows with three handovers in which both gaps are short."""
     time = profile.columns.time
-    ahead = scan(handovers(tagged, profile), _in_window(profile),
+    ahead = scan(handovers(tagged, profile), profile.series(profile.event_key),
                  {"_time1": Following(F.col(time)), "_time2": Following(F.col(time), 2)})
 
     def seconds(later: str, earlier: str) -> Column:

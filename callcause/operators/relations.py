@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
 from callcause import schemas as S
 from callcause.functions.messages import decode_downlink, decode_uplink
 from callcause.functions.values import look_up, second_word
-from callcause.operators.sequence import (Following, LastKnown, NextKnown, RunningSum, Series,
-                                          Step, scan)
+from callcause.operators.sequence import (Following, LastKnown, NextKnown, RunningSum, Step,
+                                          scan)
 from callcause.profile import Profile
+from callcause.session import settle
+
+Keep = Callable[[DataFrame], DataFrame] | None
 
 SESSION, GROUP, CARRIED_ID = "Session", "Report_Group", "Carried_MeasId"
 RELATION = ("S_PCI", "S_Freq", "T_PCI", "T_Freq")
@@ -19,10 +22,6 @@ RELATION = ("S_PCI", "S_Freq", "T_PCI", "T_Freq")
 _NO_ID = -1
 
 
-def _series(profile: Profile) -> Series:
-    return Series(profile.keys, profile.columns.time, profile.tie, profile.chunk_seconds)
-
-
 def _is(profile: Profile, token: str):
     return F.col(profile.columns.rrc_event) == token
 
@@ -41,14 +40,30 @@ def session_steps(profile: Profile) -> Mapping[str, Step]:
 
 def rrc_sessions(tokens: DataFrame, profile: Profile) -> DataFrame:
     """Number the sessions of a series; rows before the first setup have none."""
-    return scan(tokens, _series(profile), session_steps(profile))
+    return scan(tokens, profile.series(), session_steps(profile))
+
+
+def decode_messages(tokens: DataFrame, profile: Profile) -> DataFrame:
+    """Decode both kinds of messages, each row once, and drop the message text.
+
+    Reports get measurement id and neighbour cells; reconfigurations get target
+    cell, target frequency and measurement lists.
+    """
+    return decode_reconfig(_decode_reports(tokens, profile), profile).drop(profile.columns.rrc_message)
+
+
+def _decode_reports(tokens: DataFrame, profile: Profile) -> DataFrame:
+    return decode_uplink(tokens, profile.columns.rrc_message, _is(profile, S.REPORT_TOKEN))
+
+
+def with_neighbours(decoded: DataFrame, profile: Profile) -> DataFrame:
+    """Drop reports that name no neighbour."""
+    return decoded.filter(~_is(profile, S.REPORT_TOKEN) | F.col("neighbour_pcis").isNotNull())
 
 
 def decode_reports(tokens: DataFrame, profile: Profile) -> DataFrame:
     """Add measurement id and neighbour cells of reports; drop reports without neighbours."""
-    report = _is(profile, S.REPORT_TOKEN)
-    decoded = decode_uplink(tokens, profile.columns.rrc_message, report)
-    return decoded.filter(~report | F.col("neighbour_pcis").isNotNull())
+    return with_neighbours(_decode_reports(tokens, profile), profile)
 
 
 def decode_reconfig(tokens: DataFrame, profile: Profile) -> DataFrame:
@@ -66,7 +81,12 @@ def target_steps() -> Mapping[str, Step]:
 
 def next_targets(decoded: DataFrame, profile: Profile) -> DataFrame:
     """Add the target cell and frequency of the next row."""
-    return scan(decoded, _series(profile), target_steps())
+    return scan(decoded, profile.series(), target_steps())
+
+
+def numbered_rows(decoded: DataFrame, profile: Profile) -> DataFrame:
+    """Sessions and next targets in one pass."""
+    return scan(decoded, profile.series(), {**session_steps(profile), **target_steps()})
 
 
 def _succeeded(profile: Profile):
@@ -117,7 +137,7 @@ def session_has_report(failed: DataFrame, profile: Profile) -> DataFrame:
     Sessions are stretches of a series, so the nearest id on either side tells:
     no join, and no frame over a whole session.
     """
-    return (scan(failed, _series(profile), _sighting_steps()).filter(_session_seen())
+    return (scan(failed, profile.series(), _sighting_steps()).filter(_session_seen())
             .drop("_seen_before", "_seen_after"))
 
 
@@ -128,7 +148,7 @@ def group_steps(profile: Profile) -> Mapping[str, Step]:
 
 def report_groups(rows: DataFrame, profile: Profile) -> DataFrame:
     """Number the groups: a report or setup with the reconfigurations after it."""
-    return scan(rows, _series(profile), group_steps(profile))
+    return scan(rows, profile.series(), group_steps(profile))
 
 
 def carry_steps(profile: Profile) -> Mapping[str, Step]:
@@ -142,7 +162,7 @@ def _carried_id():
 
 def carry_back_meas_id(rows: DataFrame, profile: Profile) -> DataFrame:
     """Give every row the measurement id of the report that ends its group."""
-    return (scan(rows, _series(profile), carry_steps(profile))
+    return (scan(rows, profile.series(), carry_steps(profile))
             .withColumn(CARRIED_ID, _carried_id()))
 
 
@@ -187,16 +207,18 @@ def explode_neighbours(reports: DataFrame, profile: Profile) -> DataFrame:
 
 def forward_fill(reports: DataFrame, profile: Profile) -> DataFrame:
     """Carry the last known target frequency along a series; rows of one instant share it."""
-    return scan(reports, _series(profile), {"_filled": LastKnown(F.col("T_Freq"), peers=True)}).drop(
+    return scan(reports, profile.series(), {"_filled": LastKnown(F.col("T_Freq"), peers=True)}).drop(
         "T_Freq").withColumnRenamed("_filled", "T_Freq")
 
 
-def reported_relations(failed: DataFrame, profile: Profile) -> DataFrame:
+def reported_relations(failed: DataFrame, profile: Profile, keep: Keep = None) -> DataFrame:
     """Reported cells of the rows that led to no handover, with serving and target frequency."""
     c = profile.columns
-    rows = (scan(failed, _series(profile),
+    rows = (scan(failed, profile.series(),
                  {**_sighting_steps(), **group_steps(profile), **carry_steps(profile)})
             .filter(_session_seen()).withColumn(CARRIED_ID, _carried_id()))
+    if keep is not None:
+        rows = keep(rows)
     reports = shift_to_report(
         rows.drop("meas_ids", "meas_object_ids", "object_ids", "object_frequencies"),
         config_lookup(rows, profile), profile)
@@ -220,20 +242,14 @@ def without_proven(reported: DataFrame, proven: DataFrame, profile: Profile) ->
     return reported.join(known, condition, "left_anti")
 
 
-def decoded_tokens(signalling: DataFrame, profile: Profile) -> DataFrame:
-    """Token rows with their messages decoded and the message text dropped."""
-    tokens = event_token(signalling, profile)
-    return decode_reconfig(decode_reports(tokens, profile), profile).drop(profile.columns.rrc_message)
-
-
-def suspected_missing_relations(signalling: DataFrame, profile: Profile, keep=None) -> DataFrame:
+def suspected_missing_relations(signalling: DataFrame, profile: Profile, keep: Keep = settle) -> DataFrame:
     """Neighbour cells that were reported but never handed over to.
 
-    ``keep`` stores the decoded, ordered rows once; both branches start from them.
+    ``keep`` stores what several branches read: the decoded rows, so that no
+    message is parsed twice, and the numbered rows. None recomputes them.
     """
-    ordered = scan(decoded_tokens(signalling, profile), _series(profile),
-                   {**session_steps(profile), **target_steps()})
-    if keep is not None:
-        ordered = keep(ordered)
-    reported = reported_relations(not_succeeded(ordered, profile), profile)
+    keep = keep or (lambda df: df)
+    decoded = keep(decode_messages(event_token(signalling, profile), profile))
+    ordered = keep(numbered_rows(with_neighbours(decoded, profile), profile))
+    reported = reported_relations(not_succeeded(ordered, profile), profile, keep)
     return without_proven(reported, relation_success(ordered, profile), profile)

@@ -1,10 +1,11 @@
 """Row-order operators (lag, lead, running sum, fills) for series of any length.
 
-A plain window function sorts all rows of one key in one task. Here a series is
-cut into time slices, every slice is its own window partition, and small carrier
-rows bring in what a slice needs from its neighbours: the sum so far, the last
-known value, the previous row, the rows that follow. Carriers are built from one
-summary row per slice, so only summaries of a key ever meet in one task.
+A plain window function sorts all rows of one key in one task, which is right
+while every series fits there. A longer series is cut into time slices: every
+slice is its own window partition, and small carrier rows bring in what a slice
+needs from its neighbours: the sum so far, the last known value, the previous
+row, the rows that follow. Carriers are built from one summary row per slice, so
+only summaries of a key ever meet in one task. Both ways give the same result.
 """
 
 from __future__ import annotations
@@ -17,16 +18,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 _SLICE, _EDGE, _RANK, _TARGET = "_slice", "_edge", "_rank", "_target"
 _BEFORE_ROWS, _AFTER_ROWS = -1, 1_000_000
 _BEFORE_ALL_TIME = -(2 ** 62)
+AUTO = "auto"
 
 
 @dataclass(frozen=True)
 class Series:
-    """Rows of equal keys, ordered by time and then the tie columns."""
+    """Rows of equal keys, ordered by time and then the tie columns.
+
+    ``chunk_seconds`` is the width of the slices, None for no slices, or
+    ``"auto"``: the longest series is counted first, and slices are made only
+    when it has more than ``max_rows`` rows. The count is one narrow aggregate
+    over the input, so the input should be cheap to read.
+    """
 
     keys: tuple[str, ...]
     time: str
     tie: tuple[str, ...] = ()
-    chunk_seconds: int | None = None
+    chunk_seconds: int | str | None = AUTO
+    max_rows: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -77,11 +86,14 @@ def time_slice(time: str | Column, seconds: int) -> Column:
 
 def scan(df: DataFrame, series: Series, steps: Mapping[str, Step]) -> DataFrame:
     """Add one column per step."""
+    seconds = series.chunk_seconds
+    if seconds == AUTO:
+        seconds = needed_slice(df, series.keys, series.time, series.max_rows)
     inputs = {name: f"_in_{name}" for name in steps}
     rows = df.withColumns({inputs[name]: step.value for name, step in steps.items()})
     partition, order = list(series.keys), [series.time, *series.tie]
-    if series.chunk_seconds is not None:
-        slice_ = F.coalesce(time_slice(series.time, series.chunk_seconds), F.lit(_BEFORE_ALL_TIME))
+    if seconds is not None:
+        slice_ = F.coalesce(time_slice(series.time, seconds), F.lit(_BEFORE_ALL_TIME))
         rows = rows.withColumn(_SLICE, slice_).withColumn(_EDGE, F.lit(0))
         for carriers in _carriers(rows, series, steps, inputs):
             rows = rows.unionByName(carriers, allowMissingColumns=True)
@@ -107,7 +119,7 @@ def scan(df: DataFrame, series: Series, steps: Mapping[str, Step]) -> DataFrame:
                 earlier = backward.rowsBetween(Window.unboundedPreceding, -1)
                 results[name] = F.last(value, ignorenulls=True).over(earlier)
     rows = rows.withColumns(results)
-    if series.chunk_seconds is not None:
+    if seconds is not None:
         rows = rows.filter(F.col(_EDGE) == 0)
     return rows.drop(_SLICE, _EDGE, *inputs.values())
 
@@ -190,12 +202,16 @@ def _head_carriers(rows: DataFrame, series: Series, steps: Mapping[str, Followin
     return starts.select(*series.keys, F.col(_TARGET).alias(_SLICE), F.inline("_following"))
 
 
-def slice_width(df: DataFrame, keys: tuple[str, ...], time: str, max_rows: int = 1_000_000,
-                probe_seconds: int = 3600) -> int:
-    """Widest slice in seconds that keeps the densest stretch of any key near ``max_rows`` rows.
+def needed_slice(df: DataFrame, keys: tuple[str, ...], time: str, max_rows: int,
+                 probe_seconds: int = 3600) -> int | None:
+    """None when every series has at most ``max_rows`` rows, else the width of slices that do.
 
-    One narrow aggregate; a single number comes back to the driver.
+    The width follows from the densest hour of any series. One number per
+    aggregate comes back to the driver.
     """
+    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if longest <= max_rows:
+        return None
     cells = df.groupBy(*keys, time_slice(time, probe_seconds).alias(_SLICE)).count()
-    densest = cells.agg(F.max("count")).first()[0] or 1
-    return max(1, min(30 * 86_400, probe_seconds * max_rows // densest))
+    densest = cells.agg(F.max("count")).first()[0]
+    return max(1, probe_seconds * max_rows // densest)

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from callcause.operators.sequence import (NextKnown, Previous, RunningSum, Series, scan,
-                                          time_slice)
+from callcause.operators.sequence import (AUTO, NextKnown, Previous, RunningSum, Series,
+                                          needed_slice, scan, time_slice)
 from callcause.profile import Profile
 
 NUMBER = "Failed_Event_Number"
@@ -35,9 +35,8 @@ def _extra_ties(profile: Profile) -> list[str]:
 def failure_windows(events: DataFrame, profile: Profile) -> DataFrame:
     """One row per failed event: from the marker before it (null for the first) to its own time."""
     time = profile.columns.time
-    series = Series(profile.keys, time, profile.tie, profile.chunk_seconds)
     failed = _failed(profile)
-    numbered = scan(_marker_rows(events, profile), series, {
+    numbered = scan(_marker_rows(events, profile), profile.series(), {
         START: Previous(F.col(time)),
         NUMBER: RunningSum(failed.cast("long")),
     })
@@ -57,13 +56,7 @@ def window_rows(windows: DataFrame, rows: DataFrame, profile: Profile, how: str
 
     ``how="left"`` also keeps windows without rows.
     """
-    if profile.chunk_seconds is None:
-        return window_rows_keyed(windows, rows, profile, how, start, end)
-    return window_rows_sliced(windows, rows, profile, how, start, end, profile.chunk_seconds)
-
-
-def window_rows_sliced(windows: DataFrame, rows: DataFrame, profile: Profile, how: str = "inner",
-                       start: str = START, end: str = END, seconds: int = 900) -> DataFrame:
+    seconds = profile.slice_seconds
     first, last = time_slice(start, seconds), time_slice(end, seconds)
     spread = (windows.filter(F.col(start) <= F.col(end))
               .withColumn("_slice", F.explode(F.sequence(first, last))))
@@ -79,9 +72,7 @@ def event_messages(events: DataFrame, profile: Profile) -> DataFrame:
 
 def spread_size(windows: DataFrame, profile: Profile, start: str = START, end: str = END) -> int:
     """How many rows the windows make when spread over their time slices."""
-    if profile.chunk_seconds is None:
-        return windows.count()
-    first, last = time_slice(start, profile.chunk_seconds), time_slice(end, profile.chunk_seconds)
+    first, last = time_slice(start, profile.slice_seconds), time_slice(end, profile.slice_seconds)
     return windows.agg(F.sum(last - first + 1)).first()[0] or 0
 
 
@@ -132,7 +123,10 @@ def window_rows_linear(events: DataFrame, rows: DataFrame, profile: Profile) ->
                .select(*keys, F.col(END).alias(time), F.lit(1).alias("_side"),
                        F.struct(NUMBER, KIND, START, END).alias("_closes")))
     mixed = rows.withColumn("_side", F.lit(0)).unionByName(closing, allowMissingColumns=True)
-    ahead = scan(mixed, Series(profile.keys, time, ("_side",), profile.chunk_seconds),
+    seconds = profile.chunk_seconds
+    if seconds == AUTO:
+        seconds = needed_slice(rows, profile.keys, time, profile.max_series_rows)
+    ahead = scan(mixed, Series(profile.keys, time, ("_side",), seconds),
                  {"_next": NextKnown(F.col("_closes"))})
     closed = (ahead.filter((F.col("_side") == 0) & (F.col(f"_next.{START}") <= F.col(time)))
               .select(*keys, "_next.*", time, *own))

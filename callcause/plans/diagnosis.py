@@ -73,8 +73,8 @@ def window_facts(tables: ProbeTables, profile: Profile,
     windows = failure_windows(tables.events, profile)
     if keep is not None:
         windows = keep(windows)
-        if spread_size(windows, profile) <= BROADCAST_ROWS:
-            windows = F.broadcast(windows)
+        small = spread_size(windows, profile) <= BROADCAST_ROWS
+        windows = windows.hint("broadcast" if small else "merge")
     tagged = G.tagged_signalling(windows, tables.signalling, profile)
     if keep is not None:
         tagged = keep(tagged)

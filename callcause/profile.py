@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from callcause.operators.sequence import Series
+
 
 @dataclass(frozen=True)
 class Columns:
@@ -36,9 +38,11 @@ class Profile:
     alone, so that rows of its other work orders count too.
 
     ``tie`` names columns that order rows of one instant; give the message
-    counter when the tables have one. ``chunk_seconds`` is the time slice that
-    one task handles of one series, so that a device with a large share of all
-    rows is spread over many tasks.
+    counter when the tables have one. ``slice_seconds`` is the time slice by
+    which rows and windows meet in interval joins; a few times the usual length
+    of a window is a good width. ``chunk_seconds`` cuts series of more than
+    ``max_series_rows`` rows into slices (see ``operators.sequence``), so that a
+    device with a large share of all rows is spread over many tasks.
     """
 
     marker: str = "Drop"
@@ -47,7 +51,9 @@ class Profile:
     keys: tuple[str, ...] = ("Device", "WorkOrderId")
     join_keys: tuple[str, ...] = ("Device", "WorkOrderId")
     tie: tuple[str, ...] = ()
-    chunk_seconds: int | None = 900
+    slice_seconds: int = 900
+    chunk_seconds: int | str | None = "auto"
+    max_series_rows: int = 1_000_000
     rsrp_floor: float = -110.0
     sinr_floor: float = 0.0
     bler_ceiling: float = 10.0
@@ -68,6 +74,11 @@ class Profile:
         if not set(self.join_keys) <= set(self.keys):
             raise ValueError("join_keys must be a subset of keys")
 
+    def series(self, keys: tuple[str, ...] | None = None) -> Series:
+        """How rows of one key, or of the given keys, follow each other."""
+        return Series(keys or self.keys, self.columns.time, self.tie, self.chunk_seconds,
+                      self.max_series_rows)
+
     @property
     def event_key(self) -> tuple[str, ...]:
         """Columns that identify one failed event."""

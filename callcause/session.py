@@ -1,33 +1,40 @@
-"""Session settings the jobs rely on."""
+"""Where and how jobs keep frames that several branches read."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the cluster names, a temporary one only when none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; a temporary one only in local sessions without any."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
+    folder = context.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="callcause-checkpoint-")
+        folder = tempfile.mkdtemp(prefix="callcause-")
     context.setCheckpointDir(folder)
-    return folder
+    return context.getCheckpointDir().rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a frame once and keep it in the checkpoint folder, where lost executors cannot take it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Ask for a broadcast only when the frame is counted to be small; call it on settled frames."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a frame once and read it back from the shared folder.
+
+    Lost executors cannot take it, its lineage ends here, and every reader
+    fetches only the columns it needs. Unlike an eager checkpoint it costs one
+    run of the plan, not two.
+    """
+    path = new_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,86 +8,69 @@ analysis runs on ordinary event data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from callcause import schemas as S
 from callcause.plans.diagnosis import ProbeTables
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("long")
+_KEYS = ("Time", "WorkOrderId", "Device")
+_PROBE = "event_type in ('view', 'click')"
+_CONTEXT = (
+    "k % 3 as NetworkModeId", "k % 7 as BandId", "k % 5 as CarrierId", "k % 4 as SectorId",
+    "Device as DeviceId", "k % 11 as FileId", "concat('d', k) as DimensionColumnsId",
+    "k as Epoch", "event_id as MsgId", "value as Latitude", "-value as Longitude",
+)
 
 
 def _base(events: DataFrame) -> DataFrame:
-    return events.select(
-        F.col("ts").cast("timestamp").alias("Time"),
-        F.col("user_id").alias("WorkOrderId"),
-        F.floor(F.col("user_id") / 2).alias("Device"),
-        "event_id", "event_type", "value", _k().alias("k"))
-
-
-def _kind(*names: str) -> Column:
-    return F.col("event_type").isin(*names)
-
-
-def _context(k: Column) -> list[Column]:
-    return [
-        (k % 3).alias("NetworkModeId"), (k % 7).alias("BandId"), (k % 5).alias("CarrierId"),
-        (k % 4).alias("SectorId"), F.col("Device").alias("DeviceId"), (k % 11).alias("FileId"),
-        F.concat(F.lit("d"), k).alias("DimensionColumnsId"), k.alias("Epoch"),
-        F.col("event_id").alias("MsgId"), F.col("value").alias("Latitude"),
-        (-F.col("value")).alias("Longitude"),
-    ]
+    return events.selectExpr(
+        "cast(ts as timestamp) as Time", "user_id as WorkOrderId", "user_id div 2 as Device",
+        "event_id", "event_type", "value", "cast(get_json_object(props, '$.k') as bigint) as k")
 
 
 def call_events(events: DataFrame) -> DataFrame:
     """Sign-ups set calls up, purchases end them, errors drop them (half of them as traffic failures)."""
-    k = F.col("k")
-    text = (F.when(_kind("signup"), '"Setup Start"').when(_kind("purchase"), '"Call End"')
-            .when(_kind("error") & (k % 2 == 0), "Data Drop, Traffic Fail")
-            .when(_kind("error"), "Data Drop").otherwise(F.col("event_type")))
-    return _base(events).select("Time", "WorkOrderId", "Device", text.alias("Event_CallEvent"), *_context(k))
+    return _base(events).selectExpr(*_KEYS, """
+        case when event_type = 'signup' then '"Setup Start"'
+             when event_type = 'purchase' then '"Call End"'
+             when event_type = 'error' and k % 2 = 0 then 'Data Drop, Traffic Fail'
+             when event_type = 'error' then 'Data Drop'
+             else event_type end as Event_CallEvent""", *_CONTEXT)
 
 
 def probe_rows(events: DataFrame) -> DataFrame:
     """Views and clicks as they are."""
-    return _base(events).filter(_kind("view", "click")).select(
-        "Time", "WorkOrderId", "Device", "event_type", "value", "k")
+    return _base(events).filter(_PROBE).selectExpr(*_KEYS, "event_type", "value", "k")
 
 
 def device_services(events: DataFrame) -> DataFrame:
     """A device dimension: every third device downloads, every third uploads, the others talk."""
-    number = F.col("Device") % 3
-    service = F.when(number == 0, "IPERF3_DL").when(number == 1, "IPERF3_UL").otherwise("VOICE")
-    return _base(events).select("Device", service.alias("ServiceName")).distinct()
+    return _base(events).selectExpr("Device", """
+        case Device % 3 when 0 then 'IPERF3_DL' when 1 then 'IPERF3_UL' else 'VOICE' end
+        as ServiceName""").distinct()
 
 
 def measurements(events: DataFrame) -> DataFrame:
     """One radio sample per view or click; some have a value missing."""
-    k = F.col("k")
-    return _base(events).filter(_kind("view", "click")).select(
-        "Time", "WorkOrderId", "Device",
-        (F.lit(1000) + k % 3).alias("MEAS_NR5G_PCC_NARFCN"),
-        (k % 4).alias("MEAS_NR5G_PCC_PCI"),
-        F.when(k % 13 != 0, -F.col("value") - 60.0).alias("MEAS_NR5G_PCC_RSRP_AVG"),
-        F.when(k % 13 != 0, k.cast("double") - 20.0).alias("MEAS_NR5G_PCC_SNR_AVG"))
+    return _base(events).filter(_PROBE).selectExpr(
+        *_KEYS, "1000 + k % 3 as MEAS_NR5G_PCC_NARFCN", "k % 4 as MEAS_NR5G_PCC_PCI",
+        "case when k % 13 <> 0 then -value - 60.0D end as MEAS_NR5G_PCC_RSRP_AVG",
+        "case when k % 13 <> 0 then cast(k as double) - 20.0D end as MEAS_NR5G_PCC_SNR_AVG")
 
 
 def rach(events: DataFrame) -> DataFrame:
     """One random-access row per view or click: a request, a result, or neither."""
-    k = F.col("k")
-    return _base(events).filter(_kind("view", "click")).select(
-        "Time", "WorkOrderId", "Device",
-        k.alias("RACHT_NR5G_CRNTI"),
-        F.when(k % 3 == 0, F.lit(0)).alias("RACHT_NR5G_RACHReason"),
-        (k % 5).alias("RACHA_NR5G_numAttmpt"),
-        F.when(k % 3 == 2, F.lit(0)).when(k % 6 == 1, F.lit(1)).alias("RACHA_NR5G_RACHResult"))
+    return _base(events).filter(_PROBE).selectExpr(
+        *_KEYS, "k as RACHT_NR5G_CRNTI",
+        "case when k % 3 = 0 then 0 end as RACHT_NR5G_RACHReason",
+        "k % 5 as RACHA_NR5G_numAttmpt",
+        "case when k % 3 = 2 then 0 when k % 6 = 1 then 1 end as RACHA_NR5G_RACHResult")
 
 
 def physical(events: DataFrame) -> DataFrame:
     """One block-error sample per view or click; some are missing."""
-    return _base(events).filter(_kind("view", "click")).select(
-        "Time", "WorkOrderId", "Device",
-        F.when(F.col("k") % 9 != 0, F.col("value")).alias("PHYDL_NR5G_PCC_bler"))
+    return _base(events).filter(_PROBE).selectExpr(
+        *_KEYS, "case when k % 9 <> 0 then value end as PHYDL_NR5G_PCC_bler")
 
 
 def _nested(path: str, body: str) -> str:
@@ -96,26 +79,34 @@ def _nested(path: str, body: str) -> str:
     return "".join(f'{{"{step}":' for step in steps) + body + "}" * len(steps)
 
 
-def _report_message(k: Column) -> Column:
+def _filled(template: str, *numbers: str) -> str:
+    """SQL text that fills the ``%d`` places of a template in turn."""
+    first, *rest = template.split("%d")
+    parts = [f"'{first}'"]
+    for number, text in zip(numbers, rest, strict=True):
+        parts += [f"({number})", f"'{text}'"]
+    return f"concat({', '.join(parts)})"
+
+
+def _report_message() -> str:
     """A report of two cells, or, for every fourth k, of none."""
     cells = ('{"measResultListNR":[{"MeasResultNR":{"physCellId":%d}},'
              '{"MeasResultNR":{"physCellId":%d}}]}')
     full = _nested(S.UPLINK_ROOT, '{"measId":%d,"measResultNeighCells":' + cells + "}")
     bare = _nested(S.UPLINK_ROOT, '{"measId":%d}')
-    meas_id = k % 4 + 1
-    return F.when(k % 4 == 0, F.format_string(bare, meas_id)).otherwise(
-        F.format_string(full, meas_id, k % 10, (k + 3) % 10))
+    return (f"case when k % 4 = 0 then {_filled(bare, 'k % 4 + 1')} "
+            f"else {_filled(full, 'k % 4 + 1', 'k % 10', '(k + 3) % 10')} end")
 
 
-def _sync_message(k: Column) -> Column:
+def _sync_message() -> str:
     """A handover command to cell k mod 10."""
     cell = ('{"physCellId":%d,"downlinkConfigCommon":{"frequencyInfoDL":'
             '{"absoluteFrequencySSB":%d}}}')
     path = S.DOWNLINK_PATHS["target_pci"].removesuffix(".physCellId")
-    return F.format_string(_nested(f"{S.DOWNLINK_ROOT}.{path}", cell), k % 10, F.lit(5000) + k % 2)
+    return _filled(_nested(f"{S.DOWNLINK_ROOT}.{path}", cell), "k % 10", "5000 + k % 2")
 
 
-def _config_message(k: Column) -> Column:
+def _config_message() -> str:
     """Measurement lists; even k have one report configuration, odd k a second one with an A3 offset."""
     ids = ",".join('{"MeasIdToAddMod":{"measId":%s,"measObjectId":%s,"reportConfigId":1}}' % pair
                    for pair in ((1, 1), (2, 2), (3, 1)))
@@ -130,53 +121,55 @@ def _config_message(k: Column) -> Column:
     path = f"{S.DOWNLINK_ROOT}.measConfig"
     one = _nested(path, lists + first + "]}")
     two = _nested(path, lists + first + "," + second + "]}")
-    frequencies = (F.lit(5000) + k % 2, F.lit(6000) + k % 3)
-    return F.when(k % 2 == 0, F.format_string(one, *frequencies)).otherwise(
-        F.format_string(two, *frequencies, k % 8))
-
-
-def _row(seconds: int, event: str | Column, cell: Column, message: Column | None = None) -> Column:
-    text = F.lit(event) if isinstance(event, str) else event
-    return F.struct(
-        F.lit(seconds).alias("seconds"), text.alias("RRC_NR5G_event"), cell.alias("RRC_NR5G_pci"),
-        (F.lit(None).cast("string") if message is None else message).alias("RRC_NR5G_message"))
-
-
-def _signalling_rows(k: Column) -> Column:
-    serving, target = (k + 1) % 10, k % 10
-    operator = F.when(k % 4 == 0, "T-Mobile").when(k % 3 == 0, "AT&T").otherwise("Home")
-    network = F.concat(F.lit("NR5G System Information: PLMN id, MCC : 310 MNC : "), k % 100,
-                       F.lit(" "), operator)
-    request = _row(0, S.REESTABLISH_REQUEST, serving)
-    return (
-        F.when(_kind("signup"), F.array(_row(0, "5GNR rrcSetupRequest", target)))
-        .when(_kind("purchase") & (k % 2 == 0), F.array(_row(0, network, target)))
-        .when(_kind("view"), F.array(_row(0, S.REPORT, serving, _report_message(k))))
-        .when(_kind("click") & (k % 3 == 0), F.array(
-            _row(0, S.RECONFIGURATION, serving, _sync_message(k)),
-            _row(1, S.RECONFIGURATION_COMPLETE, F.when(k % 6 == 0, target).otherwise((k + 5) % 10)),
-            _row(2, "BCCH systemInformationBlockType1", target)))
-        .when(_kind("click") & (k % 3 == 1), F.array(
-            _row(0, S.RECONFIGURATION, serving, _config_message(k))))
-        .when(_kind("click") & (k % 4 == 0), F.array(request))
-        .when(_kind("click") & (k % 4 == 1), F.array(request, _row(1, "5GNR rrcSetup", serving)))
-        .when(_kind("click") & (k % 4 == 2), F.array(
-            request, _row(1, "5GNR rrcReestablishment", serving),
-            _row(2, S.REESTABLISH_COMPLETE, serving)))
-        .when(_kind("click"), F.array(request, _row(1, "5GNR rrcSetupComplete", serving))))
+    frequencies = ("5000 + k % 2", "6000 + k % 3")
+    return (f"case when k % 2 = 0 then {_filled(one, *frequencies)} "
+            f"else {_filled(two, *frequencies, 'k % 8')} end")
+
+
+def _row(seconds: int, event: str, cell: str, message: str = "cast(null as string)") -> str:
+    return (f"named_struct('seconds', {seconds}, 'RRC_NR5G_event', {event}, "
+            f"'RRC_NR5G_pci', {cell}, 'RRC_NR5G_message', {message})")
+
+
+def _signalling_rows() -> str:
+    serving, target = "(k + 1) % 10", "k % 10"
+    network = ("concat('NR5G System Information: PLMN id, MCC : 310 MNC : ', k, ' ', "
+               "case when k % 4 = 0 then 'T-Mobile' when k % 3 = 0 then 'AT&T' else 'Home' end)")
+    request = _row(0, f"'{S.REESTABLISH_REQUEST}'", serving)
+
+    def rows(condition: str, *found: str) -> str:
+        return f"when {condition} then array({', '.join(found)})"
+
+    return " ".join([
+        "case",
+        rows("event_type = 'signup'", _row(0, "'5GNR rrcSetupRequest'", target)),
+        rows("event_type = 'purchase' and k % 2 = 0", _row(0, network, target)),
+        rows("event_type = 'view'", _row(0, f"'{S.REPORT}'", serving, _report_message())),
+        rows("event_type = 'click' and k % 3 = 0",
+             _row(0, f"'{S.RECONFIGURATION}'", serving, _sync_message()),
+             _row(1, f"'{S.RECONFIGURATION_COMPLETE}'",
+                  f"case when k % 6 = 0 then {target} else (k + 5) % 10 end"),
+             _row(2, "'BCCH systemInformationBlockType1'", target)),
+        rows("event_type = 'click' and k % 3 = 1",
+             _row(0, f"'{S.RECONFIGURATION}'", serving, _config_message())),
+        rows("event_type = 'click' and k % 4 = 0", request),
+        rows("event_type = 'click' and k % 4 = 1", request, _row(1, "'5GNR rrcSetup'", serving)),
+        rows("event_type = 'click' and k % 4 = 2", request,
+             _row(1, "'5GNR rrcReestablishment'", serving),
+             _row(2, f"'{S.REESTABLISH_COMPLETE}'", serving)),
+        rows("event_type = 'click'", request, _row(1, "'5GNR rrcSetupComplete'", serving)),
+        "end",
+    ])
 
 
 def signalling(events: DataFrame) -> DataFrame:
     """RRC rows of sign-ups, purchases, views and clicks; a click makes up to three, a second apart."""
-    k = F.col("k")
-    rows = _base(events).withColumn("_rows", _signalling_rows(k)).select(
-        "*", F.inline("_rows")).drop("_rows")
-    return rows.select(
-        (F.col("Time") + F.make_dt_interval(secs=F.col("seconds"))).alias("Time"),
-        "WorkOrderId", "Device",
-        *_context(k),
-        "RRC_NR5G_pci", (F.lit(4000) + k % 2).alias("RRC_NR5G_frequency"),
-        "RRC_NR5G_event", "RRC_NR5G_message")
+    # The outer form keeps Spark from testing the built rows once more in a filter below.
+    return (_base(events).selectExpr("*", f"{_signalling_rows()} as _rows")
+            .selectExpr("*", "inline_outer(_rows)").filter("RRC_NR5G_event is not null")
+            .selectExpr("Time + make_dt_interval(0, 0, 0, seconds) as Time", "WorkOrderId", "Device",
+                        *_CONTEXT, "RRC_NR5G_pci", "4000 + k % 2 as RRC_NR5G_frequency",
+                        "RRC_NR5G_event", "RRC_NR5G_message"))
 
 
 def probe_tables(events: DataFrame) -> ProbeTables:
