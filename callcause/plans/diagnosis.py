@@ -70,16 +70,16 @@ def window_facts(tables: ProbeTables, profile: Profile,
     several branches use; None leaves both to be recomputed.
     """
     key = list(profile.event_key)
-    windows = failure_windows(tables.events, profile)
+    windows, hint = failure_windows(tables.events, profile), None
     if keep is not None:
         windows = keep(windows)
-        small = spread_size(windows, profile) <= BROADCAST_ROWS
-        windows = windows.hint("broadcast" if small else "merge")
+        hint = "broadcast" if spread_size(windows, profile) <= BROADCAST_ROWS else "merge"
+        windows = windows.hint(hint)
     tagged = G.tagged_signalling(windows, tables.signalling, profile)
     if keep is not None:
         tagged = keep(tagged)
     facts = windows.join(G.signalling_facts(tagged, profile), key, "left")
-    facts = R.radio_facts(facts, tables.measurements, profile)
+    facts = R.radio_facts(facts, tables.measurements, profile, hint)
     branches = [
         access.rach_facts(windows, tables.rach, profile),
         handover.handover_success(tagged, profile).withColumn("Handed_Over", F.lit(True)),

@@ -113,3 +113,8 @@ def test_result_has_the_context_and_no_serving_cell(spark):
     found = X.suspected_missing_relations(wide_signals(spark, CHAIN), P, None)
     assert found.columns == ["Time", "Device", "WorkOrderId", "BandId", "MsgId", "Latitude", *X.RELATION]
     assert found.filter(F.col("S_PCI") == F.col("T_PCI")).count() == 0
+
+
+def test_no_nested_loops_and_no_python(spark):
+    plan = X.suspected_missing_relations(wide_signals(spark, CHAIN), P)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
