@@ -20,11 +20,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from callcause.catalog.queries import QUERIES  # noqa: E402
 
 HEADLINE = [
-    "failure_windows", "window_rows_left", "window_rows_inner", "window_rows_keyed",
-    "window_rows_linear", "event_messages", "radio_condition", "missing_signalling", "roaming",
-    "event_a3_config", "handover_success", "handover_failure", "missing_neighbour", "rach_failure",
-    "pingpong_handover", "reestablish_failure", "high_bler", "reference_columns",
-    "diagnosis_v2", "diagnosis_v1", "relation_success", "suspected_missing_relations",
+    "failure_windows", "window_rows_inner", "window_rows_keyed", "window_rows_linear",
+    "radio_condition", "roaming", "event_a3_config", "handover_success", "handover_failure",
+    "rach_failure", "pingpong_handover", "high_bler", "diagnosis_v2", "diagnosis_v1",
+    "relation_success", "suspected_missing_relations",
 ]
 
 
@@ -35,6 +34,7 @@ def session(cores: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate())
 

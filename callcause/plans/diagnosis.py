@@ -42,8 +42,8 @@ def reference_columns(windows: DataFrame, events: DataFrame, profile: Profile) -
     rows = events.select(*profile.keys, F.col(c.time).alias(END), *names)
     first = F.min(F.struct(*order, *rest)).alias("_context")
     return (windows.select(*profile.event_key, END).join(rows, [*profile.keys, END], "inner")
-            .groupBy(*profile.event_key, END).agg(first)
-            .select(*profile.event_key, F.col(END).alias(c.time),
+            .groupBy(*profile.event_key).agg(F.max(END).alias(c.time), first)
+            .select(*profile.event_key, c.time,
                     *[F.col(f"_context.{name}").alias(name) for name in names]))
 
 

@@ -9,7 +9,7 @@ from callcause.operators.sequence import Series
 
 @dataclass(frozen=True)
 class Columns:
-    """Names of the columns the detectors read."""
+    """Names of the columns the detectors read (fixed values of the input tables)."""
 
     time: str = "Time"
     device: str = "Device"

@@ -12,11 +12,12 @@ def spans(frame):
                   for r in frame.collect())
 
 
-@pytest.mark.parametrize("chunk", [None, 3, "auto"])
-def test_window_starts_at_the_marker_before(spark, chunk):
+@pytest.mark.parametrize("chunk,longest", [(None, 1), (3, 1), ("auto", 1_000), ("auto", 2)])
+def test_window_starts_at_the_marker_before(spark, chunk, longest):
     log = events(spark, [(0, SETUP), (2, "ping"), (10, DROP), (20, "Voice Drop"), (30, END), (31, "Setup Start"),
                          (45, DROP), (50, None)])
-    found = W.failure_windows(log, P.with_(chunk_seconds=chunk))
+    found = W.failure_windows(log, P.with_(chunk_seconds=chunk, max_series_rows=longest))
+    assert ("_slice" in found._jdf.queryExecution().toString()) is (chunk == 3 or longest == 2)
     assert spans(found) == [(1, 1, 0, 10), (1, 2, 10, 20), (1, 3, 30, 45)]
 
 
