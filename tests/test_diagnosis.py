@@ -123,6 +123,17 @@ def test_no_nested_loops_and_no_python_in_the_diagnosis(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
 
 
+def test_many_windows_are_joined_by_shuffle(spark, monkeypatch):
+    tables = probe_tables(spark, **STORY)
+    expected = analysis(tables)
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    found = D.diagnose(tables, P)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_slice" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert [r.Analysis for r in found.collect()] == expected
+
+
 def test_one_instant_with_several_tags_of_unknown_time_first(spark):
     frame = spark.createDataFrame([(None, at(5))], "a timestamp, b timestamp")
     tags = D.ordered_tags([(F.lit(True), F.col("b"), "one"), (F.lit(True), F.col("a"), "two"),
