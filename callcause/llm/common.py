@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -140,3 +141,9 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, pa.Arr
 
 def text_column(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.col(name).cast("string"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffle files of finished steps: it deletes what the driver no longer refers to."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callcause.llm import decontamination, exact_dedup
+from callcause.llm import byte_gru, decontamination, exact_dedup, html_text, near_duplicates, repeated_spans
 from callcause.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +16,27 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.query(read(spark, folder, "documents"))
 
 
+def op2_html_template_removal(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.query(read(spark, folder, "pages"))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.query(read(spark, folder, "documents"))
+
+
+def op4_suffix_radix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_spans.query(read(spark, folder, "documents"))
+
+
+def op6_byte_gru_language(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_gru.query(read(spark, folder, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.query(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op9_benchmark_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_html_template_removal, op3_minhash_near_dedup, op4_suffix_radix_dedup, op6_byte_gru_language, op9_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op9_benchmark_decontamination": decontamination.SQL,
