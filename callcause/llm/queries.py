@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from callcause.llm import byte_gru, decontamination, exact_dedup, html_text, near_duplicates, repeated_spans
+from callcause.llm import (byte_gru, chunk_bpe, decontamination, edit_counts, exact_dedup, html_text, near_duplicates,
+                           repeated_spans, rule_quality, token_files)
 from callcause.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,15 +31,34 @@ def op4_suffix_radix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_spans.query(read(spark, folder, "documents"))
 
 
+def op5_rule_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return rule_quality.query(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op6_byte_gru_language(spark: SparkSession, folder: str) -> DataFrame:
     return byte_gru.query(read(spark, folder, "documents"))
 
 
+def op7_chunk_reuse_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return chunk_bpe.query(read(spark, folder, "documents"), VOCABULARY)
+
+
+def op8_edit_aware_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return edit_counts.query(read(spark, folder, "documents"), VOCABULARY)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.query(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_html_template_removal, op3_minhash_near_dedup, op4_suffix_radix_dedup, op6_byte_gru_language, op9_benchmark_decontamination)}
+def op10_mixing_range_coder(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.query(read(spark, folder, "documents"), VOCABULARY)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_exact_dedup, op2_html_template_removal, op3_minhash_near_dedup, op4_suffix_radix_dedup, op5_rule_quality,
+    op6_byte_gru_language, op7_chunk_reuse_bpe, op8_edit_aware_token_counts, op9_benchmark_decontamination,
+    op10_mixing_range_coder)}
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op9_benchmark_decontamination": decontamination.SQL,

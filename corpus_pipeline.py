@@ -1,16 +1,28 @@
-"""Stages that clean a corpus: each takes what the one before it kept."""
+"""Stages that clean and encode a corpus: each takes what the one before it kept."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from callcause.llm import exact_dedup, decontamination
-from callcause.llm.common import Kept, read
+from callcause.llm import byte_gru, chunk_bpe, decontamination, exact_dedup, near_duplicates
+from callcause.llm.common import Kept, read, small_batches
+from callcause.llm.queries import VOCABULARY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# A document goes if no language has at least this mean probability over its positions.
+LEAST_SCORE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language the network is sure enough of; it learns from their own labels, less the held-out fifth."""
+    small_batches(spark)
+    network = byte_gru.train_network(docs.filter(~byte_gru.held_out(F.col("doc_id"))))
+    found = byte_gru.identify(docs.select(*COLUMNS), network)
+    sure = F.lit(network is None) | (F.col("score") >= LEAST_SCORE)
+    return found.filter(((F.col("lang_pred") != byte_gru.UNKNOWN) | F.lit(network is None)) & sure).select(*COLUMNS)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,15 +30,32 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact_dedup.drop_duplicates(docs).select(*COLUMNS)
 
 
+def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates one document."""
+    small_batches(spark)
+    return near_duplicates.drop_near_duplicates(docs).select(*COLUMNS)
+
+
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a large share of benchmark passages."""
     found = decontamination.find_contamination(docs, read(spark, sf_dir, "benchmark"))
     return found.filter("not contaminated").select(*COLUMNS)
 
 
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids, less those whose ids do not give the text back."""
+    small_batches(spark)
+    coded = chunk_bpe.decode(chunk_bpe.encode(docs.select(*COLUMNS), VOCABULARY), VOCABULARY)
+    whole = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return coded.filter(whole).select(*COLUMNS, "ids", F.size("ids").cast("long").alias("n_tokens"))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language", known_language),
     ("exact_dedup", distinct_texts),
+    ("near_dedup", distinct_contents),
     ("decontamination", clean_of_benchmark),
+    ("encoding", encoded),
 ]
 # The language model of the first stage and the token ids of the last one are beyond SQL.
 ORACLE_SQL: str | None = None
