@@ -26,14 +26,18 @@ def handover_success(tagged: DataFrame, profile: Profile) -> DataFrame:
 
 def handovers(tagged: DataFrame, profile: Profile) -> DataFrame:
     """Start times of completed handovers: sent, received and completed in three rows on end."""
+    return _handovers(tagged, profile).select(*profile.event_key, profile.columns.time)
+
+
+def _handovers(tagged: DataFrame, profile: Profile) -> DataFrame:
+    """The same with the tie columns, which order handovers of one instant."""
     c = profile.columns
     event = F.col(c.rrc_event)
     step = (F.when(F.col(G.CHECK) == G.SYNC_CHECK, "sent")
             .when(event == S.RECONFIGURATION_COMPLETE, "received")
             .when(event.rlike(S.SYSTEM_INFORMATION), "completed"))
-    ties = [name for name in profile.tie if name != c.time]
     steps = (tagged.withColumn("_step", step).filter(F.col("_step").isNotNull())
-             .select(*profile.event_key, c.time, *ties, "_step"))
+             .select(*profile.event_key, c.time, *profile.ties_of(tagged), "_step"))
     ahead = scan(steps, profile.series(profile.event_key), {"_step1": Following(F.col("_step")),
                                               "_step2": Following(F.col("_step"), 2)})
     return ahead.filter((F.col("_step") == "sent") & (F.col("_step1") == "received")
@@ -43,7 +47,7 @@ def handovers(tagged: DataFrame, profile: Profile) -> DataFrame:
 def pingpong_windows(tagged: DataFrame, profile: Profile) -> DataFrame:
     """Windows with three handovers in which both gaps are short."""
     time = profile.columns.time
-    ahead = scan(handovers(tagged, profile), profile.series(profile.event_key),
+    ahead = scan(_handovers(tagged, profile), profile.series(profile.event_key),
                  {"_time1": Following(F.col(time)), "_time2": Following(F.col(time), 2)})
 
     def seconds(later: str, earlier: str) -> Column:

@@ -67,13 +67,12 @@ def _finish_last(facts: DataFrame, profile: Profile) -> DataFrame:
     })
 
 
-def radio_facts(windows: DataFrame, meas: DataFrame, profile: Profile,
-                hint: str | None = None) -> DataFrame:
+def radio_facts(windows: DataFrame, meas: DataFrame, profile: Profile) -> DataFrame:
     """Radio summary of every window, windows without samples included.
 
     When the windows carry the time of their last neighbour report, the same pass
-    over the samples also summarises the stretch from there to the failure.
-    ``hint`` is the join hint for the windows, for callers that know their size.
+    over the samples also summarises the stretch from there to the failure. The
+    windows are read twice, so they should be stored.
     """
     key = list(profile.event_key)
     with_last = LAST_REPORT in windows.columns
@@ -81,8 +80,7 @@ def radio_facts(windows: DataFrame, meas: DataFrame, profile: Profile,
     if with_last:
         measures += _last_stretch(profile, F.col(profile.columns.time) >= F.col(LAST_REPORT))
     borders = [*key, START, END, *([LAST_REPORT] if with_last else [])]
-    slim = windows.select(*borders)
-    rows = window_rows(slim.hint(hint) if hint else slim, _probe(meas, profile), profile)
+    rows = window_rows(windows.select(*borders), _probe(meas, profile), profile)
     facts = windows.join(rows.groupBy(*key).agg(*measures), key, "left").withColumns({
         CHANNELS: set_text(F.col(CHANNELS)), CELLS: set_text(F.col(CELLS))})
     return _finish_last(facts, profile) if with_last else facts

@@ -170,7 +170,7 @@ def config_lookup(rows: DataFrame, profile: Profile) -> DataFrame:
     """Frequency of each group: measurement id to object id to frequency, last known of each."""
     c = profile.columns
     group = [*profile.keys, GROUP]
-    order = F.struct(c.time, *[name for name in profile.tie if name != c.time])
+    order = F.struct(c.time, *profile.ties_of(rows, *group))
     arrays = ["meas_ids", "meas_object_ids", "object_ids", "object_frequencies"]
     configs = (rows.filter(F.col("meas_ids").isNotNull() | F.col("object_ids").isNotNull())
                .select(*group, order.alias("_order"), CARRIED_ID, *arrays)
@@ -179,7 +179,8 @@ def config_lookup(rows: DataFrame, profile: Profile) -> DataFrame:
 
     def last_by_group(frame: DataFrame, value: str, name: str) -> DataFrame:
         known = frame.filter(F.col(value).isNotNull())
-        return known.groupBy(*group).agg(F.max_by(value, "_order").alias(name))
+        # Of rows that nothing else orders the greater value counts.
+        return known.groupBy(*group).agg(F.max_by(value, F.struct("_order", value)).alias(name))
 
     objects = last_by_group(configs, "_object", "_group_object")
     found = configs.join(objects, group, "inner").withColumn(
@@ -246,10 +247,14 @@ def suspected_missing_relations(signalling: DataFrame, profile: Profile, keep: K
     """Neighbour cells that were reported but never handed over to.
 
     ``keep`` stores what several branches read: the decoded rows, so that no
-    message is parsed twice, and the numbered rows. None recomputes them.
+    message is parsed twice, and the numbered rows; the series of the decoded
+    rows are counted once. None recomputes the rows and counts nothing.
     """
-    keep = keep or (lambda df: df)
-    decoded = keep(decode_messages(event_token(signalling, profile), profile))
+    store = keep or (lambda df: df)
+    decoded = store(decode_messages(event_token(signalling, profile), profile))
+    if keep is not None:
+        profile = profile.sized(decoded)
+    keep = store
     ordered = keep(numbered_rows(with_neighbours(decoded, profile), profile))
     reported = reported_relations(not_succeeded(ordered, profile), profile, keep)
     return without_proven(reported, relation_success(ordered, profile), profile)

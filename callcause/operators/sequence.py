@@ -11,31 +11,29 @@ only summaries of a key ever meet in one task. Both ways give the same result.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 _SLICE, _EDGE, _RANK, _TARGET = "_slice", "_edge", "_rank", "_target"
 _BEFORE_ROWS, _AFTER_ROWS = -1, 1_000_000
 _BEFORE_ALL_TIME = -(2 ** 62)
-AUTO = "auto"
 
 
 @dataclass(frozen=True)
 class Series:
-    """Rows of equal keys, ordered by time and then the tie columns.
+    """Rows of equal keys, ordered by time, then the tie columns that a frame has, then its other columns.
 
-    ``chunk_seconds`` is the width of the slices, None for no slices, or
-    ``"auto"``: the longest series is counted first, and slices are made only
-    when it has more than ``max_rows`` rows. The count is one narrow aggregate
-    over the input, so the input should be cheap to read.
+    So the order is total: rows that no column tells apart are interchangeable,
+    and no result depends on the order in which rows come. ``chunk_seconds`` is
+    the width of the time slices, None for no slices; ``needed_slice`` finds one
+    for a stored table.
     """
 
     keys: tuple[str, ...]
     time: str
     tie: tuple[str, ...] = ()
-    chunk_seconds: int | str | None = AUTO
-    max_rows: int = 1_000_000
+    chunk_seconds: int | None = None
 
 
 @dataclass(frozen=True)
@@ -62,7 +60,7 @@ class RunningSum:
 
 @dataclass(frozen=True)
 class LastKnown:
-    """Last non-null value up to and with this row; with ``peers``, also rows of the same instant."""
+    """Last non-null value up to and with this row; with ``peers``, up to the last row of the same instant."""
 
     value: Column
     peers: bool = False
@@ -84,11 +82,25 @@ def time_slice(time: str | Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(column) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+
+def total_tie(df: DataFrame, keys: tuple[str, ...], time: str, tie: tuple[str, ...]) -> tuple[str, ...]:
+    """The columns that order rows of one instant: the tie columns the frame has, then all others."""
+    first = [name for name in tie if name in df.columns and name not in (*keys, time)]
+    rest = [f.name for f in df.schema if f.name not in (*keys, time, *first) and _orderable(f.dataType)]
+    return (*first, *rest)
+
+
 def scan(df: DataFrame, series: Series, steps: Mapping[str, Step]) -> DataFrame:
-    """Add one column per step."""
+    """Add one column per step. Runs no job."""
     seconds = series.chunk_seconds
-    if seconds == AUTO:
-        seconds = needed_slice(df, series.keys, series.time, series.max_rows)
+    series = replace(series, tie=total_tie(df, series.keys, series.time, series.tie))
     inputs = {name: f"_in_{name}" for name in steps}
     rows = df.withColumns({inputs[name]: step.value for name, step in steps.items()})
     partition, order = list(series.keys), [series.time, *series.tie]
@@ -102,7 +114,7 @@ def scan(df: DataFrame, series: Series, steps: Mapping[str, Step]) -> DataFrame:
     forward = Window.partitionBy(*partition).orderBy(*order)
     backward = Window.partitionBy(*partition).orderBy(*[F.col(name).desc() for name in order])
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    results = {}
+    results, shared = {}, []
     for name, step in steps.items():
         value = F.col(inputs[name])
         match step:
@@ -113,12 +125,17 @@ def scan(df: DataFrame, series: Series, steps: Mapping[str, Step]) -> DataFrame:
             case RunningSum():
                 results[name] = F.sum(value).over(forward.rowsBetween(*so_far))
             case LastKnown(peers=peers):
-                frame = forward.rangeBetween(*so_far) if peers else forward.rowsBetween(*so_far)
-                results[name] = F.last(value, ignorenulls=True).over(frame)
+                results[name] = F.last(value, ignorenulls=True).over(forward.rowsBetween(*so_far))
+                if peers:
+                    shared.append(name)
             case NextKnown():
                 earlier = backward.rowsBetween(Window.unboundedPreceding, -1)
                 results[name] = F.last(value, ignorenulls=True).over(earlier)
     rows = rows.withColumns(results)
+    if shared:  # the value that the last row of the instant has; the same exchange and sort serve it
+        instant = Window.partitionBy(*partition, *order[:-len(series.tie) or None]).orderBy(*(series.tie or order))
+        instant = instant.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumns({name: F.last(F.col(name)).over(instant) for name in shared})
     if seconds is not None:
         rows = rows.filter(F.col(_EDGE) == 0)
     return rows.drop(_SLICE, _EDGE, *inputs.values())
@@ -206,12 +223,17 @@ def needed_slice(df: DataFrame, keys: tuple[str, ...], time: str, max_rows: int,
                  probe_seconds: int = 3600) -> int | None:
     """None when every series has at most ``max_rows`` rows, else the width of slices that do.
 
-    The width follows from the densest hour of any series. One number per
-    aggregate comes back to the driver.
+    One job for short series. For longer ones the densest slice is counted again
+    at each narrower width, so a burst inside a quiet hour is split too; only
+    rows of one second stay together. One number per job comes back.
     """
     longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if longest <= max_rows:
         return None
-    cells = df.groupBy(*keys, time_slice(time, probe_seconds).alias(_SLICE)).count()
-    densest = cells.agg(F.max("count")).first()[0]
-    return max(1, probe_seconds * max_rows // densest)
+    width = probe_seconds
+    while True:
+        cells = df.groupBy(*keys, time_slice(time, width).alias(_SLICE)).count()
+        densest = cells.agg(F.max("count")).first()[0]
+        if densest <= max_rows or width == 1:
+            return width
+        width = max(1, min(width * max_rows // densest, width // 2))

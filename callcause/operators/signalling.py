@@ -45,8 +45,7 @@ def event_a3_config(signalling: DataFrame, profile: Profile) -> DataFrame:
 def narrow(signalling: DataFrame, profile: Profile) -> DataFrame:
     """The columns the detectors need, messages already decoded."""
     c = profile.columns
-    ties = [name for name in profile.tie if name not in (*profile.keys, c.time)]
-    slim = signalling.select(*profile.keys, c.time, *ties, c.rrc_event, c.rrc_cell, c.rrc_message)
+    slim = signalling.select(*profile.keys, c.time, *profile.ties_of(signalling), c.rrc_event, c.rrc_cell, c.rrc_message)
     return event_a3_config(slim, profile)
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from callcause.operators.sequence import (AUTO, NextKnown, Previous, RunningSum, Series,
-                                          needed_slice, scan, time_slice)
+from callcause.operators.sequence import NextKnown, Previous, RunningSum, Series, scan, time_slice
 from callcause.profile import Profile
 
 NUMBER = "Failed_Event_Number"
@@ -24,12 +23,7 @@ def _marker_rows(events: DataFrame, profile: Profile) -> DataFrame:
     event = F.col(profile.columns.call_event)
     borders = event.isin(profile.setup_text, profile.end_text)
     return (events.filter(borders | _failed(profile))
-            .select(*profile.keys, profile.columns.time, *_extra_ties(profile), event))
-
-
-def _extra_ties(profile: Profile) -> list[str]:
-    known = {*profile.keys, profile.columns.time, profile.columns.call_event}
-    return [name for name in profile.tie if name not in known]
+            .select(*profile.keys, profile.columns.time, *profile.ties_of(events, profile.columns.call_event), event))
 
 
 def failure_windows(events: DataFrame, profile: Profile) -> DataFrame:
@@ -47,14 +41,16 @@ def failure_windows(events: DataFrame, profile: Profile) -> DataFrame:
 
 
 def window_rows(windows: DataFrame, rows: DataFrame, profile: Profile, how: str = "inner",
-                start: str = START, end: str = END) -> DataFrame:
+                start: str = START, end: str = END,
+                keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows with ``start <= time <= end``, both ends included, next to their window.
 
     Every window is spread over the time slices it touches and meets the rows of
     the same key and slice in an equi join. A busy device is so split by time,
     and a window is never compared with rows of other slices.
 
-    ``how="left"`` also keeps windows without rows.
+    ``how="left"`` also keeps windows without rows. It reads the matched rows
+    twice; ``keep`` may store them first, None computes them twice.
     """
     seconds = profile.slice_seconds
     first, last = time_slice(start, seconds), time_slice(end, seconds)
@@ -62,33 +58,32 @@ def window_rows(windows: DataFrame, rows: DataFrame, profile: Profile, how: str
               .withColumn("_slice", F.explode(F.sequence(first, last))))
     probes = (rows.filter(F.col(profile.columns.time).isNotNull())
               .withColumn("_slice", time_slice(profile.columns.time, seconds)))
-    return _joined(windows, spread, probes, [*profile.join_keys, "_slice"], profile, how, start, end)
+    return _joined(windows, spread, probes, [*profile.join_keys, "_slice"], profile, how, start, end, keep)
 
 
-def event_messages(events: DataFrame, profile: Profile) -> DataFrame:
+def event_messages(events: DataFrame, profile: Profile,
+                   keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All call events inside each window, from its first marker to the failure."""
-    return window_rows(failure_windows(events, profile), events, profile, "left")
-
-
-def spread_size(windows: DataFrame, profile: Profile, start: str = START, end: str = END) -> int:
-    """How many rows the windows make when spread over their time slices."""
-    first, last = time_slice(start, profile.slice_seconds), time_slice(end, profile.slice_seconds)
-    return windows.agg(F.sum(last - first + 1)).first()[0] or 0
+    windows = failure_windows(events, profile)
+    return window_rows(keep(windows) if keep else windows, events, profile, "left", keep=keep)
 
 
 def window_rows_keyed(windows: DataFrame, rows: DataFrame, profile: Profile, how: str = "inner",
                       start: str = START, end: str = END) -> DataFrame:
-    """The same by key alone; for keys that have few windows."""
+    """The same by key alone: every window of a key meets all its rows, so it is for keys that have few of either."""
     return _joined(windows, windows, rows, list(profile.join_keys), profile, how, start, end)
 
 
 def _joined(windows: DataFrame, spread: DataFrame, probes: DataFrame, on: Sequence[str],
-            profile: Profile, how: str, start: str, end: str) -> DataFrame:
+            profile: Profile, how: str, start: str, end: str,
+            keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     time = profile.columns.time
     foreign = [key for key in profile.keys if key not in profile.join_keys]
     inside = F.col(time).between(F.col(start), F.col(end))
     matched = spread.join(probes.drop(*foreign), list(on), "inner").filter(inside).drop("_slice")
-    return with_empty_windows(windows, matched, profile) if how == "left" else matched
+    if how != "left":
+        return matched
+    return with_empty_windows(windows, keep(matched) if keep else matched, profile)
 
 
 def with_empty_windows(windows: DataFrame, matched: DataFrame, profile: Profile) -> DataFrame:
@@ -123,10 +118,7 @@ def window_rows_linear(events: DataFrame, rows: DataFrame, profile: Profile) ->
                .select(*keys, F.col(END).alias(time), F.lit(1).alias("_side"),
                        F.struct(NUMBER, KIND, START, END).alias("_closes")))
     mixed = rows.withColumn("_side", F.lit(0)).unionByName(closing, allowMissingColumns=True)
-    seconds = profile.chunk_seconds
-    if seconds == AUTO:
-        seconds = needed_slice(rows, profile.keys, time, profile.max_series_rows)
-    ahead = scan(mixed, Series(profile.keys, time, ("_side",), seconds),
+    ahead = scan(mixed, Series(profile.keys, time, ("_side",), profile.fixed_slice),
                  {"_next": NextKnown(F.col("_closes"))})
     closed = (ahead.filter((F.col("_side") == 0) & (F.col(f"_next.{START}") <= F.col(time)))
               .select(*keys, "_next.*", time, *own))

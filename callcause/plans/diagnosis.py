@@ -10,13 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from callcause import schemas as S
 from callcause.functions.values import is_true
 from callcause.operators import access, handover, radio as R, signalling as G
-from callcause.operators.windows import END, KIND, NUMBER, START, failure_windows, spread_size
+from callcause.operators.windows import END, KIND, NUMBER, START, failure_windows
 from callcause.profile import Profile
 from callcause.session import settle
 
-# Windows are broadcast up to this many rows (about 100 bytes each), and shuffled beyond.
-BROADCAST_ROWS = 200_000
-
 
 @dataclass(frozen=True)
 class ProbeTables:
@@ -67,25 +64,31 @@ def window_facts(tables: ProbeTables, profile: Profile,
 
     Each probe table is read once: interval join, then one aggregate by window.
     ``keep`` stores the windows and the signalling rows inside them, which
-    several branches use; None leaves both to be recomputed.
+    several branches use, and the facts that the radio pass joins to; the
+    planner knows the size of what is stored, and the series of the events and
+    of the stored rows are counted once. None leaves all to be recomputed and
+    counts nothing.
     """
     key = list(profile.event_key)
-    windows, hint = failure_windows(tables.events, profile), None
-    if keep is not None:
-        windows = keep(windows)
-        hint = "broadcast" if spread_size(windows, profile) <= BROADCAST_ROWS else "merge"
-        windows = windows.hint(hint)
-    tagged = G.tagged_signalling(windows, tables.signalling, profile)
-    if keep is not None:
-        tagged = keep(tagged)
-    facts = windows.join(G.signalling_facts(tagged, profile), key, "left")
-    facts = R.radio_facts(facts, tables.measurements, profile, hint)
+    if keep is None:
+        windows = failure_windows(tables.events, profile)
+        tagged = G.tagged_signalling(windows, tables.signalling, profile)
+        facts = windows.join(G.signalling_facts(tagged, profile), key, "left")
+    else:
+        windows = keep(failure_windows(tables.events, profile.sized(tables.events)))
+        tagged = keep(G.tagged_signalling(windows, tables.signalling, profile))
+        facts = keep(windows.join(G.signalling_facts(tagged, profile), key, "left"))
+        profile = profile.sized(tagged, profile.event_key)
+    facts = R.radio_facts(facts, tables.measurements, profile)
     branches = [
         access.rach_facts(windows, tables.rach, profile),
-        handover.handover_success(tagged, profile).withColumn("Handed_Over", F.lit(True)),
         handover.pingpong_windows(tagged, profile).withColumn("Pingpong", F.lit(True)),
         reference_columns(windows, tables.events, profile),
     ]
+    if profile.version == "v1":
+        # A window that a handover worked in holds a handover command, so it is never stuck on a
+        # cell; v2 asks for nothing else, v1 leaves out evidence of such windows.
+        branches.append(handover.handover_success(tagged, profile).withColumn("Handed_Over", F.lit(True)))
     if profile.version == "v2" and tables.physical is not None:
         branches.append(R.bler_facts(windows, tables.physical, profile))
     for branch in branches:
@@ -100,10 +103,6 @@ def diagnose(tables: ProbeTables, profile: Profile,
     return diagnosis_v2(facts, profile) if profile.version == "v2" else diagnosis_v1(facts, profile)
 
 
-def _handover_failed(profile: Profile) -> Column:
-    return handover.stuck_on_cell(profile, exact=False) & F.col("Handed_Over").isNull()
-
-
 def _only(condition: Column, *names: str) -> list[Column]:
     return [F.when(condition, F.col(name)).alias(name) for name in names]
 
@@ -120,7 +119,7 @@ _RADIO = (R.CHANNELS, R.CELLS, R.RSRP_AVG, R.RSRP_MIN, R.SINR_AVG, R.SINR_MIN)
 
 def diagnosis_v2(facts: DataFrame, profile: Profile) -> DataFrame:
     """Tags in the order they occurred; evidence only next to the tag it supports."""
-    poor, failed = R.is_poor(profile), _handover_failed(profile)
+    poor, failed = R.is_poor(profile), handover.stuck_on_cell(profile, exact=False)
     roaming = F.col("Roaming_Time").isNotNull()
     start, reported = F.col(START), F.col("First_Report_Time")
     findings = [
@@ -154,7 +153,7 @@ def diagnosis_v1(facts: DataFrame, profile: Profile) -> DataFrame:
         radio,
         F.when(F.col("Roaming_Time").isNotNull(), S.ROAMING),
         F.when(F.col("Signalling_Rows").isNull(), S.MISSING_SIGNALLING),
-        F.when(_handover_failed(profile), S.HANDOVER_FAILURE),
+        F.when(handover.stuck_on_cell(profile, exact=False), S.HANDOVER_FAILURE),
         F.when(is_true(access.is_rach_failure()), S.RACH_FAILURE),
         F.when(F.col("Pingpong").isNotNull(), profile.pingpong_tag),
         F.when(G.is_reestablish_failure(), S.REESTABLISH_FAILURE),

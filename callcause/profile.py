@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from callcause.operators.sequence import Series
+from pyspark.sql import DataFrame
+
+from callcause.operators.sequence import Series, needed_slice
+
+AUTO = "auto"
 
 
 @dataclass(frozen=True)
@@ -37,12 +41,15 @@ class Profile:
     probe rows may fall into a window: the same keys (strict), or the device
     alone, so that rows of its other work orders count too.
 
-    ``tie`` names columns that order rows of one instant; give the message
-    counter when the tables have one. ``slice_seconds`` is the time slice by
-    which rows and windows meet in interval joins; a few times the usual length
-    of a window is a good width. ``chunk_seconds`` cuts series of more than
-    ``max_series_rows`` rows into slices (see ``operators.sequence``), so that a
-    device with a large share of all rows is spread over many tasks.
+    ``tie`` names columns that order rows of one instant, where a table has
+    them; its other columns follow, so the order is always total.
+    ``slice_seconds`` is the time slice by which rows and windows meet in
+    interval joins; a few times the usual length of a window is a good width.
+    ``chunk_seconds`` cuts series into time slices (see ``operators.sequence``),
+    so that a device with a large share of all rows is spread over many tasks.
+    ``"auto"`` leaves the width to the analyses, which count the series of a
+    stored table once and cut them if one has more than ``max_series_rows``
+    rows; single operators then work on whole series.
     """
 
     marker: str = "Drop"
@@ -50,7 +57,7 @@ class Profile:
     end_text: str = '"Call End"'
     keys: tuple[str, ...] = ("Device", "WorkOrderId")
     join_keys: tuple[str, ...] = ("Device", "WorkOrderId")
-    tie: tuple[str, ...] = ()
+    tie: tuple[str, ...] = ("MsgId",)
     slice_seconds: int = 900
     chunk_seconds: int | str | None = "auto"
     max_series_rows: int = 1_000_000
@@ -76,8 +83,22 @@ class Profile:
 
     def series(self, keys: tuple[str, ...] | None = None) -> Series:
         """How rows of one key, or of the given keys, follow each other."""
-        return Series(keys or self.keys, self.columns.time, self.tie, self.chunk_seconds,
-                      self.max_series_rows)
+        return Series(keys or self.keys, self.columns.time, self.tie, self.fixed_slice)
+
+    @property
+    def fixed_slice(self) -> int | None:
+        return None if self.chunk_seconds == AUTO else self.chunk_seconds
+
+    def sized(self, stored: DataFrame, keys: tuple[str, ...] | None = None) -> "Profile":
+        """With slices as wide as the series of a stored table ask for; counts them if the width is left open."""
+        if self.chunk_seconds != AUTO:
+            return self
+        found = needed_slice(stored, keys or self.keys, self.columns.time, self.max_series_rows)
+        return self.with_(chunk_seconds=found)
+
+    def ties_of(self, rows: DataFrame, *known: str) -> list[str]:
+        """The tie columns that a frame has, less keys, time and those that are known."""
+        return [n for n in self.tie if n in rows.columns and n not in (*self.keys, self.columns.time, *known)]
 
     @property
     def event_key(self) -> tuple[str, ...]:

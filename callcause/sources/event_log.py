@@ -8,7 +8,7 @@ analysis runs on ordinary event data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from callcause import schemas as S
 from callcause.plans.diagnosis import ProbeTables
@@ -28,6 +28,11 @@ def _base(events: DataFrame) -> DataFrame:
         "event_id", "event_type", "value", "cast(get_json_object(props, '$.k') as bigint) as k")
 
 
+def hourly(events: DataFrame) -> DataFrame:
+    """The log with times cut to the hour."""
+    return events.withColumn("ts", F.date_trunc("hour", "ts"))
+
+
 def call_events(events: DataFrame) -> DataFrame:
     """Sign-ups set calls up, purchases end them, errors drop them (half of them as traffic failures)."""
     return _base(events).selectExpr(*_KEYS, """

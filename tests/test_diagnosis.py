@@ -1,10 +1,12 @@
+import random
+
 import pytest
 from frames import (DROP, SETUP, accesses, at, blers, events, events_with_context, report, samples,
                     seconds, signals, sync)
 from pyspark.sql import functions as F
 
 from callcause import schemas as S
-from callcause.operators import windows as W
+from callcause.operators import handover as H, signalling as G, windows as W
 from callcause.plans import diagnosis as D
 from callcause.plans.services import diagnose_services
 from callcause.profile import Profile
@@ -123,15 +125,59 @@ def test_no_nested_loops_and_no_python_in_the_diagnosis(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
 
 
-def test_many_windows_are_joined_by_shuffle(spark, monkeypatch):
+def test_many_windows_are_joined_by_shuffle(spark):
     tables = probe_tables(spark, **STORY)
     expected = analysis(tables)
-    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
-    found = D.diagnose(tables, P)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    joins = [line for line in plan.splitlines() if "Join" in line and "_slice" in line]
-    assert joins and all("SortMergeJoin" in line for line in joins)
-    assert [r.Analysis for r in found.collect()] == expected
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        found = D.diagnose(tables, P)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and "_slice" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
+        assert [r.Analysis for r in found.collect()] == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _shuffled(rows, seed):
+    rows = list(rows)
+    random.Random(seed).shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [None, 5])
+def test_equal_instants_in_any_input_order(spark, chunk):
+    """Everything happens in a few instants; message numbers, or the rows themselves, order it."""
+    source = random.Random(3)
+    log = [(source.choice([0, 10, 20]), source.choice([SETUP, DROP, '"Call End"', "other"]), n, float(n)) for n in range(30)]
+    sig = [(source.choice([0, 5, 10, 15]), event, source.randrange(3), text) for event, text in
+           [(S.REPORT, report()), (S.RECONFIGURATION, sync(2)), (S.RECONFIGURATION_COMPLETE, None),
+            ("systemInformationBlockType1", None), (S.REESTABLISH_REQUEST, None)] * 8]
+    meas = [(source.choice([0, 5, 10]), 1, source.randrange(3), -100.0 - n, 1.0) for n in range(20)]
+    answers = []
+    for seed in (1, 2):
+        tables = probe_tables(spark, log=_shuffled(log, seed), meas=_shuffled(meas, seed), sig=_shuffled(sig, seed))
+        rows = D.diagnose(tables, P.with_(chunk_seconds=chunk), None).collect()
+        answers.append(sorted(map(str, rows)))
+    assert answers[0] == answers[1] and len(answers[0]) > 3
+
+
+def test_a_window_with_a_successful_handover_is_never_stuck(spark):
+    """So the success is left out where only the tag counts: it cannot change a row."""
+    source = random.Random(7)
+    rows = []
+    for _ in range(40):
+        start = source.randrange(5, 90)
+        rows += [(start, S.RECONFIGURATION, 1, sync(2)), (start + 1, S.RECONFIGURATION_COMPLETE, source.choice([2, 3]), None),
+                 (start + 2, "systemInformationBlockType1", 2, None), (source.randrange(100), S.REPORT, 1, report())]
+    found = probe_tables(spark, meas=[(60, *BAD)], sig=rows)
+    windows = W.failure_windows(found.events, P)
+    tagged = G.tagged_signalling(windows, found.signalling, P)
+    stretch = H.last_stretch_facts(windows, G.signalling_facts(tagged, P), found.measurements, P)
+    success = H.handover_success(tagged, P)
+    assert success.count() == 1
+    assert stretch.filter(H.stuck_on_cell(P, exact=False)).join(success, list(P.event_key)).count() == 0
 
 
 def test_one_instant_with_several_tags_of_unknown_time_first(spark):

@@ -43,12 +43,12 @@ def make(seed, count=120):
              source.choice([None, source.randrange(100)])) for i in range(count)]
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 1), (2, 7), (3, 10_000), (4, None), (5, "auto")])
+@pytest.mark.parametrize("seed,chunk", [(1, 1), (2, 7), (3, 10_000), (4, None)])
 def test_scan_equals_the_definition(spark, seed, chunk):
     rows = make(seed)
     frame = spark.createDataFrame([(k, at(t), n, v) for k, t, n, v in rows],
                                   "k string, t timestamp, n int, v long").repartition(5)
-    series = Series(("k",), "t", ("n",), chunk, max_rows=20)
+    series = Series(("k",), "t", ("n",), chunk)
     found = scan(frame, series, steps())
     assert set(found.columns) == {"k", "t", "n", "v", *NAMES}
     got = sorted(((r.k, (r.t - at(0)).total_seconds(), r.n, *[r[s] for s in NAMES])
@@ -65,6 +65,43 @@ def test_peers_share_the_last_known_value(spark):
         assert {r.n: r["last"] for r in found} == {1: 5, 2: 7, 3: 7, 4: 7}
 
 
+@pytest.mark.parametrize("chunk", [None, 1])
+def test_peers_share_with_a_tie_column_too(spark, chunk):
+    frame = spark.createDataFrame([(at(1), 1, None), (at(1), 2, 7), (at(1), 3, 9), (at(1), 4, None), (at(2), 5, None)],
+                                  "t timestamp, n int, v long").withColumn("k", F.lit(1))
+    found = scan(frame, Series(("k",), "t", ("n",), chunk), {"last": LastKnown(F.col("v"), peers=True)}).collect()
+    assert {r.n: r["last"] for r in found} == {1: 9, 2: 9, 3: 9, 4: 9, 5: 9}
+
+
+@pytest.mark.parametrize("chunk", [None, 3])
+def test_rows_of_one_instant_have_an_order_without_tie_columns(spark, chunk):
+    rows = [(k, at(t), n, v) for k, t, n, v in make(6)]
+    source, answers = random.Random(0), []
+    for parts in (1, 5):
+        source.shuffle(rows)
+        frame = spark.createDataFrame(rows, "k string, t timestamp, n int, v long").repartition(parts)
+        found = scan(frame, Series(("k",), "t", (), chunk), steps()).collect()
+        answers.append(sorted((tuple(r[c] for c in ("k", "t", "n", *NAMES)) for r in found), key=lambda r: r[:3]))
+    assert answers[0] == answers[1]
+
+
+def test_a_scan_runs_no_job(spark):
+    frame = spark.range(1000).selectExpr("id % 2 as k", "timestamp_seconds(id) as t", "id as v")
+    spark.sparkContext.setJobGroup("scan", "scan")
+    try:
+        scan(frame, Series(("k",), "t", (), 10), {"total": RunningSum(F.col("v"))})
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("scan")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_slices_split_a_burst(spark):
+    burst = spark.range(1000).selectExpr("1 as k", "timestamp_seconds(3600 + id % 60) as t")
+    quiet = spark.range(5).selectExpr("1 as k", "timestamp_seconds(id * 100000) as t")
+    assert needed_slice(burst.union(quiet), ("k",), "t", 40) <= 2
+    assert needed_slice(spark.range(99).selectExpr("1 as k", "timestamp_seconds(5) as t"), ("k",), "t", 10) == 1
+
+
 def test_slices_are_made_only_for_long_series(spark):
     frame = spark.range(1000).selectExpr("id % 2 as k", "timestamp_seconds(id * 36) as t")
     assert needed_slice(frame, ("k",), "t", 500) is None

@@ -16,7 +16,7 @@ def spans(frame):
 def test_window_starts_at_the_marker_before(spark, chunk, longest):
     log = events(spark, [(0, SETUP), (2, "ping"), (10, DROP), (20, "Voice Drop"), (30, END), (31, "Setup Start"),
                          (45, DROP), (50, None)])
-    found = W.failure_windows(log, P.with_(chunk_seconds=chunk, max_series_rows=longest))
+    found = W.failure_windows(log, P.with_(chunk_seconds=chunk, max_series_rows=longest).sized(log))
     assert ("_slice" in found._jdf.queryExecution().toString()) is (chunk == 3 or longest == 2)
     assert spans(found) == [(1, 1, 0, 10), (1, 2, 10, 20), (1, 3, 30, 45)]
 
@@ -96,8 +96,3 @@ def test_no_nested_loop_and_no_python_in_the_plan(log, probes):
     plan = W.window_rows(W.failure_windows(log, P), probes, P, "left")
     text = plan._jdf.queryExecution().toString()
     assert "NestedLoop" not in text and "CartesianProduct" not in text and "Python" not in text
-
-
-def test_spread_size_counts_slices(log):
-    windows = W.failure_windows(log, P)
-    assert W.spread_size(windows, P.with_(slice_seconds=10)) == 2 + 2 + 2
