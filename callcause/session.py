@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only in local sessions without any."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that ``spark.checkpoint.dir`` (or the context's checkpoint folder) names; never one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="callcause-")
-    context.setCheckpointDir(folder)
-    return context.getCheckpointDir().rstrip("/")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -28,13 +22,27 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute a frame once and read it back from the shared folder.
 
     Lost executors cannot take it, its lineage ends here, and every reader
     fetches only the columns it needs. Unlike an eager checkpoint it costs one
-    run of the plan, not two.
+    run of the plan, not two. The files stay; see ``workspace``.
     """
-    path = new_path(df.sparkSession, "settled")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _stored(df, new_path(df.sparkSession, "settled"))
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A ``keep`` function like ``settle`` whose files go when the block ends; write the result inside it."""
+    folder = new_path(spark, "run")
+    try:
+        yield lambda df: _stored(df, f"{folder}/{uuid.uuid4().hex}")
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -48,6 +48,8 @@ def write_table(df: DataFrame, location: str, target: str = "parquet", mode: str
         writer = writer.partitionBy(*partition_by)
     if target == "table":
         writer.saveAsTable(location)
+    elif target == "jdbc":
+        writer.format(target).option("dbtable", location).save()
     else:
         writer.format(target).save(location)
 

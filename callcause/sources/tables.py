@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from callcause import schemas as S
 from callcause.plans.diagnosis import ProbeTables
 
 
 def read_table(spark: SparkSession, location: str, columns: Sequence[str],
-               source: str = "parquet", **options) -> DataFrame:
-    """The named columns of a table. Rows come unordered; operators order what they need."""
+               source: str = "parquet", more: Sequence[str] = (), **options) -> DataFrame:
+    """The named columns of a table, and those of ``more`` that it has.
+
+    Rows come unordered; operators order what they need. Times without a zone
+    are taken in the session's zone. A database table is named by ``location``,
+    and the options tell where it is.
+    """
     if source == "table":
         frame = spark.read.table(location)
+    elif source == "jdbc":
+        frame = spark.read.format(source).options(dbtable=location, **options).load()
     else:
         frame = spark.read.format(source).options(**options).load(location)
-    return frame.select(*columns)
+    extra = [name for name in more if name in frame.columns and name not in columns]
+    return with_zone(frame.select(*columns, *extra))
+
+
+def with_zone(df: DataFrame) -> DataFrame:
+    """Times without a zone as timestamps of the session's zone."""
+    naive = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
+    return df.withColumns({name: F.col(name).cast("timestamp") for name in naive})
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, columns: Sequence[str],
@@ -57,15 +70,27 @@ def of_devices(tables: ProbeTables, devices: DataFrame, device: str = "Device")
                        kept(tables.rach), kept(tables.physical))
 
 
-def read_probe_tables(spark: SparkSession, folder: str, source: str = "parquet") -> ProbeTables:
-    """Probe tables stored under their usual names in one folder."""
+def place_of(folder: str, name: str, source: str) -> str:
+    """Where a table of a set is: a file below the folder, or a name in the folder's database."""
+    if source in ("table", "jdbc"):
+        return f"{folder}.{name}" if folder else name
+    return f"{folder.rstrip('/')}/{name}"
+
+
+def read_probe_tables(spark: SparkSession, folder: str, source: str = "parquet", version: str = "v2",
+                      tie: Sequence[str] = ("MsgId",), options: Mapping[str, str] | None = None) -> ProbeTables:
+    """Probe tables stored under their usual names in one folder or database.
+
+    Tie columns come along from the tables that have them. v1 has no use for the
+    block-error table and does not read it.
+    """
     def table(name: str, columns: Sequence[str]) -> DataFrame:
-        return read_table(spark, os.path.join(folder, name), columns, source)
+        return read_table(spark, place_of(folder, name, source), columns, source, tie, **(options or {}))
 
     return ProbeTables(
         events=table("Event_NR", S.EVENT_COLUMNS),
         measurements=table("MEAS_NR", S.MEASUREMENT_COLUMNS),
         signalling=table("Signalling", S.SIGNALLING_COLUMNS),
         rach=table("RACH_NR", S.RACH_COLUMNS),
-        physical=table("PHYDL_NR", S.PHYSICAL_COLUMNS),
+        physical=table("PHYDL_NR", S.PHYSICAL_COLUMNS) if version == "v2" else None,
     )

@@ -1,11 +1,13 @@
 import math
+import os
+import shutil
 from datetime import datetime
 
 import pytest
 from frames import DROP, SETUP, accesses, at, blers, config, events_with_context, report, samples, wide_signals
 
 from callcause import jobs, schemas as S
-from callcause.session import new_path, settle, shared_folder
+from callcause.session import new_path, settle, shared_folder, workspace
 from callcause.sources import sinks, tables
 
 
@@ -63,6 +65,46 @@ def test_jdbc_reads_ranges_of_the_time_column():
                                   numPartitions=8, properties={"driver": "d"})
 
 
+def test_jdbc_options_reach_reader_and_writer():
+    asked = {}
+
+    class Io:
+        def format(self, name):
+            asked["format"] = name
+            return self
+
+        def mode(self, name):
+            asked["mode"] = name
+            return self
+
+        def options(self, **given):
+            asked.update(given)
+            return self
+
+        def option(self, name, value):
+            asked[name] = value
+            return self
+
+        def save(self):
+            asked["saved"] = True
+
+    class Frame:
+        write = Io()
+
+    sinks.write_table(Frame(), "out.t", "jdbc", url="jdbc:x", driver="d")
+    assert asked == {"format": "jdbc", "mode": "overwrite", "url": "jdbc:x", "driver": "d", "dbtable": "out.t", "saved": True}
+    assert tables.place_of("probes", "Event_NR", "jdbc") == "probes.Event_NR"
+    assert tables.place_of("/data/", "Event_NR", "parquet") == "/data/Event_NR"
+
+
+def test_times_without_zone_and_spare_tie_columns(spark, tmp_path):
+    frame = spark.sql("select timestamp_ntz'2024-01-01 00:00:05' as Time, 1 as Device, 4 as MsgId, 'x' as other")
+    frame.write.parquet(str(tmp_path / "naive"))
+    found = tables.read_table(spark, str(tmp_path / "naive"), ["Time", "Device"], more=["MsgId", "none"])
+    assert found.columns == ["Time", "Device", "MsgId"]
+    assert dict(found.dtypes)["Time"] == "timestamp" and found.first().Time == at(5)
+
+
 def test_settled_frames_live_in_the_checkpoint_folder(spark):
     frame = settle(spark.range(5))
     (file, *_) = frame.inputFiles()
@@ -70,6 +112,30 @@ def test_settled_frames_live_in_the_checkpoint_folder(spark):
     assert new_path(spark, "a") != new_path(spark, "a")
 
 
+def test_a_workspace_leaves_nothing(spark):
+    with workspace(spark) as keep:
+        frame = keep(spark.range(7))
+        (file, *_) = frame.inputFiles()
+        assert frame.count() == 7
+    assert not os.path.exists(os.path.dirname(file.removeprefix("file:").replace("///", "/")))
+
+
+def test_no_folder_is_made_up():
+    class Unset:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+        class sparkContext:
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Unset)
+
+
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("probes")
@@ -98,6 +164,8 @@ def test_jobs_read_and_write(spark, stored, tmp_path, monkeypatch):
     row = spark.read.parquet(str(tmp_path / "drop")).first()
     assert row.Analysis == "Poor RF condition"
     assert row.Failed_Event_Number == 1 and row.NR5G_PCC_RSRP_Avg == -120.0
+    # v1 has no use for block errors, and the table may be missing.
+    shutil.move(os.path.join(stored, "PHYDL_NR"), str(tmp_path / "away"))
     jobs.main(["drop-v1", "--tables", stored, "--out", str(tmp_path / "v1"), "--text-times", "--format", "csv"])
     old = spark.read.csv(str(tmp_path / "v1"), header=True).first()
     assert old.Event_Analysis_End_Time == "2024-01-01" and "PHYDL_NR5G_PCC_BLER_Avg" not in old
@@ -105,3 +173,17 @@ def test_jobs_read_and_write(spark, stored, tmp_path, monkeypatch):
     found = spark.read.parquet(str(tmp_path / "rel"))
     assert found.columns == [f.name for f in S.MISSING_RELATION]
     assert [(r.T_PCI, r.T_Freq, r.Longitude) for r in found.collect()] == [(41, 129870, None)]
+
+
+def test_example_of_the_readme(spark, stored, tmp_path):
+    from callcause.plans.diagnosis import diagnose
+    from callcause.profile import Profile
+    from callcause.sources.tables import read_probe_tables
+
+    if not os.path.exists(os.path.join(stored, "PHYDL_NR")):
+        blers(spark, [(1, 1.0)]).write.parquet(os.path.join(stored, "PHYDL_NR"))
+    probes = read_probe_tables(spark, stored)
+    assert "MsgId" in probes.signalling.columns
+    with workspace(spark) as keep:
+        diagnose(probes, Profile(marker="Drop"), keep).write.parquet(str(tmp_path / "diagnosis"))
+    assert spark.read.parquet(str(tmp_path / "diagnosis")).first().Analysis == "Poor RF condition"
