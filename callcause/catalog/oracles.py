@@ -6,6 +6,8 @@ Spark side decodes, and they use plain whole-key windows and theta joins.
 
 from __future__ import annotations
 
+from callcause import schemas as S
+
 # Fixed values that the profile of the queries uses.
 DIGITS, RSRP, SINR, BLER, GAP = 6, -110, 0, 60, 259_200
 
@@ -21,9 +23,9 @@ pr as (select dev, wo, ts, event_type, value, k from ev where event_type in ('vi
 def _windows(marker: str) -> str:
     kept = "event_type = 'error'" + (" and k % 2 = 0" if marker == "Traffic Fail" else "")
     return f"""
-mk as (select dev, wo, ts, event_type, k, lag(ts) over (partition by wo order by ts) as s
+mk as (select dev, wo, ts, event_type, k, event_id, lag(ts) over (partition by wo order by ts, event_id) as s
        from ev where event_type in ('signup', 'purchase') or ({kept})),
-w as (select dev, wo, row_number() over (partition by wo order by ts) as n,
+w as (select dev, wo, row_number() over (partition by wo order by ts, event_id) as n,
              case when k % 2 = 0 then 'Data Drop, Traffic Fail' else 'Data Drop' end as typ, s, ts as e
       from mk where {kept})"""
 
@@ -270,33 +272,35 @@ tok as (select dev, wo, t, k, event_id, value, kind, pci, 4000 + k % 2 as freq,
                case when kind = 'report' then k % 4 + 1 end as meas_id
         from sig where kind in ('setup', 'report', 'sync', 'config')),
 ses as (select *, sum(case when kind = 'setup' then 1 end)
-                    over (partition by wo order by t rows unbounded preceding) as session from tok),
+                    over (partition by wo order by t, event_id rows unbounded preceding) as session from tok),
 dec as (select *, lead(target) over x as nt, lead(target_freq) over x as nf
-        from ses where kind <> 'report' or k % 4 <> 0 window x as (partition by wo order by t)),
+        from ses where kind <> 'report' or k % 4 <> 0 window x as (partition by wo order by t, event_id)),
 suc as (select distinct dev, wo, pci as s_pci, freq as s_freq, nt as t_pci, nf as t_freq
         from dec where kind = 'report' and nt is not null),
 fai as (select * from dec where not (kind = 'report' and nt is not null)),
 cnt as (select *, count(meas_id) over (partition by wo, session) as ids from fai),
 kep as (select * from cnt where ids > 0),
 grp as (select *, sum(case when kind in ('sync', 'config') then 0 else 1 end)
-                    over (partition by wo order by t rows unbounded preceding) as g,
-               lead(meas_id) over (partition by wo order by t) as next_id from kep),
-car as (select *, last_value(next_id ignore nulls) over (partition by wo, g order by t
+                    over (partition by wo order by t, event_id rows unbounded preceding) as g,
+               lead(meas_id) over (partition by wo order by t, event_id) as next_id from kep),
+car as (select *, last_value(next_id ignore nulls) over (partition by wo, g order by t, event_id
                     rows between unbounded preceding and unbounded following) as carried from grp),
 obj as (select *, case when kind = 'config' then case carried when 1 then 1 when 2 then 2 when 3 then 1 end end
                     as o from car),
-ob2 as (select *, last_value(o ignore nulls) over (partition by wo, g order by t
+ob2 as (select *, last_value(o ignore nulls) over (partition by wo, g order by t, event_id
                     rows between unbounded preceding and unbounded following) as go from obj),
 frq as (select *, case when kind = 'config' then case go when 1 then 5000 + k % 2 when 2 then 6000 + k % 3 end end
                     as f from ob2),
-fr2 as (select *, last_value(f ignore nulls) over (partition by wo, g order by t
+fr2 as (select *, last_value(f ignore nulls) over (partition by wo, g order by t, event_id
                     rows between unbounded preceding and unbounded following) as gf from frq),
-shi as (select *, lag(gf) over (partition by wo order by t) as t_freq from fr2),
+shi as (select *, lag(gf) over (partition by wo order by t, event_id) as t_freq from fr2),
 rep as (select * from shi where kind = 'report'),
 exl as (select *, unnest([k % 10, (k + 3) % 10]) as t_pci from rep),
 oth as (select * from exl where t_pci <> pci),
-fil as (select * exclude (t_freq), last_value(t_freq ignore nulls) over (partition by wo order by t
-                    range between unbounded preceding and current row) as t_freq from oth)"""
+run as (select *, last_value(t_freq ignore nulls) over (partition by wo order by t, event_id
+                    rows between unbounded preceding and current row) as so_far from oth),
+fil as (select * exclude (t_freq), last_value(so_far) over (partition by wo, t order by event_id
+                    rows between unbounded preceding and unbounded following) as t_freq from run)"""
 
 _PLACE = 'dev as "Device", wo as "WorkOrderId", t as "Time", event as "RRC_NR5G_event"'
 
@@ -309,6 +313,23 @@ def _lists(column: str, text: str) -> str:
     return f"case when kind = 'config' then {text} else '' end as {column}"
 
 
+def _hourly(sql: str) -> str:
+    """The same over events whose times are cut to the hour."""
+    return sql.replace("select event_id, ts, ", "select event_id, date_trunc('hour', ts) as ts, ", 1)
+
+
+def _stored(sql: str, pattern: str, *times: str) -> str:
+    """The rows as they are stored: whole numbers narrow, times as text."""
+    texts = [f"strftime(\"{name}\", '{pattern}') as \"{name}\"" for name in times]
+    numbers = [f'cast("{f.name}" as integer) as "{f.name}"' for f in S.MISSING_RELATION
+               if f.dataType.simpleString() == "int" and f'"{f.name}"' in sql]
+    return f"select * replace ({', '.join(texts + numbers)}) from ({sql})"
+
+
+_MICROSECONDS = "%Y-%m-%d %H:%M:%S.%f"
+_SPAN_TIMES = ("Event_Analysis_Start_Time", "Event_Analysis_End_Time", "Time")
+
+
 def oracle_sql() -> dict[str, str]:
     key = 'dev as "Device", wo as "WorkOrderId", n as "Failed_Event_Number"'
     sig, rad = _signal(), _plus(_base(), _MEASUREMENTS)
@@ -327,6 +348,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "failure_windows": window,
         "failure_windows_sliced": window,
+        "failure_windows_tied": _hourly(window),
         "failure_windows_traffic_fail": f"{_base('Traffic Fail')} select {_KEY}, {_SPAN} from w",
         "window_rows_left": _window_rows("left"),
         "window_rows_inner": _window_rows("inner"),
@@ -414,6 +436,15 @@ def oracle_sql() -> dict[str, str]:
             last_value(case when event_type = 'purchase' then value end ignore nulls)
               over (partition by wo order by ts range between unbounded preceding and current row) as "T_Freq"
             from ev""",
+        "forward_fill_tied": _hourly(f"""{_with(_EVENTS)},
+            run as (select *, last_value(case when event_type = 'purchase' then value end ignore nulls)
+              over (partition by wo order by ts, event_id rows between unbounded preceding and current row) as r from ev)
+            select dev as "Device", wo as "WorkOrderId", ts as "Time", event_id as "MsgId",
+            case when event_type = 'signup' then '"Setup Start"' when event_type = 'purchase' then '"Call End"'
+                 when event_type = 'error' and k % 2 = 0 then 'Data Drop, Traffic Fail'
+                 when event_type = 'error' then 'Data Drop' else event_type end as "Event_CallEvent",
+            last_value(r) over (partition by wo, ts order by event_id
+              rows between unbounded preceding and unbounded following) as "T_Freq" from run"""),
         "array_lookup": """
             with l as (select l_orderkey, l_partkey, l_linenumber, l_quantity,
                               row_number() over (partition by l_orderkey
@@ -426,6 +457,7 @@ def oracle_sql() -> dict[str, str]:
             from f left join l on l.l_orderkey = f.l_orderkey and l.r = f.r""",
         "suspected_missing_relations": suspected,
         "suspected_missing_relations_sliced": suspected,
+        "suspected_missing_relations_tied": _hourly(suspected),
         "table_scan": "select o_orderkey, o_custkey, o_orderpriority from orders",
         "device_lookup": """select event_id, user_id, event_type, value from events
             where user_id in (select c_custkey from customer where c_mktsegment = 'BUILDING')""",
@@ -439,6 +471,9 @@ def oracle_sql() -> dict[str, str]:
         "output_projection_v1": f"""{_base()} select {_KEY}, typ as "Failed_Event_Type",
             strftime(s, '%Y-%m-%d') as "Event_Analysis_Start_Time",
             strftime(e, '%Y-%m-%d') as "Event_Analysis_End_Time" from w""",
+        "output_table_v2": _stored(_diagnosis_v2(), _MICROSECONDS, *_SPAN_TIMES),
+        "output_table_v1": _stored(_diagnosis_v1(), "%Y-%m-%d", *_SPAN_TIMES),
+        "output_table_relations": _stored(suspected, _MICROSECONDS, "Time"),
         "sink_roundtrip": window,
         "sink_roundtrip_csv": f"""{_base()} select {_KEY}, typ as "Failed_Event_Type",
             {text_time.format(c="s", n="Event_Analysis_Start_Time")},

@@ -68,6 +68,11 @@ def _windows(spark: SparkSession, folder: str, profile: Profile = PROFILE) -> Da
     return windows.failure_windows(_calls(spark, folder), profile)
 
 
+def _kept_windows(spark: SparkSession, folder: str, profile: Profile = PROFILE) -> DataFrame:
+    """Windows that a query reads more than once."""
+    return settle(_windows(spark, folder, profile))
+
+
 def _tagged(spark: SparkSession, folder: str, profile: Profile = PROFILE) -> DataFrame:
     found = _windows(spark, folder, profile)
     return signalling.tagged_signalling(found, _signalling(spark, folder), profile)
@@ -77,8 +82,14 @@ def _signalling_facts(spark: SparkSession, folder: str, profile: Profile = PROFI
     return signalling.signalling_facts(_tagged(spark, folder, profile), profile)
 
 
+def _windows_and_facts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    found = _kept_windows(spark, folder)
+    tagged = signalling.tagged_signalling(found, _signalling(spark, folder), PROFILE)
+    return found, signalling.signalling_facts(tagged, PROFILE)
+
+
 def _radio_facts(spark: SparkSession, folder: str, profile: Profile = PROFILE) -> DataFrame:
-    found = _windows(spark, folder, profile)
+    found = _kept_windows(spark, folder, profile)
     return radio.radio_facts(found, _measurements(spark, folder), profile)
 
 
@@ -94,6 +105,12 @@ def failure_windows_sliced(spark, folder):
     return _windows(spark, folder, SLICED)
 
 
+@query
+def failure_windows_tied(spark, folder):
+    """With times cut to the hour, so that many events share an instant and their number orders them."""
+    return windows.failure_windows(event_log.call_events(event_log.hourly(_events(spark, folder))), PROFILE)
+
+
 @query
 def failure_windows_traffic_fail(spark, folder):
     return _windows(spark, folder, FAIL)
@@ -101,7 +118,7 @@ def failure_windows_traffic_fail(spark, folder):
 
 @query
 def window_rows_left(spark, folder):
-    return windows.window_rows(_windows(spark, folder), _probe_rows(spark, folder), PROFILE, "left")
+    return windows.window_rows(_kept_windows(spark, folder), _probe_rows(spark, folder), PROFILE, "left", keep=settle)
 
 
 @query
@@ -112,7 +129,7 @@ def window_rows_inner(spark, folder):
 @query
 def window_rows_bucketed(spark, folder):
     narrow = PROFILE.with_(slice_seconds=43_200)
-    return windows.window_rows(_windows(spark, folder), _probe_rows(spark, folder), narrow, "left")
+    return windows.window_rows(_kept_windows(spark, folder), _probe_rows(spark, folder), narrow, "left", keep=settle)
 
 
 @query
@@ -138,7 +155,7 @@ def window_rows_by_device(spark, folder):
 @query
 def event_messages(spark, folder):
     found = _calls(spark, folder).select("Time", "WorkOrderId", "Device", "Event_CallEvent")
-    return windows.event_messages(found, PROFILE)
+    return windows.event_messages(found, PROFILE, settle)
 
 
 # --- detectors --------------------------------------------------------------------
@@ -161,7 +178,7 @@ def lost_signal(spark, folder):
 @query
 def missing_signalling(spark, folder):
     return signalling.missing_signalling(
-        _windows(spark, folder), _signalling_facts(spark, folder), PROFILE)
+        *_windows_and_facts(spark, folder), PROFILE)
 
 
 @query
@@ -199,30 +216,29 @@ def handovers(spark, folder):
 
 @query
 def last_report_subwindow(spark, folder):
-    return signalling.last_report_subwindow(
-        _windows(spark, folder), _signalling_facts(spark, folder), PROFILE)
+    return signalling.last_report_subwindow(*_windows_and_facts(spark, folder), PROFILE)
 
 
 @query
 def subwindow_radio(spark, folder):
-    found = last_report_subwindow(spark, folder)
+    found = settle(last_report_subwindow(spark, folder))
     return radio.subwindow_radio(found, _measurements(spark, folder), PROFILE)
 
 
 @query
 def subwindow_radio_v1(spark, folder):
-    found = last_report_subwindow(spark, folder)
+    found = settle(last_report_subwindow(spark, folder))
     return radio.subwindow_radio(found, _measurements(spark, folder), PROFILE_V1)
 
 
 def _stretch(spark, folder, found, tagged):
-    facts = signalling.signalling_facts(tagged, PROFILE)
+    facts = settle(signalling.signalling_facts(tagged, PROFILE))
     return handover.last_stretch_facts(found, facts, _measurements(spark, folder), PROFILE)
 
 
 @query
 def handover_failure(spark, folder):
-    found = _windows(spark, folder)
+    found = _kept_windows(spark, folder)
     tagged = settle(signalling.tagged_signalling(found, _signalling(spark, folder), PROFILE))
     success = handover.handover_success(tagged, PROFILE)
     return handover.handover_failure(_stretch(spark, folder, found, tagged), success, PROFILE)
@@ -230,7 +246,9 @@ def handover_failure(spark, folder):
 
 @query
 def missing_neighbour(spark, folder):
-    stretch = _stretch(spark, folder, _windows(spark, folder), _tagged(spark, folder))
+    found = _kept_windows(spark, folder)
+    tagged = signalling.tagged_signalling(found, _signalling(spark, folder), PROFILE)
+    stretch = _stretch(spark, folder, found, tagged)
     return handover.missing_neighbour(stretch, PROFILE)
 
 
@@ -407,6 +425,14 @@ def forward_fill(spark, folder):
     return relations.forward_fill(rows, PROFILE)
 
 
+@query
+def forward_fill_tied(spark, folder):
+    rows = event_log.call_events(event_log.hourly(_events(spark, folder))).select(
+        "Device", "WorkOrderId", "Time", "MsgId", "Event_CallEvent",
+        F.when(F.col("Event_CallEvent") == PROFILE.end_text, F.col("Latitude")).alias("T_Freq"))
+    return relations.forward_fill(rows, PROFILE)
+
+
 @query
 def array_lookup(spark, folder):
     """Line number and quantity of each order's third part, by position in parallel arrays."""
@@ -425,6 +451,12 @@ def suspected_missing_relations(spark, folder):
     return relations.suspected_missing_relations(_signalling(spark, folder), PROFILE)
 
 
+@query
+def suspected_missing_relations_tied(spark, folder):
+    rows = event_log.signalling(event_log.hourly(_events(spark, folder)))
+    return relations.suspected_missing_relations(rows, PROFILE)
+
+
 @query
 def suspected_missing_relations_sliced(spark, folder):
     return relations.suspected_missing_relations(_signalling(spark, folder), SLICED)
@@ -475,6 +507,22 @@ def output_projection_v1(spark, folder):
     return sinks.times_as_text(_windows(spark, folder), sinks.DATE_TEXT)
 
 
+@query
+def output_table_v2(spark, folder):
+    """All columns of the newer diagnosis as they are stored, times as text."""
+    return sinks.output_projection(diagnosis_v2(spark, folder), S.DIAGNOSIS_V2, sinks.MICROSECOND_TEXT)
+
+
+@query
+def output_table_v1(spark, folder):
+    return sinks.output_projection(diagnosis_v1(spark, folder), S.DIAGNOSIS_V1, sinks.DATE_TEXT)
+
+
+@query
+def output_table_relations(spark, folder):
+    return sinks.output_projection(suspected_missing_relations(spark, folder), S.MISSING_RELATION, sinks.MICROSECOND_TEXT)
+
+
 @query
 def sink_roundtrip(spark, folder):
     place = new_path(spark, "sink")

@@ -4,6 +4,8 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry_module
+from callcause.catalog.oracles import oracle_sql
+from callcause.catalog.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,16 +16,17 @@ def connection():
 
 
 def test_every_query_has_a_statement():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) == set(oracle_sql())
+    assert set(QUERIES) <= set(entry_module.queries())
 
 
 # At this size nothing ping-pongs and few windows hold a whole handover.
 MAY_BE_EMPTY = {"pingpong_handover", "handover_success", "handover_failure", "missing_neighbour", "handovers"}
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_statement(spark, connection, name):
-    found = differences(entry_module.queries()[name](spark, FOLDER), connection, entry_module.oracle_sql()[name])
+    found = differences(QUERIES[name](spark, FOLDER), connection, oracle_sql()[name])
     if name in MAY_BE_EMPTY:
         found = [text for text in found if text != "empty"]
     assert found == []
