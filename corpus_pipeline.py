@@ -13,7 +13,7 @@ from callcause.llm.queries import VOCABULARY
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # A document goes if no language has at least this mean probability over its positions.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
