@@ -17,12 +17,16 @@ LEAST_SCORE = 0.35
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language the network is sure enough of; it learns from their own labels, less the held-out fifth."""
+    """Documents with letters whose language the network is sure enough of.
+
+    It learns from their own labels, less the held-out fifth; without labels all documents with letters stay.
+    """
     small_batches(spark)
     network = byte_gru.train_network(docs.filter(~byte_gru.held_out(F.col("doc_id"))))
+    if network is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = byte_gru.identify(docs.select(*COLUMNS), network)
-    sure = F.lit(network is None) | (F.col("score") >= LEAST_SCORE)
-    return found.filter(((F.col("lang_pred") != byte_gru.UNKNOWN) | F.lit(network is None)) & sure).select(*COLUMNS)
+    return found.filter((F.col("lang_pred") != byte_gru.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
