@@ -101,7 +101,7 @@ def _cut(vocab: Vocabulary, pieces: list[bytes]) -> list[tuple[np.ndarray, np.nd
 
 def trees_of(vocab: Vocabulary, pieces: list[bytes]) -> list[Tree]:
     """A tree for each text; one leaf if the library must encode the text whole."""
-    if vocab.known > 400_000:
+    if vocab.full:
         vocab.clear()
     found = []
     for piece, cut in zip(pieces, _cut(vocab, pieces)):
@@ -196,7 +196,7 @@ def apply_edits(vocab: Vocabulary, documents: list[Document]) -> None:
         open_ += [d.next_edit() for d in documents if d.done < len(d.edits) and id(d) not in busy]
         if not open_:
             return
-        if vocab.known > 400_000:
+        if vocab.full:
             vocab.clear()
         pieces = [c.stretch() for c in open_]
         open_ = [c for c, piece, cut in zip(open_, pieces, _cut(vocab, pieces)) if not c.settle(vocab, piece, cut)]

@@ -15,12 +15,14 @@ import re
 
 import numpy as np
 import regex
+import tiktoken
+import tokenizers
 
 from callcause.llm import hashing
 
 SPECIAL = "<|endoftext|>"
 # Distinct pre-tokens that are remembered at most; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 _CONTRACTIONS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
 
@@ -106,34 +108,37 @@ class Vocabulary:
     """A vocabulary file of the tokenizers library, for encoding and decoding of batches."""
 
     def __init__(self, path: str):
-        import tokenizers
-
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
-        self.library = tokenizers.Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         letters = _byte_letters()
-        self.tokens: dict[int, bytes] = {}
+        tokens: dict[int, bytes] = {}
         for token, number in described["model"]["vocab"].items():
-            self.tokens[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+            tokens[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
+        ranks = {token: number for number, token in tokens.items() if number not in self.special.values()}
         for content, number in self.special.items():
-            self.tokens[number] = content.encode()
-        self.strings = Strings([self.tokens.get(k, b"") for k in range(max(self.tokens) + 1)])
-        self.decimals = Strings([f"{k},".encode() for k in range(max(self.tokens) + 1)])
+            tokens[number] = content.encode()
+        self.strings = Strings([tokens.get(k, b"") for k in range(max(tokens) + 1)])
         before = described["pre_tokenizer"] or {}
         self.fast = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
                      and not described["normalizer"] and not described["post_processor"]
                      and set(self.special) <= {SPECIAL} and not described["model"].get("dropout"))
-        self._merger = self._merges() if self.fast else None
+        self._merger = tiktoken.Encoding(
+            "vocabulary", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}) if self.fast else None
         self.clear()
 
-    def _merges(self):
-        import tiktoken
+    @functools.cached_property
+    def library(self) -> tokenizers.Tokenizer:
+        """The tokenizers library itself, loaded when a text needs it."""
+        found = tokenizers.Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
 
-        ranks = {token: number for number, token in self.tokens.items() if number not in self.special.values()}
-        return tiktoken.Encoding("vocabulary", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    @property
+    def full(self) -> bool:
+        return self.known > REMEMBERED
 
     def clear(self) -> None:
         """Forget all pre-tokens."""
@@ -195,7 +200,7 @@ class Vocabulary:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts end to end, and how many each text has."""
-        if self.known > REMEMBERED:
+        if self.full:
             self.clear()
         slow = self.slow_rows(data, offsets)
         quick, quick_offsets, rows = without_rows(data, offsets, slow)
