@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from callcause.catalog.queries import QUERIES  # noqa: E402
 
 HEADLINE = [
-    "failure_windows", "window_rows_inner", "window_rows_keyed", "window_rows_linear",
+    "failure_windows", "window_rows_left", "window_rows_inner", "window_rows_linear",
     "radio_condition", "roaming", "event_a3_config", "handover_success", "handover_failure",
     "rach_failure", "pingpong_handover", "high_bler", "diagnosis_v2", "diagnosis_v1",
     "relation_success", "suspected_missing_relations",
