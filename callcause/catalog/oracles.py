@@ -212,7 +212,7 @@ _HEAD = ('n as "Failed_Event_Number", typ as "Failed_Event_Type", s as "Event_An
          + _CONTEXT_OUT.format(a="al"))
 
 
-def _diagnosis_v2(marker: str = "Drop", where: str = "true") -> str:
+def _diagnosis_v2(marker: str = "Drop", where: str = "true", counts_empty: bool = False, pingpong: bool = True) -> str:
     tags = [
         ("poor", "poor_t", "Poor RF condition"),
         ("lost", "s", "Lost UE"),
@@ -228,13 +228,13 @@ def _diagnosis_v2(marker: str = "Drop", where: str = "true") -> str:
     ]
     found = " union all ".join(
         f"select dev, wo, n, {time} as t, {rank} as r, '{tag}' as tag from al where {condition}"
-        for rank, (condition, time, tag) in enumerate(tags))
+        for rank, (condition, time, tag) in enumerate(tags) if pingpong or condition != "pingpong")
     radio = ", ".join(f'case when poor then {c} end as "{name}"' for c, name in [
         ("chs", "NR5G_PCC_NARFCN"), ("pcis", "NR5G_PCC_PCI"), ("rsrp_avg", "NR5G_PCC_RSRP_Avg"),
         ("rsrp_min", "NR5G_PCC_RSRP_Min"), ("sinr_avg", "NR5G_PCC_SINR_Avg"), ("sinr_min", "NR5G_PCC_SINR_Min")])
     last = ", ".join(f'case when stuck and not handed then {c} end as "{name}"' for c, name in [
         ("pcis_l", "NR5G_PCC_PCI_Last"), ("rsrp_l", "NR5G_PCC_RSRP_Last"), ("sinr_l", "NR5G_PCC_SINR_Last")])
-    return _plus(_facts(marker, False), f"""
+    return _plus(_facts(marker, counts_empty), f"""
 tg as ({found}),
 an as (select wo as awo, n as an, string_agg(tag, ', ' order by t nulls first, r) as tags from tg group by wo, n)
 select {_HEAD}, {radio}, case when roam_t is not null then codes end as "MCC_MNC", {last},
@@ -471,6 +471,10 @@ def oracle_sql() -> dict[str, str]:
         "output_projection_v1": f"""{_base()} select {_KEY}, typ as "Failed_Event_Type",
             strftime(s, '%Y-%m-%d') as "Event_Analysis_Start_Time",
             strftime(e, '%Y-%m-%d') as "Event_Analysis_End_Time" from w""",
+        "diagnosis_v2_counting_empty_checks": _diagnosis_v2(counts_empty=True),
+        "diagnosis_v2_without_pingpong": _diagnosis_v2(pingpong=False),
+        "diagnosis_v2_one_cell_by_text": _diagnosis_v2().replace("lf.cells <= 1", "length(lf.pcis) < 5"),
+        "diagnosis_v2_low_bler_ceiling": _diagnosis_v2().replace(f"> {BLER}", "> 10"),
         "output_table_v2": _stored(_diagnosis_v2(), _MICROSECONDS, *_SPAN_TIMES),
         "output_table_v1": _stored(_diagnosis_v1(), "%Y-%m-%d", *_SPAN_TIMES),
         "output_table_relations": _stored(suspected, _MICROSECONDS, "Time"),

@@ -298,6 +298,26 @@ def diagnosis_v2_sliced(spark, folder):
     return diagnosis.diagnose(_tables(spark, folder), SLICED)
 
 
+@query
+def diagnosis_v2_counting_empty_checks(spark, folder):
+    return diagnosis.diagnose(_tables(spark, folder), PROFILE.with_(ignore_empty_checks=False))
+
+
+@query
+def diagnosis_v2_without_pingpong(spark, folder):
+    return diagnosis.diagnose(_tables(spark, folder), PROFILE.with_(legacy_pingpong_v2=True))
+
+
+@query
+def diagnosis_v2_one_cell_by_text(spark, folder):
+    return diagnosis.diagnose(_tables(spark, folder), PROFILE.with_(legacy_single_pci=True))
+
+
+@query
+def diagnosis_v2_low_bler_ceiling(spark, folder):
+    return diagnosis.diagnose(_tables(spark, folder), PROFILE.with_(bler_ceiling=10.0))
+
+
 @query
 def diagnosis_v1(spark, folder):
     return diagnosis.diagnose(_tables(spark, folder), PROFILE_V1)
