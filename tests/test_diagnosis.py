@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from frames import (DROP, SETUP, accesses, at, blers, events, events_with_context, report, samples,
+from frames import (DROP, SETUP, accesses, at, blers, events_with_context, report, samples,
                     seconds, signals, sync)
 from pyspark.sql import functions as F
 

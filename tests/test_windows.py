@@ -1,5 +1,5 @@
 import pytest
-from frames import DROP, END, SETUP, events, samples, seconds, signals
+from frames import DROP, END, SETUP, events, samples, seconds
 
 from callcause.operators import windows as W
 from callcause.profile import Profile
