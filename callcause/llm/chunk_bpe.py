@@ -11,21 +11,23 @@ both agree. A stretch that does not agree is widened, at last to the whole text.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from callcause.llm import hashing
 from callcause.llm.common import doc_batches, lists, map_batches
-from callcause.llm.pretokens import Vocabulary, expand, pretoken_starts, vocabulary, without_rows
+from callcause.llm.hashing import expand
+from callcause.llm.pretokens import Vocabulary, pretoken_starts, vocabulary, without_rows
 
 # Bytes that the rolling hash sees, and mean distance of cuts; a cut within LEAST bytes after another is dropped.
 ROLLING, MEAN, LEAST = 16, 512, 96
 # Pre-tokens of the left chunk that are encoded again, and of the right chunk in the first and the second attempt.
 BACK, AHEAD = 2, (4, 24)
 # Pre-tokens of chunks that are remembered at most, in one task.
-REMEMBERED = 3_000_000
-SKETCH = 4
+REMEMBERED = 1_000_000
 RESULTS = ("ids",)
 
 
@@ -130,7 +132,7 @@ class Chunks:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts end to end and how many each has; the same as without chunks."""
-        if self.vocab.known > 400_000 or len(self.slots) > REMEMBERED:
+        if self.vocab.full or len(self.slots) > REMEMBERED:
             self.vocab.clear()
             self.clear()
         slow = self.vocab.slow_rows(data, offsets)
@@ -187,10 +189,10 @@ class Chunks:
         return self.vocab.ids_of(slots), np.diff(totals[np.concatenate([[0], np.cumsum(in_doc)])])
 
 
-def _sketch(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+def _sketch(batch: pa.RecordBatch, text: str) -> dict[str, pa.Array]:
     """The least hash of a text's chunks: texts that share most chunks mostly share it."""
     found = []
-    for data, offsets, _, _ in doc_batches(batch.column("_read"), 1_000_000):
+    for data, offsets, _, _ in doc_batches(batch.column(text), 1_000_000):
         least = np.zeros(len(offsets) - 1, np.uint64)
         starts = chunk_starts(data, offsets)
         if len(starts):
@@ -202,24 +204,27 @@ def _sketch(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     return {"_sketch": pa.array(np.concatenate(found))}
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", together: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", together: bool = True,
+           keep: Sequence[str] | None = None) -> DataFrame:
     """All rows and columns with ids, the tokenizers library's encoding without special tokens added.
 
     A null or empty text has no ids. ``together`` first deals the rows by their
     sketch, so that shared chunks meet in one task; partitions that get too many
-    rows are split again by the engine. An input column named ids gives way.
+    rows are split again by the engine. ``keep`` names the columns that stay
+    (None: all). A text of another type comes out as a string, and an input
+    column named ids gives way.
     """
-    keep = [c for c in docs.columns if c not in RESULTS]
-    read = docs.withColumn("_read", F.col(text).cast("string"))
+    keep = [c for c in docs.columns if c not in RESULTS and (keep is None or c in keep)]
+    read = docs.select(*[F.col(c).cast("string").alias(c) if c == text else F.col(c) for c in {**dict.fromkeys(keep), text: None}])
     if together:
-        sketched = map_batches(read, _sketch, [T.StructField("_sketch", T.LongType())])
+        sketched = map_batches(read, lambda batch: _sketch(batch, text), [T.StructField("_sketch", T.LongType())])
         read = sketched.hint("rebalance", "_sketch").drop("_sketch")
 
     def work_of(batches):
         chunks = Chunks(vocabulary(path))
         for batch in batches:
             if batch.num_rows:
-                parts = [chunks.encode(data, offsets) for data, offsets, _, _ in doc_batches(batch.column("_read"), 1_000_000)]
+                parts = [chunks.encode(data, offsets) for data, offsets, _, _ in doc_batches(batch.column(text), 1_000_000)]
                 ids = lists(np.concatenate([p[0] for p in parts]).view(np.int32), np.concatenate([p[1] for p in parts]), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [ids], keep + ["ids"])
 
@@ -241,7 +246,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
 
 def query(documents: DataFrame, path: str) -> DataFrame:
-    coded = decode(encode(documents.select("doc_id", "text"), path).drop("text"), path)
+    coded = decode(encode(documents.select("doc_id", "text"), path, keep=("doc_id",)), path)
     joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))

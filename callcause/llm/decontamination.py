@@ -124,12 +124,6 @@ def _count_shingles(docs: DataFrame, text: str, known: dict[int, np.ndarray]) ->
     return found.groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each start and count, end to end."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
-
-
 def hits(words: hashing.Words, index: Index, lookups: dict[int, Lookup]) -> tuple[np.ndarray, np.ndarray]:
     """First word and window of every occurrence of a window inside one text."""
     found = []
@@ -137,7 +131,7 @@ def hits(words: hashing.Words, index: Index, lookups: dict[int, Lookup]) -> tupl
         _, bounds, owner, place = index.prefix[s]
         first, hashes = words.runs(s)
         at, which = lookup.find(hashes)
-        entries = _expand(bounds[which], bounds[which + 1] - bounds[which])
+        entries = hashing.expand(bounds[which], bounds[which + 1] - bounds[which])
         position = np.repeat(first[at], bounds[which + 1] - bounds[which])
         window = owner[entries]
         start = position - place[entries]

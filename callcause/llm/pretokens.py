@@ -19,6 +19,7 @@ import tiktoken
 import tokenizers
 
 from callcause.llm import hashing
+from callcause.llm.hashing import expand
 
 SPECIAL = "<|endoftext|>"
 # Distinct pre-tokens that are remembered at most; beyond it the memory starts anew.
@@ -79,12 +80,6 @@ def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each start and count, end to end."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
-
-
 class Strings:
     """Byte strings by number, kept end to end, so that many are looked up at once."""
 

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
 import public_tokenizers
 import pytest
 
