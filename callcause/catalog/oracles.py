@@ -9,7 +9,7 @@ from __future__ import annotations
 from callcause import schemas as S
 
 # Fixed values that the profile of the queries uses.
-DIGITS, RSRP, SINR, BLER, GAP = 6, -110, 0, 60, 259_200
+DIGITS, RSRP, SINR, BLER, GAP = 6, -110, 0, 60, 5
 
 _EVENTS = """
 ev as (select event_id, ts, user_id as wo, user_id // 2 as dev, event_type, value,
@@ -36,16 +36,16 @@ _SPAN = ('w.typ as "Failed_Event_Type", w.s as "Event_Analysis_Start_Time", '
 
 # One row per signalling row: its kind, and the fields a decoded message would give.
 _SIGNALLING = """
+han as (select *, unnest(case when k % 6 = 0 then [0, 3, 6] else [0] end) as off
+        from ev where event_type = 'click' and k % 3 = 0),
 raw as (
   select dev, wo, ts as t, k, event_id, value, 'setup' as kind, k % 10 as pci from ev where event_type = 'signup'
   union all select dev, wo, ts, k, event_id, value, 'info', k % 10 from ev where event_type = 'purchase' and k % 2 = 0
   union all select dev, wo, ts, k, event_id, value, 'report', (k + 1) % 10 from ev where event_type = 'view'
-  union all select dev, wo, ts, k, event_id, value, 'sync', (k + 1) % 10 from ev where event_type = 'click' and k % 3 = 0
-  union all select dev, wo, ts + interval 1 second, k, event_id, value, 'complete',
-                   case when k % 6 = 0 then k % 10 else (k + 5) % 10 end
-            from ev where event_type = 'click' and k % 3 = 0
-  union all select dev, wo, ts + interval 2 second, k, event_id, value, 'sib', k % 10
-            from ev where event_type = 'click' and k % 3 = 0
+  union all select dev, wo, ts + to_seconds(off), k, event_id, value, 'sync', (k + 1) % 10 from han
+  union all select dev, wo, ts + to_seconds(off + 1), k, event_id, value, 'complete',
+                   case when k % 6 = 0 then k % 10 else (k + 5) % 10 end from han
+  union all select dev, wo, ts + to_seconds(off + 2), k, event_id, value, 'sib', k % 10 from han
   union all select dev, wo, ts, k, event_id, value, 'config', (k + 1) % 10 from ev where event_type = 'click' and k % 3 = 1
   union all select dev, wo, ts, k, event_id, value, 'request', (k + 1) % 10 from ev where event_type = 'click' and k % 3 = 2
   union all select dev, wo, ts + interval 1 second, k, event_id, value,

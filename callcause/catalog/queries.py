@@ -19,7 +19,7 @@ from callcause.sources import event_log, sinks, tables
 
 # The event log spans weeks and its events are hours apart, so gaps and slices are wide here.
 # Six digits keep rounding equal in other engines.
-PROFILE = Profile(slice_seconds=5 * 86_400, digits=6, bler_ceiling=60.0, pingpong_seconds=259_200.0)
+PROFILE = Profile(slice_seconds=5 * 86_400, digits=6, bler_ceiling=60.0)
 # The same with every series cut into slices, as it is for very long ones.
 SLICED = PROFILE.with_(chunk_seconds=5 * 86_400)
 PROFILE_V1 = PROFILE.with_(version="v1")

@@ -142,6 +142,12 @@ def _signalling_rows() -> str:
                "case when k % 4 = 0 then 'T-Mobile' when k % 3 = 0 then 'AT&T' else 'Home' end)")
     request = _row(0, f"'{S.REESTABLISH_REQUEST}'", serving)
 
+    def handover(start: int) -> list[str]:
+        return [_row(start, f"'{S.RECONFIGURATION}'", serving, _sync_message()),
+                _row(start + 1, f"'{S.RECONFIGURATION_COMPLETE}'",
+                     f"case when k % 6 = 0 then {target} else (k + 5) % 10 end"),
+                _row(start + 2, "'BCCH systemInformationBlockType1'", target)]
+
     def rows(condition: str, *found: str) -> str:
         return f"when {condition} then array({', '.join(found)})"
 
@@ -150,11 +156,8 @@ def _signalling_rows() -> str:
         rows("event_type = 'signup'", _row(0, "'5GNR rrcSetupRequest'", target)),
         rows("event_type = 'purchase' and k % 2 = 0", _row(0, network, target)),
         rows("event_type = 'view'", _row(0, f"'{S.REPORT}'", serving, _report_message())),
-        rows("event_type = 'click' and k % 3 = 0",
-             _row(0, f"'{S.RECONFIGURATION}'", serving, _sync_message()),
-             _row(1, f"'{S.RECONFIGURATION_COMPLETE}'",
-                  f"case when k % 6 = 0 then {target} else (k + 5) % 10 end"),
-             _row(2, "'BCCH systemInformationBlockType1'", target)),
+        rows("event_type = 'click' and k % 6 = 0", *handover(0), *handover(3), *handover(6)),
+        rows("event_type = 'click' and k % 3 = 0", *handover(0)),
         rows("event_type = 'click' and k % 3 = 1",
              _row(0, f"'{S.RECONFIGURATION}'", serving, _config_message())),
         rows("event_type = 'click' and k % 4 = 0", request),
@@ -168,7 +171,10 @@ def _signalling_rows() -> str:
 
 
 def signalling(events: DataFrame) -> DataFrame:
-    """RRC rows of sign-ups, purchases, views and clicks; a click makes up to three, a second apart."""
+    """RRC rows of sign-ups, purchases, views and clicks; a click makes up to nine, a second apart.
+
+    Every sixth k brings three handovers in a row, so that some windows go to and fro.
+    """
     # The outer form keeps Spark from testing the built rows once more in a filter below.
     return (_base(events).selectExpr("*", f"{_signalling_rows()} as _rows")
             .selectExpr("*", "inline_outer(_rows)").filter("RRC_NR5G_event is not null")
