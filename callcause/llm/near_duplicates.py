@@ -9,8 +9,9 @@ All pairs that survive are verified on the full sets.
 Candidates come in two rounds. First every member of a bucket meets the bucket's
 pivot, so a group of copies makes as many pairs as members. Links found so join
 classes to components. Then, only in buckets that still hold several components,
-members of different components meet, block by block. Pairs inside one component
-cannot change the result and are left out; no other candidate is.
+members of different components meet, block by block, and are verified on the
+spot. Pairs inside one component cannot change the result and are left out; no
+other candidate is.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ PERCENT = 85
 BANDS, ROWS = 25, 5
 # Probability at which a pair that reaches the threshold may be pruned by its signatures.
 MISS = 1e-6
-BLOCK = 2_048
+BLOCK = 1_024
 RESULTS = ("n_shingles", "component_id", "kept")
 _STEP = 1_000_000
 _HASH_BITS = np.uint64(52)
@@ -163,11 +164,22 @@ def _pivot_pairs(buckets: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def _cross_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket, less those that their signatures rule out.
+def _linked(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two sets have 100 * intersection >= percent * union."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def _cross_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of a bucket: one for every two components that have any there.
 
     A bucket's members are dealt into blocks of about BLOCK; every two blocks
-    meet in a group of their own, so no group grows with the bucket.
+    meet in a group of their own, so no group grows with the bucket. Pairs that
+    signatures do not rule out are verified on the sets, likely ones first, and
+    a pair is passed over once a link has joined its components.
     """
     tagged = buckets.join(labels, buckets["c"] == labels["u"], "left").select(
         "key", "c", F.coalesce("v", "c").alias("component"))
@@ -175,29 +187,39 @@ def _cross_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> D
                                       F.count(F.lit(1)).alias("n")).filter("a != b")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = (tagged.join(open_.select("key", blocks.alias("blocks")), "key")
-               .join(classes.select("c", "_signature"), "c")
+               .join(classes.select("c", "_signature"), "c").join(sets, "c")
                .withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .select("key", "c", "component", "_signature", "block", F.least("block", "other").alias("i"),
+               .select("key", "c", "component", "_signature", "set", "block", F.least("block", "other").alias("i"),
                        F.greatest("block", "other").alias("j")))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         left, right = group[group["block"] == i], group[group["block"] == j]
+        parent = {c: c for c in group["component"]}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
         a, b = _matrix(left["_signature"]), _matrix(right["_signature"])
         mine, theirs = left["component"].to_numpy(), right["component"].to_numpy()
         u, v = left["c"].to_numpy(), right["c"].to_numpy()
-        found_u, found_v = [], []
+        my_sets, their_sets = left["set"].to_list(), right["set"].to_list()
+        found = []
         for k in range(len(left)):
             partners = np.flatnonzero((theirs != mine[k]) & ((v > u[k]) if i == j else True))
-            if len(partners):
-                alive = survivors(np.broadcast_to(a[k], (len(partners), a.shape[1])), b[partners])
-                found_u.append(np.full(len(alive), u[k]))
-                found_v.append(v[partners[alive]])
-        if not found_u:
-            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-        u, v = np.concatenate(found_u), np.concatenate(found_v)
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+            if not len(partners):
+                continue
+            partners = partners[survivors(np.broadcast_to(a[k], (len(partners), a.shape[1])), b[partners])]
+            likely = np.argsort(-(b[partners] == a[k]).sum(axis=1), kind="stable")
+            for partner in partners[likely]:
+                one, other = root(mine[k]), root(theirs[partner])
+                if one != other and _linked(my_sets[k], their_sets[partner], percent):
+                    parent[one] = other
+                    found.append((min(u[k], v[partner]), max(u[k], v[partner])))
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return members.groupBy("key", "i", "j").applyInPandas(meet, "u long, v long").distinct()
 
@@ -206,13 +228,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
     def run(batches):
         for batch in batches:
-            good = np.zeros(len(batch), bool)
-            for k, (a, b) in enumerate(zip(batch["set_u"], batch["set_v"])):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = np.sort(np.concatenate([a, b]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                good[k] = 100 * shared >= percent * (len(both) - shared)
-            yield batch[good][["u", "v"]]
+            good = [_linked(a, b, percent) for a, b in zip(batch["set_u"], batch["set_v"])]
+            yield batch[np.array(good, bool)][["u", "v"]]
 
     return (pairs.join(sets.select(F.col("c").alias("u"), F.col("set").alias("set_u")), "u")
             .join(sets.select(F.col("c").alias("v"), F.col("set").alias("set_v")), "v")
@@ -273,8 +290,7 @@ def mark_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "
                      .dropDuplicates(["c"]), "sets")
     links = kept.keep(_verify(candidates, sets, PERCENT), "links")
     labels = components(links, kept)
-    rest = _cross_pairs(busy, labels, classes).join(candidates, ["u", "v"], "left_anti")
-    more = kept.keep(_verify(rest, sets, PERCENT), "links")
+    more = kept.keep(_cross_links(busy, labels, classes, sets, PERCENT), "links")
     labels = components(labels.unionByName(more), kept)
 
     named = groups.join(labels, groups["c"] == labels["u"], "left").select(
