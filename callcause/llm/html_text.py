@@ -227,21 +227,24 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", templat
     """
     kept = Kept(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
-    source = without(pages.withColumn("_html", F.col(html).cast("string")).withColumn("_host", host), (html, *RESULTS))
-    parsed = kept.keep(map_batches(
-        source, _parse_batch, _FIELDS, keep=[c for c in source.columns if c != "_html"])
-        .withColumn("_row", F.monotonically_increasing_id()), "pages")
-
-    prints = parsed.select("_row", "_host", "_article", F.explode("_prints").alias("_print"))
+    # Rows equal in url and html have equal texts; 128 bits of hash stand for both.
+    source = without(pages.withColumns({
+        "_html": F.col(html).cast("string"), "_host": host, "_p": F.xxhash64(url, html),
+        "_q": F.xxhash64(F.lit("second"), url, html)}), (html, *RESULTS))
+    parsed = map_batches(source, _parse_batch, _FIELDS, keep=[c for c in source.columns if c != "_html"])
+
+    # Parsing runs once for the prints, which are kept, and once for the blocks, which are not.
+    prints = kept.keep(parsed.select("_p", "_q", "_host", "_article", F.explode("_prints").alias("_print")), "prints")
     template = (prints.select("_host", "_print", "_article").distinct().groupBy("_host", "_print")
                 .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= template_pages).select("_host", "_print"))
     # A page's own recurring subtrees: at most as many as it has elements.
-    own = prints.join(template, ["_host", "_print"]).groupBy("_row").agg(F.collect_set("_print").alias("_template"))
+    own = kept.keep(prints.join(template, ["_host", "_print"]).groupBy("_p", "_q")
+                    .agg(F.collect_set("_print").alias("_template")), "template")
     blocks = F.when(F.col("_template").isNull(), F.col("_blocks")).otherwise(
         F.filter("_blocks", lambda b: ~F.arrays_overlap(b["inside"], F.col("_template"))))
     text = F.array_join(F.transform(blocks, lambda b: b["text"]), " ")
-    names = [c for c in source.columns if c not in ("_html", "_host")]
-    return (parsed.join(own, "_row", "left").select(*names, text.alias("text"))
+    names = [c for c in source.columns if c not in ("_html", "_host", "_p", "_q")]
+    return (parsed.drop("_prints", "_article").join(own, ["_p", "_q"], "left").select(*names, text.alias("text"))
             .withColumn("n_chars", F.char_length("text").cast("long")))
 
 
