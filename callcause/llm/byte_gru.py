@@ -19,9 +19,10 @@ from callcause.llm.common import doc_batches, map_batches
 WINDOW = 64
 HIDDEN = 8
 # Labelled documents per language that training sees at most, and characters of a piece of each.
-TRAIN_DOCS = 600
+TRAIN_DOCS = 400
 TRAIN_CHARS = 300
-EPOCHS = 30
+# Steps of the optimiser, and windows that each sees.
+STEPS, BATCH = 400, 256
 UNKNOWN = "und"
 RESULTS = ("lang_pred", "score")
 _LANES = 4_096
@@ -76,7 +77,7 @@ def _forward(d: Direction, window: np.ndarray, alive: np.ndarray | None, tape: l
 def _backward(d: Direction, window: np.ndarray, tape: list, grads: np.ndarray) -> Direction:
     """Gradients of a direction's weights, from those of its states."""
     size = d.matrix.shape[1]
-    table, matrix, bias = np.zeros_like(d.table), np.zeros_like(d.matrix), np.zeros_like(d.bias)
+    matrix, bias, inputs = np.zeros_like(d.matrix), np.zeros_like(d.bias), []
     carry = np.zeros_like(grads[0])
     for t in range(len(grads) - 1, -1, -1):
         before, z, r, new, u_new = tape[t]
@@ -88,8 +89,10 @@ def _backward(d: Direction, window: np.ndarray, tape: list, grads: np.ndarray) -
         u = np.concatenate([g_z, g_r, g_new * r])
         matrix += u @ before.T
         bias += u.sum(axis=1)
-        np.add.at(table.T, window[t], x.T)
+        inputs.append(x)
         carry = g * z + d.matrix.T @ u
+    each, bytes_ = np.concatenate(inputs, axis=1), window[::-1].ravel()
+    table = np.stack([np.bincount(bytes_, row, 256) for row in each]).astype(d.table.dtype)
     return Direction(table, matrix, bias)
 
 
@@ -143,25 +146,23 @@ class Network:
         back = _backward(self.directions[1], window[::-1], tapes[1], np.ascontiguousarray(g_states[::-1, size:]))
         return loss, [*vars(ahead).values(), *vars(back).values(), out, g.sum(axis=(0, 2))]
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, batch: int = 256,
-              rate: float = 0.01, seed: int = 7) -> None:
-        """Adam over shuffled batches of windows (lane, time)."""
+    def train(self, windows: np.ndarray, labels: np.ndarray, steps: int = STEPS, batch: int = BATCH,
+              rate: float = 0.02, seed: int = 7) -> None:
+        """Adam over shuffled batches of windows (lane, time), at a rate that falls to nothing."""
         rng = np.random.default_rng(seed)
         weights = self._weights()
         first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-        step = 0
-        for _ in range(epochs):
-            order = rng.permutation(len(windows))
-            for low in range(0, len(order), batch):
-                chosen = order[low:low + batch]
-                _, grads = self.gradients(np.ascontiguousarray(windows[chosen].T), labels[chosen])
-                step += 1
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
-                for w, g, m, v in zip(weights, grads, first, second):
-                    g = g * min(1.0, 1.0 / (norm + 1e-9))
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        order = np.concatenate([rng.permutation(len(windows)) for _ in range(-(-steps * batch // len(windows)))])
+        for step in range(1, steps + 1):
+            chosen = order[(step - 1) * batch:step * batch]
+            _, grads = self.gradients(np.ascontiguousarray(windows[chosen].T), labels[chosen])
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+            now = rate * (1 - (step - 1) / steps)
+            for w, g, m, v in zip(weights, grads, first, second):
+                g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+                m += np.float32(0.1) * (g - m)
+                v += np.float32(0.01) * (g * g - v)
+                w -= np.float32(now / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-8))
 
     def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Mean probabilities (text, language) over all positions of each text; zero for empty texts."""
@@ -207,7 +208,7 @@ def _pieces(labelled: DataFrame, docs: int) -> DataFrame:
 
 
 def train_network(docs: DataFrame, text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS,
-                  hidden: int = HIDDEN, epochs: int = EPOCHS) -> Network | None:
+                  hidden: int = HIDDEN, steps: int = STEPS) -> Network | None:
     """A network for the languages in ``lang``; None if no row has both a language and a letter.
 
     Training sees about ``train_docs`` documents of each language, never more than twice as many in all.
@@ -226,7 +227,7 @@ def train_network(docs: DataFrame, text: str = "text", lang: str = "lang", train
             windows.append(data[low:low + WINDOW])
             labels.append(languages.index(language))
     network = Network(languages, hidden)
-    network.train(np.array(windows), np.array(labels), epochs)
+    network.train(np.array(windows), np.array(labels), steps)
     return network
 
 

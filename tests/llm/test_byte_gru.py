@@ -77,7 +77,7 @@ def test_odd_tables(spark, frame):
             (4, "", None), (5, "123 ### --", "de"), (None, "this here", None), (1, "Das ist ein Haus", "de"),
             (8, "é" * 100_000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("old"))
-    net = byte_gru.train_network(docs, epochs=2)
+    net = byte_gru.train_network(docs, steps=5)
     assert net.languages == ["de", "en"]
     out = byte_gru.identify(docs, net)
     assert sorted(out.columns) == ["doc_id", "lang", "lang_pred", "score", "text"]
