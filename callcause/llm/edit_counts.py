@@ -94,7 +94,8 @@ def _cut(vocab: Vocabulary, pieces: list[bytes]) -> list[tuple[np.ndarray, np.nd
         found = iter(_cut(vocab, [p for k, p in enumerate(pieces) if k not in slow]) if len(slow) < len(pieces) else [])
         return [None if k in slow else next(found) for k in range(len(pieces))]
     starts = pretoken_starts(data, offsets)
-    counts = vocab.counts[vocab.slots_of(data, starts, len(data))]
+    slots = vocab.slots_of(data, starts, len(data))  # may put the counts in a larger array
+    counts = vocab.counts[slots]
     bounds = np.searchsorted(starts, offsets)
     return [(starts[a:b] - offsets[k], counts[a:b]) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
 

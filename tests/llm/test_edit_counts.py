@@ -48,6 +48,13 @@ def test_random_edits_against_the_library(leaf, monkeypatch):
         assert all(heap[k] == heap[2 * k] + heap[2 * k + 1] for k in range(1, document.tree.leaves))
 
 
+def test_many_new_pretokens_at_once():
+    vocab = pretokens.Vocabulary(PATH)
+    rng = random.Random(11)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(40_000))
+    assert int(edit_counts.trees_of(vocab, [text.encode()])[0].tokens[1]) == library(text)
+
+
 def test_exotic_characters_may_come_by_an_edit():
     vocab = pretokens.vocabulary(PATH)
     text = "plain words " * 50
