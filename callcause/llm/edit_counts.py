@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from callcause.llm.common import Kept, doc_batches, map_batches, texts, without
 from callcause.llm.pretokens import Vocabulary, pretoken_starts, vocabulary
 
-LEAF = 32
+LEAF = 128
 # A leaf that edits have made longer than this many times LEAF pre-tokens has the tree dealt anew.
 SWOLLEN = 4
 # Bytes left of an edit that may decide a boundary: two characters, with room to spare.
