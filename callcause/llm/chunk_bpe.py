@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from callcause.llm import hashing
-from callcause.llm.common import doc_batches, lists, map_batches
+from callcause.llm.common import doc_batches, lists, map_batches, steps
 from callcause.llm.hashing import expand
 from callcause.llm.pretokens import Vocabulary, pretoken_starts, vocabulary, without_rows
 
@@ -238,9 +238,13 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
         column = batch.column(ids).cast(pa.large_list(pa.int32()))
         sizes = column.value_lengths().fill_null(0).to_numpy()
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        data, ends = vocabulary(path).decode(column.flatten().to_numpy(), offsets)
-        raw = data.tobytes()
-        return {out: pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])], pa.string())}
+        numbers, found = column.flatten().to_numpy(), []
+        for low, high in steps(offsets, 200_000):
+            here = offsets[low:high + 1]
+            data, ends = vocabulary(path).decode(numbers[here[0]:here[-1]], here - here[0])
+            raw = data.tobytes()
+            found += [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+        return {out: pa.array(found, pa.string())}
 
     return map_batches(docs, work, [T.StructField(out, T.StringType())])
 

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Rows in an Arrow batch, and bytes of text that one numpy step looks at; a longer text is a step of its own.
-BATCH_ROWS = 2_000
-STEP_BYTES = 4_000_000
+BATCH_ROWS = 1_000
+STEP_BYTES = 1_000_000
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:

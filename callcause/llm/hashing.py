@@ -18,7 +18,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def _table(which: str, size: int) -> np.ndarray:
     if len(_powers[which]) < size:
         base = _BASE if which == "up" else pow(_BASE, -1, 1 << 64)
-        steps = np.full(max(size, 2 * len(_powers[which]), 1 << 16), base, np.uint64)
+        steps = np.full(max(size + size // 8, 1 << 16), base, np.uint64)
         steps[0] = 1
         _powers[which] = np.cumprod(steps, dtype=np.uint64)
     return _powers[which][:size]
