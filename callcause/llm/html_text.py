@@ -1,11 +1,12 @@
 """Main text of web pages, without what the pages of a host have in common.
 
-Each page is parsed once, into blocks of text that know the element subtrees
-they lie in, by hash. Spark counts how many different articles of a host each
-subtree stands beside; subtrees that recur are the host's template, and their
-blocks go. What a tag, role or class already names as no part of the article
-(menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts)
-goes while parsing.
+Each page is parsed into blocks of text that know the element subtrees they
+lie in, by hash. Spark counts how many different articles of a host each
+subtree stands beside, those of menus, footers and adverts and those outside
+the article included; subtrees that recur are the host's template, and their
+blocks go wherever they stand. What a tag, role or class names as no part of
+the article (menus, headers, footers, sidebars, notices, adverts, forms,
+comments) goes too, whether it recurs or not, and so do scripts and styles.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html as references
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -21,6 +23,11 @@ from callcause.llm.common import Kept, map_batches, without
 
 # A subtree is template when it stands beside this many different articles of its host.
 TEMPLATE_PAGES = 10
+# Prose of an article (_PROSE) needs this many times as many; prose of fewer than SHORT characters, which recurs by
+# chance (cells, list items), must also stand in over half of the host's different articles.
+PROSE_TIMES, SHORT = 2, 24
+# Bits of the filter that tells most pages which lose nothing by the counts.
+_FILTER_BITS = 2**27
 RESULTS = ("text", "n_chars")
 
 _MAIN = {"article", "main"}
@@ -31,9 +38,10 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
            "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
            "wbr", "img", "ruby", "rb", "rt", "rp", "label", "input", "button", "select"}
-# Blocks that are prose: inside an article they are never taken for template.
+# Blocks that are prose: inside an article they are taken for template only on more evidence.
 _PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "tr", "tbody", "figcaption"}
-_NEVER = {"html", "body", "article", "main"}
+# How much evidence a subtree needs.
+_FRAME, _PROSE_LINE, _SHORT_LINE = range(3)
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notices|alert|sidebar|menu|"
     r"nav|navbar|navigation|breadcrumbs?|comments?|disqus|replies|footer|header|masthead|share|sharing|social|related|"
@@ -68,24 +76,23 @@ def _unwanted(tag: str, attributes: str) -> bool:
 
 
 class _Open:
-    """An element that is not closed yet."""
+    """An element that is not closed yet, and then a subtree."""
 
-    __slots__ = ("tag", "dropped", "main", "parts", "first", "size")
+    __slots__ = ("tag", "out", "dropped", "main", "parts", "first", "last", "print")
 
-    def __init__(self, tag: str, dropped: bool, main: bool, first: int):
-        self.tag, self.dropped, self.main, self.first = tag, dropped, main, first
-        self.parts: list[str] = []
-        self.size = 0
+    def __init__(self, tag: str, out: bool, dropped: bool, main: bool, first: int):
+        self.tag, self.out, self.dropped, self.main, self.first = tag, out, dropped, main, first
+        self.parts: list[str | _Open] = []
+        self.last, self.print = first, 0
 
 
 class Page:
-    """One parsed page: blocks of its main part, each with the hashes of the subtrees it lies in."""
+    """One parsed page: blocks of its main part, the subtrees over them as (print, kind, first, end), and the prints to count."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, list[int]]] = []
-        self._subtrees: list[tuple[int, int, int, bool]] = []
-        self._main: list[bool] = []
-        self._stack = [_Open("", False, False, 0)]
+        self.blocks: list[tuple[str, tuple[bool, bool]]] = []
+        self._subtrees: list[_Open] = []
+        self._stack = [_Open("", False, False, False, 0)]
         self._text: list[str] = []
         self._any_main = False
         self._parse(source)
@@ -124,11 +131,9 @@ class Page:
         text = " ".join(references.unescape("".join(self._text)).split())
         self._text = []
         top = self._stack[-1]
-        if text and not top.dropped:
+        if text:
             top.parts.append(text)
-            top.size += len(text)
-            self.blocks.append((text, []))
-            self._main.append(top.main)
+            self.blocks.append((text, (top.main, top.dropped)))
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag not in _INLINE:
@@ -143,11 +148,12 @@ class Page:
         if tag in _VOID:
             return
         above = self._stack[-1]
-        dropped = above.dropped or _unwanted(tag, attributes)
+        out = _unwanted(tag, attributes)
+        dropped = above.dropped or out
         main = above.main or tag in _MAIN or 'role="main"' in attributes
         if main and not dropped:
             self._any_main = True
-        self._stack.append(_Open(tag, dropped, main, len(self.blocks)))
+        self._stack.append(_Open(tag, out, dropped, main, len(self.blocks)))
 
     def _close_open(self, tags: set[str], stop: set[str]) -> None:
         for depth in range(len(self._stack) - 1, 0, -1):
@@ -168,7 +174,7 @@ class Page:
             if self._stack[depth].tag == tag:
                 if tag in _INLINE and any(o.tag not in _INLINE for o in self._stack[depth + 1:]):
                     return  # misnested formatting ends with its block
-                if self._stack[depth].dropped != self._stack[depth - 1].dropped:
+                if self._stack[depth].out:
                     self._flush()
                 while len(self._stack) > depth:
                     self._pop()
@@ -176,45 +182,88 @@ class Page:
 
     def _pop(self) -> None:
         done = self._stack.pop()
-        above = self._stack[-1]
-        above.size += done.size
-        if done.tag in _INLINE:
-            above.parts += done.parts
+        if not done.parts:
+            return
+        if done.tag in _INLINE and not done.out:
+            self._stack[-1].parts += done.parts
             return
-        if done.parts:
-            print_ = xxhash.xxh3_64_intdigest("\x1f".join([done.tag, *done.parts])) - 2**63
-            above.parts.append(f"\x1e{print_}")
-            if done.tag not in _NEVER:
-                self._subtrees.append((print_, done.first, len(self.blocks), done.main and done.tag in _PROSE))
+        done.last = len(self.blocks)
+        self._stack[-1].parts.append(done)
+        self._subtrees.append(done)
 
     def _finish(self) -> None:
-        whole = sum(len(text) for (text, _), main in zip(self.blocks, self._main) if main or not self._any_main)
-        self.prints: set[int] = set()
-        for print_, first, last, prose in self._subtrees:
-            inside = [k for k in range(first, last) if self._main[k] or not self._any_main]
-            # Prose of an article, and what holds most of the text, is no template.
-            if prose or not inside or 2 * sum(len(self.blocks[k][0]) for k in inside) > whole:
+        shown = [not dropped and (main or not self._any_main) for _, (main, dropped) in self.blocks]
+        sizes, room, place = [0], [0], [0]  # before each block: characters shown, all characters, blocks shown
+        for (text, _), here in zip(self.blocks, shown):
+            sizes.append(sizes[-1] + len(text) * here)
+            room.append(room[-1] + len(text))
+            place.append(place[-1] + here)
+        counted, self.inside = set(), []
+        for tree in self._subtrees:  # inner ones first
+            # What is dropped from within a subtree does not tell it from others.
+            parts = [part if isinstance(part, str) else f"\x1e{part.print}" for part in tree.parts
+                     if isinstance(part, str) or not part.out]
+            print_ = tree.print = xxhash.xxh3_64_intdigest("\x1f".join([tree.tag, *parts])) - 2**63
+            if not parts:
                 continue
-            self.prints.add(print_)
-            for k in inside:
-                self.blocks[k][1].append(print_)
-        if self._any_main:
-            self.blocks = [b for b, main in zip(self.blocks, self._main) if main]
+            size = sizes[tree.last] - sizes[tree.first]
+            # What holds most of the text is no evidence of a template, but goes if it is known as one.
+            if 2 * size <= sizes[-1]:
+                counted.add(print_)
+            if size:
+                if not tree.main or tree.tag not in _PROSE:
+                    kind = _FRAME
+                else:
+                    kind = _SHORT_LINE if room[tree.last] - room[tree.first] < SHORT else _PROSE_LINE
+                self.inside.append((print_, kind, place[tree.first], place[tree.last]))
+        self.counted = sorted(counted)
+        self.blocks = [block for block, here in zip(self.blocks, shown) if here]
         self.article = xxhash.xxh3_64_intdigest("\n".join(text for text, _ in self.blocks)) - 2**63
 
 
-_BLOCK = T.StructType([T.StructField("text", T.StringType()), T.StructField("inside", T.ArrayType(T.LongType()))])
-_FIELDS = [T.StructField("_blocks", T.ArrayType(_BLOCK)), T.StructField("_prints", T.ArrayType(T.LongType())),
+_INSIDE = pa.list_(pa.struct([("print", pa.int64()), ("kind", pa.int32()), ("first", pa.int32()), ("end", pa.int32())]))
+_PRINTS = [T.StructField("_counted", T.ArrayType(T.LongType())),
+           T.StructField("_inside", T.ArrayType(T.StructType([
+               T.StructField("print", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("kind", "first", "end")]]))),
            T.StructField("_article", T.LongType())]
+_BLOCKS = [T.StructField("_blocks", T.ArrayType(T.StringType()))]
 
 
-def _parse_batch(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+def _prints_of(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     pages = [Page(source or "") for source in batch.column("_html").to_pylist()]
-    return {
-        "_blocks": pa.array([[{"text": t, "inside": i} for t, i in page.blocks] for page in pages],
-                            pa.list_(pa.struct([("text", pa.string()), ("inside", pa.list_(pa.int64()))]))),
-        "_prints": pa.array([sorted(page.prints) for page in pages], pa.list_(pa.int64())),
-        "_article": pa.array([page.article for page in pages], pa.int64())}
+    names = ("print", "kind", "first", "end")
+    return {"_counted": pa.array([page.counted for page in pages], pa.list_(pa.int64())),
+            "_inside": pa.array([[dict(zip(names, i)) for i in page.inside] for page in pages], _INSIDE),
+            "_article": pa.array([page.article for page in pages], pa.int64())}
+
+
+def _blocks_of(pages: DataFrame, keep: list[str], chosen: np.ndarray, inside: bool) -> DataFrame:
+    """Blocks of the pages whose bit in ``chosen`` is set, or of the others."""
+    fields = [*[f for f in pages.schema.fields if f.name in keep], *_BLOCKS]
+    names = [f.name for f in fields[:-1]]
+
+    def run(batches):
+        for batch in batches:
+            bit = batch.column("_p").to_numpy() & (8 * len(chosen) - 1)
+            hit = (chosen[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            batch = batch.filter(pa.array(hit == inside))
+            if batch.num_rows:
+                blocks = [[text for text, _ in Page(source or "").blocks] for source in batch.column("_html").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(n) for n in names], pa.array(blocks, pa.list_(pa.string()))], [*names, "_blocks"])
+
+    return pages.mapInArrow(run, T.StructType(fields))
+
+
+def _filter(own: DataFrame) -> np.ndarray:
+    """A bit for each ``_p``, some 16 for each row as far as _FILTER_BITS go; a page's bit may be that of another."""
+    bits = min(_FILTER_BITS, 1 << max(10, (16 * own.count()).bit_length()))
+    bit = F.col("_p").bitwiseAND(F.lit(bits - 1).cast("long"))
+    words = own.select(F.shiftright(bit, 5).alias("at"), bit.bitwiseAND(F.lit(31).cast("long")).cast("int").alias("low")).groupBy("at").agg(
+        F.bit_or(F.expr("shiftleft(1L, low)")).alias("word")).toArrow()  # at most bits / 32 rows
+    chosen = np.zeros(bits // 32, "<u4")
+    chosen[words.column("at").to_numpy()] = words.column("word").to_numpy().astype("<u4")
+    return chosen.view(np.uint8)
 
 
 def extract_text(pages: DataFrame, html: str = "html", url: str = "url", template_pages: int = TEMPLATE_PAGES) -> DataFrame:
@@ -223,7 +272,8 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", templat
     The text of a page is that of its <article> or <main> elements, or of its
     body if it has none. A null or empty html gives an empty text; pages without
     a url share the host "". Pages that repeat an article count once for the
-    template. Input columns of the result's names give way to them.
+    template, and a subtree that holds most of a page's text does not count
+    there. Input columns of the result's names give way to them.
     """
     kept = Kept(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
@@ -231,20 +281,30 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", templat
     source = without(pages.withColumns({
         "_html": F.col(html).cast("string"), "_host": host, "_p": F.xxhash64(url, html),
         "_q": F.xxhash64(F.lit("second"), url, html)}), (html, *RESULTS))
-    parsed = map_batches(source, _parse_batch, _FIELDS, keep=[c for c in source.columns if c != "_html"])
-
     # Parsing runs once for the prints, which are kept, and once for the blocks, which are not.
-    prints = kept.keep(parsed.select("_p", "_q", "_host", "_article", F.explode("_prints").alias("_print")), "prints")
-    template = (prints.select("_host", "_print", "_article").distinct().groupBy("_host", "_print")
-                .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= template_pages).select("_host", "_print"))
-    # A page's own recurring subtrees: at most as many as it has elements.
-    own = kept.keep(prints.join(template, ["_host", "_print"]).groupBy("_p", "_q")
-                    .agg(F.collect_set("_print").alias("_template")), "template")
-    blocks = F.when(F.col("_template").isNull(), F.col("_blocks")).otherwise(
-        F.filter("_blocks", lambda b: ~F.arrays_overlap(b["inside"], F.col("_template"))))
-    text = F.array_join(F.transform(blocks, lambda b: b["text"]), " ")
+    prints = kept.keep(map_batches(source, _prints_of, _PRINTS, keep=["_p", "_q", "_host"]), "prints")
+    # Few rows: what recurs. A print stands beside each different article once.
+    template = kept.keep(prints.select("_host", "_article", F.explode("_counted").alias("_print")).distinct()
+                         .groupBy("_host", "_print").agg(F.count(F.lit(1)).alias("n"))
+                         .filter(F.col("n") >= template_pages), "recurring")
+    articles = prints.select("_host", "_article").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("articles"))
+    template = kept.keep(template.join(articles, "_host"), "template")
+    kind, many = F.col("_in.kind"), F.col("n") >= PROSE_TIMES * template_pages
+    enough = ((kind == _FRAME) | (kind == _PROSE_LINE) & many
+              | (kind == _SHORT_LINE) & many & (2 * F.col("n") > F.col("articles")))
+    # Only pages that lose blocks by the counts, each with at most as many ranges of blocks as it has elements.
+    own = kept.keep(prints.select("_p", "_q", "_host", F.explode("_inside").alias("_in")).withColumn("_print", F.col("_in.print"))
+                    .join(template, ["_host", "_print"]).filter(enough)
+                    .groupBy("_p", "_q").agg(F.collect_set(F.struct("_in.first", "_in.end")).alias("_gone")), "own")
     names = [c for c in source.columns if c not in ("_html", "_host", "_p", "_q")]
-    return (parsed.drop("_prints", "_article").join(own, ["_p", "_q"], "left").select(*names, text.alias("text"))
+    # Pages that lose nothing are not shuffled; the others meet their ranges, which are as many, by a sort-merge join.
+    chosen = _filter(own)
+    left = F.filter("_blocks", lambda _, k: ~F.exists("_gone", lambda g: (g["first"] <= k) & (k < g["end"])))
+    some = (_blocks_of(source, [*names, "_p", "_q"], chosen, True).join(own.hint("merge"), ["_p", "_q"], "left")
+            .withColumn("_blocks", F.when(F.col("_gone").isNull(), F.col("_blocks")).otherwise(left)))
+    rest = _blocks_of(source, names, chosen, False)
+    return (some.select(*names, "_blocks").union(rest.select(*names, "_blocks"))
+            .select(*names, F.array_join("_blocks", " ").alias("text"))
             .withColumn("n_chars", F.char_length("text").cast("long")))
 
 

@@ -70,6 +70,33 @@ def test_recurring_prose_of_articles_stays(spark):
     assert found[60] == "one text copied whole"
 
 
+def texts_of(spark, sources, host="h"):
+    rows = [(k, f"http://{host}/{k}", source) for k, source in enumerate(sources)]
+    return {r["page_id"]: r["text"] for r in html_text.query(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_lines_of_articles_that_recur_on_very_many_pages_go(spark):
+    legal = "Reprinted by permission of the publishers of this site"
+    found = texts_of(spark, [f"<article><h1>head {k}</h1><p>story {k} with some words of its own that no other page has, {k}</p>"
+                             f"<p>{legal}</p><ul><li>Subscribe now</li></ul><table><tr><td>{k % 3}<td>row {k}</table></article>"
+                             for k in range(60)])
+    assert found[7] == "head 7 story 7 with some words of its own that no other page has, 7 1 row 7"
+
+
+def test_named_elements_count_too(spark):
+    """What menus, footers and adverts of ten articles hold goes from a page that has it under no such name."""
+    box = "<div><div>Welcome to the shop of the house</div></div>"
+    pages = [f"<nav>{box}</nav><article><p>story {k}</p></article><footer>f</footer>" for k in range(12)]
+    found = texts_of(spark, [*pages, f"<div>{box}<p>one page without an article, but a story</p></div>"])
+    assert found[12] == "one page without an article, but a story"
+
+
+def test_known_template_goes_where_it_is_most_of_a_page(spark):
+    note = "<div>This long note of the host stands below each of its many stories</div>"
+    pages = [f"<article><p>{f'story {k} goes on for a while. ' * 5}</p>{note}</article>" for k in range(12)]
+    assert texts_of(spark, [*pages, f"<article><p>brief</p>{note}</article>"])[12] == "brief"
+
+
 def test_odd_tables(spark):
     rows = [(None, None, None, "old"), (1, "u", "", "old"), (1, "u", "", "old"), (2, "http://x/", "<p>" + "long " * 200_000, "old")]
     docs = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
