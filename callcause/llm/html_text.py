@@ -42,10 +42,12 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
 _PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "tr", "tbody", "figcaption"}
 # How much evidence a subtree needs.
 _FRAME, _PROSE_LINE, _SHORT_LINE = range(3)
+# Classes and ids that name no part of an article, as whole words; and those of talk about it, which may be longer than it.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notices|alert|sidebar|menu|"
-    r"nav|navbar|navigation|breadcrumbs?|comments?|disqus|replies|footer|header|masthead|share|sharing|social|related|"
-    r"recommended|newsletter|subscribe|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])")
+    r"ad|ads|adv|advert[a-z]*|banner|sponsor[a-z]*|promo[a-z]*|cookies?|cookieconsent|consent|gdpr|notices?|alert|sidebar|menu|"
+    r"nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|social|related|"
+    r"recommended|newsletter|subscribe|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|skip")
+_TALK = re.compile(r"comments?|disqus|replies")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu",
           "menubar", "toolbar", "form"}
 _TOKEN = re.compile(
@@ -66,8 +68,6 @@ def _unwanted(tag: str, attributes: str) -> bool:
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name in ("class", "id") and _NAMES.search(value):
-            return True
         if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -75,13 +75,29 @@ def _unwanted(tag: str, attributes: str) -> bool:
     return False
 
 
+def _named(tag: str, attributes: str) -> re.Pattern | None:
+    """Which list of names a class or an id of the element stands in, if any; never for those that hold the article by their tag."""
+    if not attributes.strip() or tag in _MAIN or tag in ("html", "body"):
+        return None
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for word in next((v for v in values if v), "").lower().split():
+                for names in (_TALK, _NAMES):
+                    if names.fullmatch(word):
+                        return names
+    return None
+
+
 class _Open:
     """An element that is not closed yet, and then a subtree."""
 
-    __slots__ = ("tag", "out", "dropped", "main", "parts", "first", "last", "print")
+    __slots__ = ("tag", "out", "dropped", "main", "article", "named", "holds", "parts", "first", "last", "print")
 
-    def __init__(self, tag: str, out: bool, dropped: bool, main: bool, first: int):
+    def __init__(self, tag: str, out: bool, dropped: bool, main: bool, first: int, article: bool = False,
+                 named: re.Pattern | None = None):
         self.tag, self.out, self.dropped, self.main, self.first = tag, out, dropped, main, first
+        # Whether it lies in an article or is one, what its class or id says, and whether it holds an article or main part.
+        self.article, self.named, self.holds = article, named, False
         self.parts: list[str | _Open] = []
         self.last, self.print = first, 0
 
@@ -143,7 +159,7 @@ class Page:
                 self._close_open(closed, stop)
             elif tag not in _VOID:
                 self._close_open({"p"}, _SCOPE)
-        elif self._text and _unwanted(tag, attributes):
+        elif self._text and (_unwanted(tag, attributes) or _named(tag, attributes)):
             self._flush()
         if tag in _VOID:
             return
@@ -153,7 +169,11 @@ class Page:
         main = above.main or tag in _MAIN or 'role="main"' in attributes
         if main and not dropped:
             self._any_main = True
-        self._stack.append(_Open(tag, out, dropped, main, len(self.blocks)))
+        if tag in _MAIN or 'role="main"' in attributes:
+            for opened in self._stack:
+                opened.holds = True
+        self._stack.append(_Open(tag, out, dropped, main, len(self.blocks), above.article or tag == "article",
+                                 None if out else _named(tag, attributes)))
 
     def _close_open(self, tags: set[str], stop: set[str]) -> None:
         for depth in range(len(self._stack) - 1, 0, -1):
@@ -174,7 +194,7 @@ class Page:
             if self._stack[depth].tag == tag:
                 if tag in _INLINE and any(o.tag not in _INLINE for o in self._stack[depth + 1:]):
                     return  # misnested formatting ends with its block
-                if self._stack[depth].out:
+                if self._stack[depth].out or self._stack[depth].named:
                     self._flush()
                 while len(self._stack) > depth:
                     self._pop()
@@ -184,14 +204,36 @@ class Page:
         done = self._stack.pop()
         if not done.parts:
             return
-        if done.tag in _INLINE and not done.out:
+        if done.tag in _INLINE and not done.out and not done.named:
             self._stack[-1].parts += done.parts
             return
         done.last = len(self.blocks)
         self._stack[-1].parts.append(done)
         self._subtrees.append(done)
 
+    def _by_name(self) -> None:
+        """Drop what a class or an id names, but never what holds the article or most of the text."""
+        if not any(tree.named for tree in self._subtrees):
+            return
+        room, plain = [0], [0]  # characters before each block: all, and those that no tag, role or style drops
+        for text, (_, dropped) in self.blocks:
+            room.append(room[-1] + len(text))
+            plain.append(plain[-1] + len(text) * (not dropped))
+        for tree in self._subtrees:
+            if not tree.named:
+                continue
+            size = plain[tree.last] - plain[tree.first]
+            # Articles within an article are replies and teasers, and its talk may be longer than itself.
+            if tree.holds and not tree.article:
+                continue
+            if (2 * size > room[-1] or 3 * size >= 2 * plain[-1]) and not (tree.named is _TALK and tree.article):
+                continue
+            tree.out = True
+            for k in range(tree.first, tree.last):
+                self.blocks[k] = (self.blocks[k][0], (self.blocks[k][1][0], True))
+
     def _finish(self) -> None:
+        self._by_name()
         shown = [not dropped and (main or not self._any_main) for _, (main, dropped) in self.blocks]
         sizes, room, place = [0], [0], [0]  # before each block: characters shown, all characters, blocks shown
         for (text, _), here in zip(self.blocks, shown):

@@ -37,6 +37,25 @@ def test_pages(source, text):
     assert text_of(source) == text
 
 
+STORY = "A story that is told at some length, with several words of its own. " * 3
+
+
+@pytest.mark.parametrize("source", [
+    "<div class='layout has-sidebar'><article><p>{}</article><div class='sidebar'>more</div></div>",
+    "<article class='post category-social'><p>{}</article>",
+    "<article class='tag-alert social'><p>{}</article>",
+    "<div id='page' class='no-header'><nav>menu</nav><p>{}</div>",
+    "<div class='entry-content ad-free'><p>{}</div><div class='x ad'>buy</div>",
+    "<main id='social'><p>{}</main><div class=related><p>another</div>",
+    "<div class='sidebar'><div><main>{}</main></div></div>",
+    "<div class='widget'><h1></h1><p>{}</div><footer>f</footer>",
+    "<article><div class='header'>by me</div><p>{}<div class='Comments'>talk</div></article>",
+    "<article><p>{0}<div id='comments'><article>{0} {0} {0}</article></div></article>",
+])
+def test_names_never_take_the_article(source):
+    assert text_of(source.format(STORY)) == STORY.strip()
+
+
 def test_generated_pages_against_their_articles(spark):
     """The article of a generated page holds headings and paragraphs only, so plain cutting gives the same."""
     folder = "/root/testdata/sf0.001"
