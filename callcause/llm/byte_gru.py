@@ -19,10 +19,10 @@ from callcause.llm.common import doc_batches, map_batches
 WINDOW = 64
 HIDDEN = 8
 # Labelled documents per language that training sees at most, and characters of a piece of each.
-TRAIN_DOCS = 400
+TRAIN_DOCS = 600
 TRAIN_CHARS = 300
-# Steps of the optimiser, and windows that each sees.
-STEPS, BATCH = 400, 256
+# How often training sees each window of the sample, and windows of a step of the optimiser.
+EPOCHS, BATCH = 30, 256
 UNKNOWN = "und"
 RESULTS = ("lang_pred", "score")
 _LANES = 4_096
@@ -146,10 +146,11 @@ class Network:
         back = _backward(self.directions[1], window[::-1], tapes[1], np.ascontiguousarray(g_states[::-1, size:]))
         return loss, [*vars(ahead).values(), *vars(back).values(), out, g.sum(axis=(0, 2))]
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, steps: int = STEPS, batch: int = BATCH,
+    def train(self, windows: np.ndarray, labels: np.ndarray, steps: int | None = None, batch: int = BATCH,
               rate: float = 0.02, seed: int = 7) -> None:
-        """Adam over shuffled batches of windows (lane, time), at a rate that falls to nothing."""
+        """Adam over shuffled batches of windows (lane, time), at a rate that falls to nothing; EPOCHS rounds if no steps are given."""
         rng = np.random.default_rng(seed)
+        steps = -(-EPOCHS * len(windows) // batch) if steps is None else steps
         weights = self._weights()
         first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
         order = np.concatenate([rng.permutation(len(windows)) for _ in range(-(-steps * batch // len(windows)))])
@@ -208,7 +209,7 @@ def _pieces(labelled: DataFrame, docs: int) -> DataFrame:
 
 
 def train_network(docs: DataFrame, text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS,
-                  hidden: int = HIDDEN, steps: int = STEPS) -> Network | None:
+                  hidden: int = HIDDEN, steps: int | None = None) -> Network | None:
     """A network for the languages in ``lang``; None if no row has both a language and a letter.
 
     Training sees about ``train_docs`` documents of each language, never more than twice as many in all.

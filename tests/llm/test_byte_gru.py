@@ -33,6 +33,21 @@ def test_gradients_against_differences():
             assert grad.flat[k] == pytest.approx((up - down) / 2e-2, rel=0.05, abs=1e-4)
 
 
+@pytest.mark.parametrize("count", [100, 20_000])
+def test_training_visits_every_window_in_all_rounds(monkeypatch, count):
+    net, seen = byte_gru.Network(["a", "b"], hidden=2), np.zeros(count, int)
+
+    def gradients(window, labels):
+        np.add.at(seen, window[:4].T.copy().view("<u4")[:, 0], 1)
+        return 0.0, [np.zeros_like(w) for w in net._weights()]
+
+    monkeypatch.setattr(net, "gradients", gradients)
+    windows = np.zeros((count, byte_gru.WINDOW), np.uint8)
+    windows[:, :4] = np.arange(count, dtype="<u4").view(np.uint8).reshape(-1, 4)
+    net.train(windows, np.zeros(count, int))
+    assert byte_gru.EPOCHS <= seen.min() and seen.max() <= byte_gru.EPOCHS + 3
+
+
 def test_pooling_labels_every_position_once():
     net = byte_gru.Network(["a", "b"], hidden=4)
     rng = np.random.default_rng(0)
