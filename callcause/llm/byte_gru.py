@@ -18,7 +18,7 @@ from callcause.llm.common import doc_batches, map_batches
 
 WINDOW = 64
 HIDDEN = 8
-# Labelled documents per language that training sees at most, and characters of a piece of each.
+# Different labelled texts per language that training sees at most, and characters of a piece of each.
 TRAIN_DOCS = 600
 TRAIN_CHARS = 300
 # How often training sees each window of the sample, and windows of a step of the optimiser.
@@ -195,28 +195,34 @@ class _Tape(list):
         return True
 
 
-def _pieces(labelled: DataFrame, docs: int) -> DataFrame:
-    """A piece of about ``docs`` documents per language, chosen by the hash of their text, from anywhere in it."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return labelled.select("lang", "text").limit(0)
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, docs / n))])
-    draw = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(_BUCKETS)) / F.lit(float(_BUCKETS))
+def _pieces(labelled: DataFrame, docs: int) -> list[tuple[str, str]]:
+    """Language and a piece, from anywhere in it, of the ``docs`` different texts of lowest hash in each language."""
+    known = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(
+        F.approx_count_distinct(F.xxhash64("text", F.lit(1))).alias("n")).collect()}
+    if not known:
+        return []
+    # Some more than are wanted, as numbers of different texts are known to a few percent and draws vary.
+    wanted = 1.25 * docs + 5 * docs**0.5 + 10
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(known.items()) for x in (lang, min(1.0, wanted / n))])
+    draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 1)
     start = 1 + F.pmod(F.xxhash64("text", F.lit(2)), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(1)))
-    chosen = labelled.filter(draw < share[F.col("lang")])
-    return chosen.select("lang", F.col("text").substr(start.cast("int"), F.lit(TRAIN_CHARS)).alias("text")).limit(
-        2 * docs * len(counts))
+    chosen = labelled.withColumn("draw", draw).filter(F.col("draw") <= share[F.col("lang")] * F.lit(2.0**63))
+    rows = chosen.select("lang", "draw", F.col("text").substr(start.cast("int"), F.lit(TRAIN_CHARS)).alias("text")).distinct()
+    found: dict[str, list[str]] = {}
+    for lang, _, piece in sorted(tuple(r) for r in rows.collect()):  # about ``wanted`` rows a language
+        found.setdefault(lang, []).append(piece)
+    return [(lang, piece) for lang, pieces in found.items() for piece in pieces[:docs]]
 
 
 def train_network(docs: DataFrame, text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS,
                   hidden: int = HIDDEN, steps: int | None = None) -> Network | None:
     """A network for the languages in ``lang``; None if no row has both a language and a letter.
 
-    Training sees about ``train_docs`` documents of each language, never more than twice as many in all.
+    Training sees at most ``train_docs`` different texts of each language, whatever the order or copies of the rows.
     """
     labelled = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = sorted(tuple(r) for r in _pieces(labelled, train_docs).collect())
+    rows = sorted(_pieces(labelled, train_docs))
     if not rows:
         return None
     languages = sorted({r[0] for r in rows})

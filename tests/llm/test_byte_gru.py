@@ -102,3 +102,13 @@ def test_odd_tables(spark, frame):
     nothing = byte_gru.query(docs.withColumn("lang", F.lit(None).cast("string")).drop("score"))
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
     assert byte_gru.query(frame([])).count() == 0
+
+
+def test_copies_crowd_out_no_language(spark):
+    rows = [(f"the {k} text with copies", "en") for k in range(3)] * 200 + [(f"ein Text, Nummer {k}", "de") for k in range(40)]
+    pieces = byte_gru._pieces(spark.createDataFrame(rows, "text string, lang string").repartition(7), 5)
+    assert sorted(p for lang, p in pieces if lang == "en") == [f"the {k} text with copies" for k in range(3)]
+    german = [p for lang, p in pieces if lang == "de"]
+    assert len(german) == len(set(german)) == 5
+    again = byte_gru._pieces(spark.createDataFrame(rows[::-1], "text string, lang string").repartition(3), 5)
+    assert again == pieces
