@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from callcause.llm import (byte_gru, chunk_bpe, decontamination, edit_counts, exact_dedup, html_text, near_duplicates,
-                           repeated_spans, rule_quality, token_files)
+from callcause.llm import (byte_gru, chunk_bpe, decontamination, edit_counts, exact_dedup, hard_negatives, html_text,
+                           near_duplicates, repeated_spans, rule_quality, token_files)
 from callcause.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,11 +55,16 @@ def op10_mixing_range_coder(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.query(read(spark, folder, "documents"), VOCABULARY)
 
 
+def op13_spanning_tree_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.query(read(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_exact_dedup, op2_html_template_removal, op3_minhash_near_dedup, op4_suffix_radix_dedup, op5_rule_quality,
     op6_byte_gru_language, op7_chunk_reuse_bpe, op8_edit_aware_token_counts, op9_benchmark_decontamination,
-    op10_mixing_range_coder)}
+    op10_mixing_range_coder, op13_spanning_tree_negatives)}
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op9_benchmark_decontamination": decontamination.SQL,
+    "op13_spanning_tree_negatives": hard_negatives.SQL,
 }
