@@ -61,6 +61,9 @@ class Chunks:
         self.known: dict[int, int] = {}
         self.slots = self.places = np.zeros(0, np.int64)
         self.starts = self.counts = np.zeros(0, np.int64)
+        # The bytes of the chunks themselves: a chunk is known if they agree, not only the hash.
+        self.bytes, self.used = np.zeros(1 << 16, np.uint8), 0
+        self.byte_starts = self.sizes = np.zeros(0, np.int64)
         self.encoded = self.asked = 0
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -68,25 +71,41 @@ class Chunks:
         hashes = hashing.ranges(sums, starts, ends)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         number = np.array([self.known.get(h, -1) for h in distinct.tolist()], np.int64)
-        new = np.flatnonzero(number < 0)
         self.asked += len(starts)
-        self.encoded += len(new)
-        if len(new):
-            at = first[new]
-            sizes = ends[at] - starts[at]
-            joined = data[expand(starts[at], sizes)]
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            places = pretoken_starts(joined, offsets)
-            slots = self.vocab.slots_of(joined, places, len(joined))
-            bounds = np.searchsorted(places, offsets)
-            places = places - np.repeat(offsets[:-1], np.diff(bounds))
-            number[new] = len(self.starts) + np.arange(len(new))
-            self.known.update(zip(distinct[new].tolist(), number[new].tolist()))
-            self.starts = np.concatenate([self.starts, len(self.slots) + bounds[:-1]])
-            self.counts = np.concatenate([self.counts, np.diff(bounds)])
-            self.slots = np.concatenate([self.slots, slots])
-            self.places = np.concatenate([self.places, places])
-        return number[which]
+        new = np.flatnonzero(number < 0)
+        number[new] = self._add(data, starts[first[new]], ends[first[new]])
+        self.known.update(zip(distinct[new].tolist(), number[new].tolist()))
+        found, sizes = number[which], ends - starts
+        alike = sizes == self.sizes[found]
+        alike[alike] = hashing.same_bytes(data, starts[alike], sizes[alike], self.bytes, self.byte_starts[found[alike]])
+        other = np.flatnonzero(~alike)
+        found[other] = self._add(data, starts[other], ends[other])
+        return found
+
+    def _add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encode chunks; their numbers."""
+        self.encoded += len(starts)
+        first = len(self.starts)
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        sizes = ends - starts
+        joined = data[expand(starts, sizes)]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        places = pretoken_starts(joined, offsets)
+        slots = self.vocab.slots_of(joined, places, len(joined))
+        bounds = np.searchsorted(places, offsets)
+        places = places - np.repeat(offsets[:-1], np.diff(bounds))
+        self.starts = np.concatenate([self.starts, len(self.slots) + bounds[:-1]])
+        self.counts = np.concatenate([self.counts, np.diff(bounds)])
+        self.slots = np.concatenate([self.slots, slots])
+        self.places = np.concatenate([self.places, places])
+        if self.used + len(joined) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(max(len(self.bytes), len(joined)), np.uint8)])
+        self.bytes[self.used:self.used + len(joined)] = joined
+        self.byte_starts = np.concatenate([self.byte_starts, self.used + offsets[:-1]])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used += len(joined)
+        return first + np.arange(len(starts))
 
     def _joins(self, data, starts, chunk, left, ahead: int):
         """Encode the stretch around each join of chunk ``left`` with the next one.

@@ -61,12 +61,12 @@ class Index:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
         self.words = np.concatenate(words).view(np.uint64)
         spans = np.minimum(self.sizes, SHINGLE)
-        sums = hashing.prefix(self.words)
+        sums = hashing.prime_prefix(self.words)
         counts = self.sizes - spans + 1
         self.owner = np.repeat(np.arange(len(words)), counts)
         self.place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         first = self.starts[self.owner] + self.place
-        self.shingles = hashing.ranges(sums, first, first + spans[self.owner])
+        self.shingles = hashing.prime_ranges(sums, first, first + spans[self.owner])
         self.span = spans[self.owner]
         self.spans = sorted(set(spans.tolist()))
 

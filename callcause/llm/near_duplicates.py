@@ -36,8 +36,6 @@ MISS = 1e-6
 BLOCK = 1_024
 RESULTS = ("n_shingles", "component_id", "kept")
 _STEP = 1_000_000
-_HASH_BITS = np.uint64(52)
-_LOW = np.uint64((1 << 52) - 1)
 _CONTENT = ("_id", "_text")
 
 # Words are runs of bytes that are no ASCII white space.
@@ -52,19 +50,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """Distinct shingle hashes of each text, ascending, end to end, and where each text's begin.
 
     A text of fewer words has its whole sequence as one shingle; without words none.
-    At most 4096 texts at a time.
     """
     words = hashing.Words(data, offsets, WORD_BYTES)
     first, hashes = words.runs(SHINGLE)
     counts = np.diff(words.offsets)
     short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
-    whole = hashing.ranges(words.sums, words.offsets[short], words.offsets[short + 1])
-    doc = np.concatenate([hashing.doc_of(words.offsets, first), short]).astype(np.uint64)
-    keys = (doc << _HASH_BITS) | (np.concatenate([hashes, whole]) >> np.uint64(12))
-    keys = np.sort(keys)
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-    bounds = np.searchsorted(keys, np.arange(len(offsets), dtype=np.uint64) << _HASH_BITS)
-    return keys & _LOW, bounds
+    whole = hashing.prime_ranges(words.sums, words.offsets[short], words.offsets[short + 1])
+    doc = np.concatenate([hashing.doc_of(words.offsets, first), short])
+    return distinct_by_row(doc, np.concatenate([hashes, whole]), len(offsets) - 1)
+
+
+def distinct_by_row(row: np.ndarray, values: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of each row, ascending, end to end, and where each row's begin."""
+    order = np.argsort(values, kind="stable")
+    order = order[np.argsort(row[order], kind="stable")]
+    row, values = row[order], values[order]
+    if len(values):
+        new = np.concatenate([[True], (values[1:] != values[:-1]) | (row[1:] != row[:-1])])
+        row, values = row[new], values[new]
+    return values, np.searchsorted(row, np.arange(rows + 1))
 
 
 def _sign(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -74,7 +78,7 @@ def _sign(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         sizes = np.diff(bounds)
         n_shingles.append(sizes)
         for seen, out in ((sets, prints), (hashing.mix(sets ^ np.uint64(0x5BD1E995)), more_prints)):
-            out.append(hashing.ranges(hashing.prefix(seen), bounds[:-1], bounds[1:]).view(np.int64))
+            out.append(hashing.prime_ranges(hashing.prime_prefix(seen), bounds[:-1], bounds[1:]).view(np.int64))
         filled = np.flatnonzero(sizes)
         least = np.zeros((high - low, BANDS * ROWS), np.uint32)
         if len(filled):

@@ -137,7 +137,7 @@ class Vocabulary:
 
     def clear(self) -> None:
         """Forget all pre-tokens."""
-        self.slots: dict[int, int] = {}
+        self.slots: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.counts = np.zeros(1 << 14, np.int64)
@@ -176,15 +176,22 @@ class Vocabulary:
             return np.zeros(0, np.int64)
         ends = np.append(starts[1:], end)
         hashes = hashing.ranges(hashing.byte_prefix(data), starts, ends)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        get, found = self.slots.get, np.empty(len(distinct), np.int64)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         raw = data.tobytes()
-        for k, (value, at) in enumerate(zip(distinct.tolist(), first.tolist())):
-            slot = get(value)
-            if slot is None:
-                slot = self.slots[value] = self._remember(raw[starts[at]:ends[at]])
-            found[k] = slot
-        return found[which]
+        found = np.array([self._slot(raw[starts[at]:ends[at]]) for at in first.tolist()], np.int64)[which]
+        # Hashes only bring equal pre-tokens together; of those that differ all the same, each is looked up itself.
+        sizes = ends - starts
+        alike = sizes == sizes[first][which]
+        alike[alike] = hashing.same_bytes(data, starts[alike], sizes[alike], data, starts[first][which][alike])
+        for k in np.flatnonzero(~alike).tolist():
+            found[k] = self._slot(raw[starts[k]:ends[k]])
+        return found
+
+    def _slot(self, piece: bytes) -> int:
+        slot = self.slots.get(piece)
+        if slot is None:
+            slot = self.slots[piece] = self._remember(piece)
+        return slot
 
     def ids_of(self, slots: np.ndarray) -> np.ndarray:
         return self.ids[expand(self.starts[slots], self.counts[slots])]

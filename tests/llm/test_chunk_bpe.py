@@ -6,6 +6,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 
 from callcause.llm import chunk_bpe, pretokens
 
@@ -73,3 +74,24 @@ def test_odd_tables(spark, frame):
     assert chunk_bpe.query(frame([]), PATH).count() == 0
     away = spark.createDataFrame([(1, None), (2, [15496])], "doc_id long, ids array<int>")
     assert [r["decoded"] for r in chunk_bpe.decode(away, PATH).orderBy("doc_id").collect()] == ["", "Hello"]
+
+
+def thue_morse(a, b, doublings, between=""):
+    row, other = [a], [b]
+    for _ in range(doublings):
+        row, other = row + other, other + row
+    return between.join(row), between.join(other)
+
+
+@pytest.mark.parametrize("pair", [thue_morse("a", "b", 11), thue_morse("x", "y", 10, " "), thue_morse("one ", "two ", 12)])
+def test_texts_whose_cheap_hashes_agree(pair):
+    """Polynomials modulo 2^64 cannot tell these texts apart, whatever the base."""
+    chunks = chunk_bpe.Chunks(pretokens.Vocabulary(PATH))
+    library = tokenizers.Tokenizer.from_file(PATH)
+    texts = [t.encode() for t in (*pair, pair[0])]
+    for part in (texts, texts[1:]):
+        data = np.frombuffer(b"".join(part), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])])
+        ids, counts = chunks.encode(data, offsets)
+        for t, mine in zip(part, np.split(ids, np.cumsum(counts)[:-1])):
+            assert mine.tolist() == library.encode(t.decode(), add_special_tokens=False).ids

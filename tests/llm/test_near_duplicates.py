@@ -91,3 +91,24 @@ def test_components_of_a_path_and_a_star(spark):
     labels = components(spark.createDataFrame(edges, "u long, v long"), Kept(spark))
     found = {r["u"]: r["v"] for r in labels.collect()}
     assert found == {**{i: 0 for i in range(1, 41)}, **{100 + i: 100 for i in range(1, 30)}}
+
+
+def test_any_number_of_rows_in_a_batch(spark):
+    """6,000 short texts in one partition, with the session's own batch size."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    try:
+        docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(6_000)], "doc_id long, text string")
+        found = near_duplicates.query(docs.coalesce(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r["n_shingles"], r["component_id"] == r["doc_id"]) for r in found} == {(2, True)}
+
+
+def test_sets_of_texts_whose_cheap_hashes_agree():
+    row, other = "x", "y"
+    for _ in range(12):
+        row, other = row + other, other + row
+    data = np.frombuffer((row + other).encode(), np.uint8)
+    sets, bounds = near_duplicates.shingle_sets(data, np.array([0, len(row), len(data)]))
+    assert np.diff(bounds).tolist() == [1, 1] and sets[0] != sets[1]
