@@ -207,8 +207,8 @@ def _first(found: DataFrame, by: list[str], count: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
 
 
-def _blocks(rows: DataFrame, kept: Kept, anchor: Column, block: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Anchors with a block number, near ones together, and the numbers in use; at most ``block`` anchors each.
+def _blocks(rows: DataFrame, kept: Kept, anchor: Column, block: int) -> tuple[DataFrame, list[tuple[tuple, tuple]]]:
+    """Anchors in pieces (part, cut), near ones together, and the first and last piece of each block of at most ``block``.
 
     Of rows with an anchor's id the one of least label and vector is the anchor.
     """
@@ -225,7 +225,18 @@ def _blocks(rows: DataFrame, kept: Kept, anchor: Column, block: int) -> tuple[Da
                   "id", "label", "v", F.shiftright(order, 33).alias("part"),
                   F.floor(order.bitwiseAND(F.lit((1 << 33) - 1)) / block).alias("cut")))
     placed = kept.keep(placed, "blocks")
-    return placed, sorted((r["part"], r["cut"]) for r in placed.select("part", "cut").distinct().collect())
+    blocks, room = [], 0  # neighbouring pieces go together while they fit
+    for part, cut, count in placed.groupBy("part", "cut").count().orderBy("part", "cut").collect():
+        if count > room:
+            blocks.append([])
+            room = block
+        blocks[-1].append((part, cut))
+        room -= count
+    return placed, [(pieces[0], pieces[-1]) for pieces in blocks]
+
+
+def _place(piece: tuple[int, int]) -> Column:
+    return F.struct(F.lit(piece[0]).cast("long").alias("part"), F.lit(piece[1]).cast("long").alias("cut"))
 
 
 def mine(rows: DataFrame, anchor: Column | None = None, positives: int = POSITIVES, negatives: int = NEGATIVES,
@@ -248,8 +259,9 @@ def mine(rows: DataFrame, anchor: Column | None = None, positives: int = POSITIV
     rows = kept.keep(rows.select("id", "label", "v"), "rows")
     anchors, numbers = _blocks(rows, kept, anchor, block)
     best, hard = None, None
-    for number in numbers:
-        members = anchors.filter((F.col("part") == number[0]) & (F.col("cut") == number[1])).select("id", "label", "v").toArrow()
+    for first, last in numbers:
+        place = F.struct("part", "cut")
+        members = anchors.filter((place >= _place(first)) & (place <= _place(last))).select("id", "label", "v").toArrow()
         vectors = _matrix(members.column("v"))
         parent, edge = spanning_tree(vectors)
         all_scores = np.full((len(vectors), 1), np.inf)
