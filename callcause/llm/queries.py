@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from callcause.llm import (alignment, byte_gru, chunk_bpe, decontamination, edit_counts, exact_dedup, hard_negatives, html_text,
-                           near_duplicates, repeated_spans, rule_quality, token_files)
+                           near_duplicates, ngram_join, repeated_spans, rule_quality, token_files)
 from callcause.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_mixing_range_coder(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.query(read(spark, folder, "documents"), VOCABULARY)
 
 
+def op11_divide_skip_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.query(read(spark, folder, "documents"))
+
+
 def op12_arrow_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.query(read(spark, folder, "documents"), VOCABULARY, PIECES)
 
@@ -67,7 +71,7 @@ def op13_spanning_tree_negatives(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_exact_dedup, op2_html_template_removal, op3_minhash_near_dedup, op4_suffix_radix_dedup, op5_rule_quality,
     op6_byte_gru_language, op7_chunk_reuse_bpe, op8_edit_aware_token_counts, op9_benchmark_decontamination,
-    op10_mixing_range_coder, op12_arrow_token_alignment, op13_spanning_tree_negatives)}
+    op10_mixing_range_coder, op11_divide_skip_join, op12_arrow_token_alignment, op13_spanning_tree_negatives)}
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op9_benchmark_decontamination": decontamination.SQL,
