@@ -11,6 +11,7 @@ from callcause import schemas as S
 from callcause.functions.values import is_true
 from callcause.operators import access, handover, radio as R, signalling as G
 from callcause.operators.windows import END, KIND, NUMBER, START, failure_windows
+from callcause.plans.merged import merged_facts, merged_rows
 from callcause.profile import Profile
 from callcause.session import settle
 
@@ -62,12 +63,30 @@ def window_facts(tables: ProbeTables, profile: Profile,
                  keep: Callable[[DataFrame], DataFrame] | None = settle) -> DataFrame:
     """All facts about every window in one row.
 
-    Each probe table is read once: interval join, then one aggregate by window.
+    All tables go through one tagged stream with one exchange (see
+    ``plans.merged``). ``keep`` stores that stream, so that no message is parsed
+    twice, and its series are counted once: series too long for one task, like
+    windows that rows of other work orders may enter, take interval joins
+    instead. None stores and counts nothing.
+    """
+    if profile.join_keys != profile.keys or profile.fixed_slice is not None:
+        return joined_facts(tables, profile, keep)
+    merged = merged_rows(tables, profile)
+    if keep is not None:
+        merged = keep(merged)
+        cut = profile.sized(merged)
+        if cut.fixed_slice is not None:
+            return joined_facts(tables, cut, keep)
+    return merged_facts(merged, profile)
+
+
+def joined_facts(tables: ProbeTables, profile: Profile,
+                 keep: Callable[[DataFrame], DataFrame] | None = settle) -> DataFrame:
+    """The same by an interval join of each table, then one aggregate by window and a join by its key.
+
     ``keep`` stores the windows and the signalling rows inside them, which
-    several branches use, and the facts that the radio pass joins to; the
-    planner knows the size of what is stored, and the series of the events and
-    of the stored rows are counted once. None leaves all to be recomputed and
-    counts nothing.
+    several branches use, and the facts that the radio pass joins to, so that the
+    planner knows their size. None leaves all to be recomputed.
     """
     key = list(profile.event_key)
     if keep is None:
@@ -75,7 +94,7 @@ def window_facts(tables: ProbeTables, profile: Profile,
         tagged = G.tagged_signalling(windows, tables.signalling, profile)
         facts = windows.join(G.signalling_facts(tagged, profile), key, "left")
     else:
-        windows = keep(failure_windows(tables.events, profile.sized(tables.events)))
+        windows = keep(failure_windows(tables.events, profile))
         tagged = keep(G.tagged_signalling(windows, tables.signalling, profile))
         facts = keep(windows.join(G.signalling_facts(tagged, profile), key, "left"))
         profile = profile.sized(tagged, profile.event_key)
