@@ -9,9 +9,11 @@ the exact overlap is a link.
 Spark deals the sets to lists that fit a task, and loses no link by it. Of each
 set the shingles of least hash are its prefix; two linked sets share several of
 these. Shingles that only one prefix has drop out, and with them every set that
-keeps too few. The sets that remain are gathered by the shared shingles that
-connect them. Small gatherings share a cell; a large one is dealt into cells by
-size and number, and a few guests of each size stand in all cells around it. Last, sets
+keeps too few. The lists of the rest are divided as well: two sets are gathered
+if their short lists, and at most all their long ones, give as many common
+prefix shingles as linked sets have; sets with that many long lists are gathered
+by these. Small gatherings share a cell; a large one is dealt into cells by size
+and number, and a few guests of each size stand in all cells around it. Last, sets
 outside the largest component of a large gathering meet its cells in blocks.
 """
 
@@ -32,6 +34,8 @@ from callcause.llm.near_duplicates import WORD_BYTES, distinct_by_row
 SHINGLE, PERCENT = 4, 85
 # Shingles in a cell, and the rounds in which shingles and sets drop out.
 CELL, ROUNDS = 400_000, 2
+# Sets in the longest list whose pairs are counted one by one; longer lists stand aside.
+SHORT = 12
 # Weight of a binary search against a merged entry, by which DivideSkip picks the long lists.
 PROBE = 0.01
 RESULTS = ("n_shingles", "component_id")
@@ -198,25 +202,48 @@ def _content(docs: DataFrame, text: str, id_column: str) -> list[Column]:
     return [F.col(id_column).alias("_id"), F.xxhash64(whole, F.length(whole)).alias("_text")]
 
 
+def _needed(n: Column) -> Column:
+    """Prefix shingles that a set shares with any linked one, which may be smaller."""
+    return F.lit(1) + F.floor(F.ceil(n * PERCENT / 100) / 10)
+
+
 def _survivors(rows: DataFrame, kept: Kept) -> DataFrame:
     """(t, c, n) of the prefix shingles that several sets share, of the sets that keep enough of them."""
-    need = F.lit(1) + F.floor(F.ceil(F.col("n") * PERCENT / 100) / 10)
     for _ in range(ROUNDS):
         shared = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("t")
-        rows = kept.keep(rows.join(shared, "t"), "shared")
-        enough = rows.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).filter(F.col("k") >= need).select("c")
-        rows = kept.keep(rows.join(enough, "c"), "shared")
+        several = kept.keep(rows.join(shared, "t"), "shared")
+        enough = (several.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+                  .filter(F.col("k") >= _needed(F.col("n"))).select("c"))
+        before, rows = rows, kept.keep(several.join(enough, "c"), "shared")
+        kept.drop(several)
+        if _:
+            kept.drop(before)
     return rows
 
 
 def _gathered(rows: DataFrame, kept: Kept) -> DataFrame:
-    """(c, n, gathering): the sets by the shared shingles that connect them."""
+    """(c, n, gathering): sets that may be linked come together, whatever chain leads from one to the other."""
+    df = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    counted = kept.keep(rows.join(df, "t"), "counted")
+    sets = kept.keep(counted.groupBy("c").agg(F.max("n").alias("n"), F.count(F.when(F.col("df") > SHORT, 1)).alias("aside")), "sizes")
+    # Short lists, merged: in how many of them two sets stand together.
+    members = F.collect_list(F.struct("c", "n", "aside"))
+    short = (counted.filter(F.col("df") <= SHORT).select("t", "c").join(sets, "c").groupBy("t").agg(members.alias("m"))
+             .select("m", F.explode("m").alias("a")).select("a", F.explode("m").alias("b")).filter("a.c < b.c"))
+    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    pairs = (short.filter(100 * small >= PERCENT * large).groupBy(F.col("a.c").alias("u"), F.col("b.c").alias("v"))
+             .agg(F.count(F.lit(1)).alias("k"), F.max(small).alias("n"), F.max(F.least("a.aside", "b.aside")).alias("aside"))
+             .filter(F.col("k") + F.col("aside") >= 1 + F.floor(F.col("n") / 10)).select("u", "v"))
+    # Long lists join only sets that could be linked by long lists alone.
     order = F.struct(F.xxhash64("c"), F.col("c"))
-    pivots = rows.groupBy("t").agg(F.min(order).alias("p")).select("t", F.col("p.c").alias("p"))
-    edges = rows.join(pivots, "t").filter("c != p").select(F.col("c").alias("u"), F.col("p").alias("v"))
-    labels = components(edges, kept)
-    nodes = rows.select("c", "n").distinct()
-    return nodes.join(labels, nodes["c"] == labels["u"], "left").select("c", "n", F.coalesce("v", "c").alias("gathering"))
+    heavy = counted.filter(F.col("df") > SHORT).select("t", "c").join(
+        sets.filter(F.col("aside") >= _needed(F.col("n"))).select("c"), "c")
+    pivots = heavy.groupBy("t").agg(F.min(order).alias("p")).select("t", F.col("p.c").alias("p"))
+    stars = heavy.join(pivots, "t").filter("c != p").select(F.col("c").alias("u"), F.col("p").alias("v"))
+    labels = components(pairs.unionByName(stars), kept)
+    found = sets.join(labels, sets["c"] == labels["u"]).select("c", "n", F.col("v").alias("gathering"))
+    least = labels.select(F.col("v").alias("c")).distinct().join(sets, "c").select("c", "n", F.col("c").alias("gathering"))
+    return found.unionByName(least)
 
 
 def _placed(gathered: DataFrame, cell: int) -> DataFrame:
