@@ -30,7 +30,8 @@ HOT_PAIRS = 1_000_000
 # Rows of partial counts that a task holds before it passes them on.
 PARTIAL = 500_000
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
-_STEP = 1_000_000
+# Bytes of text, and tokens, that go through the array steps at once; a longer text is a step of its own.
+_STEP, _TOKENS = 250_000, 100_000
 _SHIFT = 32
 _LOW = np.int64((1 << _SHIFT) - 1)
 
@@ -157,7 +158,7 @@ def lists_of(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def _parts(batch: pa.RecordBatch, tokens_in_part: int = 400_000) -> Iterator[tuple[int, pa.ListArray, pa.ListArray]]:
+def _parts(batch: pa.RecordBatch, tokens_in_part: int = _TOKENS) -> Iterator[tuple[int, pa.ListArray, pa.ListArray]]:
     """Ids of both sides, a few documents at a time, and the first row of each part."""
     a, b = (pc.if_else(c.is_valid(), c, pa.scalar([], c.type)) for c in (batch.column("_a"), batch.column("_b")))
     ends = np.cumsum(a.value_lengths().to_numpy() + b.value_lengths().to_numpy())
