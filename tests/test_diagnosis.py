@@ -131,7 +131,7 @@ def test_many_windows_are_joined_by_shuffle(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-        found = D.diagnose(tables, P)
+        found = D.diagnosis_v2(D.joined_facts(tables, P), P)
         plan = found._jdf.queryExecution().executedPlan().toString()
         joins = [line for line in plan.splitlines() if "Join" in line and "_slice" in line]
         assert joins and all("SortMergeJoin" in line for line in joins)
@@ -163,6 +163,40 @@ def test_equal_instants_in_any_input_order(spark, chunk):
     assert answers[0] == answers[1] and len(answers[0]) > 3
 
 
+@pytest.mark.parametrize("version,seed", [("v2", 1), ("v2", 2), ("v1", 3)])
+def test_the_stream_and_the_joins_agree(spark, version, seed):
+    """Shared instants, several keys, markers without a time, and windows without a start."""
+    source = random.Random(seed)
+    times = [0, 3, 3, 5, 8, 10, 12, 15, 15, 20, None]
+    log = [(source.choice(times), source.choice([SETUP, DROP, '"Call End"', "other"]), n, float(n), source.choice([1, 2])) for n in range(50)]
+    sig = [(source.choice(times[:-1]) + source.random(), event, source.randrange(3), text, source.choice([1, 2])) for event, text in
+           [(S.REPORT, report()), (S.REPORT, report()), (S.RECONFIGURATION, sync(2)), (S.RECONFIGURATION_COMPLETE, None),
+            ("systemInformationBlockType1", None), (S.REESTABLISH_REQUEST, None), ("MCC : 310 T-Mobile", None)] * 12]
+    meas = [(source.choice(times), 1, source.randrange(3), -100.0 - n, 1.0, source.choice([1, 2])) for n in range(40)]
+    rach = [(source.choice(times), source.choice([0, 1, None]), source.choice([0, 1, None]), source.choice([1, 2])) for _ in range(30)]
+    tables = probe_tables(spark, log=log, meas=meas, sig=sig, rach=rach, phy=[(t, 5.0 + n) for n, t in enumerate(times)])
+    profile = P.with_(version=version)
+    finish = D.diagnosis_v2 if version == "v2" else D.diagnosis_v1
+
+    def rows(found):
+        return {(r.WorkOrderId, r.Failed_Event_Number): r for r in found.collect()}
+
+    one = rows(D.diagnose(tables, profile))
+    assert one == rows(finish(D.joined_facts(tables, profile), profile)) and len(one) > 8
+    assert one == rows(D.diagnose(tables, profile.with_(max_series_rows=20)))
+
+
+def test_the_stream_needs_one_exchange_and_no_join(spark):
+    found = D.diagnose(probe_tables(spark, **STORY), P)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_a_window_with_a_successful_handover_is_never_stuck(spark):
     """So the success is left out where only the tag counts: it cannot change a row."""
     source = random.Random(7)
