@@ -318,6 +318,12 @@ def _hourly(sql: str) -> str:
     return sql.replace("select event_id, ts, ", "select event_id, date_trunc('hour', ts) as ts, ", 1)
 
 
+def _crowded(sql: str) -> str:
+    """The hourly form with a third of all users as one."""
+    user = "(case when user_id % 3 = 0 then 0 else user_id end)"
+    return _hourly(sql).replace("user_id as wo, user_id // 2 as dev", f"{user} as wo, {user} // 2 as dev", 1)
+
+
 def _stored(sql: str, pattern: str, *times: str) -> str:
     """The rows as they are stored: whole numbers narrow, times as text."""
     texts = [f"strftime(\"{name}\", '{pattern}') as \"{name}\"" for name in times]
@@ -348,6 +354,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "failure_windows": window,
         "failure_windows_sliced": window,
+        "failure_windows_cut": window,
         "failure_windows_tied": _hourly(window),
         "failure_windows_traffic_fail": f"{_base('Traffic Fail')} select {_KEY}, {_SPAN} from w",
         "window_rows_left": _window_rows("left"),
@@ -357,6 +364,10 @@ def oracle_sql() -> dict[str, str]:
         "window_rows_linear": _window_rows("inner"),
         "window_rows_linear_sliced": _window_rows("inner"),
         "window_rows_by_device": _window_rows("inner", "dev"),
+        "window_rows_dense": _window_rows("inner"),
+        "window_rows_hot": _crowded(_window_rows("inner")),
+        "window_rows_linear_tied": _crowded(_window_rows("inner")),
+        "window_rows_linear_by_device": _window_rows("inner", "dev"),
         "event_messages": f"""{_base()} select {_KEY}, {_SPAN}, ev.ts as "Time",
             case when event_type = 'signup' then '"Setup Start"' when event_type = 'purchase' then '"Call End"'
                  when event_type = 'error' and k % 2 = 0 then 'Data Drop, Traffic Fail'
@@ -402,6 +413,7 @@ def oracle_sql() -> dict[str, str]:
             from w join ev on ev.wo = w.wo and ev.ts = w.e""",
         "diagnosis_v2": _diagnosis_v2(),
         "diagnosis_v2_sliced": _diagnosis_v2(),
+        "diagnosis_v2_cut": _diagnosis_v2(),
         "diagnosis_v1": _diagnosis_v1(),
         "diagnosis_v2_traffic_fail": _diagnosis_v2("Traffic Fail"),
         "diagnosis_v1_traffic_fail": _diagnosis_v1("Traffic Fail"),
@@ -457,6 +469,7 @@ def oracle_sql() -> dict[str, str]:
             from f left join l on l.l_orderkey = f.l_orderkey and l.r = f.r""",
         "suspected_missing_relations": suspected,
         "suspected_missing_relations_sliced": suspected,
+        "suspected_missing_relations_cut": suspected,
         "suspected_missing_relations_tied": _hourly(suspected),
         "table_scan": "select o_orderkey, o_custkey, o_orderpriority from orders",
         "device_lookup": """select event_id, user_id, event_type, value from events

@@ -25,6 +25,8 @@ SLICED = PROFILE.with_(chunk_seconds=5 * 86_400)
 PROFILE_V1 = PROFILE.with_(version="v1")
 FAIL = PROFILE.with_(marker="Traffic Fail")
 FAIL_V1 = FAIL.with_(version="v1")
+# Long series get cuts of their own, and dense time slices are split, both at sizes that these tables reach.
+CUT = PROFILE.with_(max_series_rows=40, max_slice_rows=20)
 BY_DEVICE = PROFILE.with_(join_keys=("Device",))
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +107,12 @@ def failure_windows_sliced(spark, folder):
     return _windows(spark, folder, SLICED)
 
 
+@query
+def failure_windows_cut(spark, folder):
+    calls = settle(_calls(spark, folder))
+    return windows.failure_windows(calls, CUT.sized(calls, settle))
+
+
 @query
 def failure_windows_tied(spark, folder):
     """With times cut to the hour, so that many events share an instant and their number orders them."""
@@ -147,6 +155,35 @@ def window_rows_linear_sliced(spark, folder):
     return windows.window_rows_linear(_calls(spark, folder), _probe_rows(spark, folder), SLICED)
 
 
+@query
+def window_rows_dense(spark, folder):
+    """With time slices of one key that hold too many rows cut at the times of these."""
+    return windows.window_rows(_kept_windows(spark, folder), _probe_rows(spark, folder), CUT, keep=settle)
+
+
+def _crowded(spark, folder):
+    log = event_log.crowded(_events(spark, folder))
+    return event_log.call_events(log), event_log.probe_rows(log)
+
+
+@query
+def window_rows_hot(spark, folder):
+    """With a third of all rows on one key and many rows on one instant, dealt over shares of it."""
+    calls, rows = _crowded(spark, folder)
+    return windows.window_rows(settle(windows.failure_windows(calls, CUT)), rows, CUT, keep=settle)
+
+
+@query
+def window_rows_linear_tied(spark, folder):
+    """The same without an interval join."""
+    return windows.window_rows_linear(*_crowded(spark, folder), PROFILE)
+
+
+@query
+def window_rows_linear_by_device(spark, folder):
+    return windows.window_rows_linear(_calls(spark, folder), _probe_rows(spark, folder), BY_DEVICE)
+
+
 @query
 def window_rows_by_device(spark, folder):
     return windows.window_rows(_windows(spark, folder), _probe_rows(spark, folder), BY_DEVICE)
@@ -298,6 +335,11 @@ def diagnosis_v2_sliced(spark, folder):
     return diagnosis.diagnose(_tables(spark, folder), SLICED)
 
 
+@query
+def diagnosis_v2_cut(spark, folder):
+    return diagnosis.diagnose(_tables(spark, folder), CUT)
+
+
 @query
 def diagnosis_v2_counting_empty_checks(spark, folder):
     return diagnosis.diagnose(_tables(spark, folder), PROFILE.with_(ignore_empty_checks=False))
@@ -482,6 +524,11 @@ def suspected_missing_relations_sliced(spark, folder):
     return relations.suspected_missing_relations(_signalling(spark, folder), SLICED)
 
 
+@query
+def suspected_missing_relations_cut(spark, folder):
+    return relations.suspected_missing_relations(_signalling(spark, folder), CUT)
+
+
 # --- sources and sinks ----------------------------------------------------------------
 
 @query

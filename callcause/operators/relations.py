@@ -253,7 +253,7 @@ def suspected_missing_relations(signalling: DataFrame, profile: Profile, keep: K
     store = keep or (lambda df: df)
     decoded = store(decode_messages(event_token(signalling, profile), profile))
     if keep is not None:
-        profile = profile.sized(decoded)
+        profile = profile.sized(decoded, keep)
     keep = store
     ordered = keep(numbered_rows(with_neighbours(decoded, profile), profile))
     reported = reported_relations(not_succeeded(ordered, profile), profile, keep)

@@ -1,11 +1,13 @@
 """Row-order operators (lag, lead, running sum, fills) for series of any length.
 
 A plain window function sorts all rows of one key in one task, which is right
-while every series fits there. A longer series is cut into time slices: every
+while every series fits there. A longer series is cut into slices: every
 slice is its own window partition, and small carrier rows bring in what a slice
 needs from its neighbours: the sum so far, the last known value, the previous
 row, the rows that follow. Carriers are built from one summary row per slice, so
-only summaries of a key ever meet in one task. Both ways give the same result.
+only summaries of a key ever meet in one task. Slices are of one width in time,
+or lie between the borders of ``operators.cuts``, which only long series have.
+All ways give the same result.
 """
 
 from __future__ import annotations
@@ -15,9 +17,12 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from callcause.operators.cuts import Cuts, order_of, position
+
 _SLICE, _EDGE, _RANK, _TARGET = "_slice", "_edge", "_rank", "_target"
 _BEFORE_ROWS, _AFTER_ROWS = -1, 1_000_000
 _BEFORE_ALL_TIME = -(2 ** 62)
+_WHOLE = -1
 
 
 @dataclass(frozen=True)
@@ -26,14 +31,18 @@ class Series:
 
     So the order is total: rows that no column tells apart are interchangeable,
     and no result depends on the order in which rows come. ``chunk_seconds`` is
-    the width of the time slices, None for no slices; ``needed_slice`` finds one
-    for a stored table.
+    the width of the time slices, None for no slices. ``cuts`` are the borders
+    of the long series of a table that holds all rows, by the same keys, time
+    and tie columns; they go before a width. With ``whole_instants`` no border
+    parts the rows of one instant.
     """
 
     keys: tuple[str, ...]
     time: str
     tie: tuple[str, ...] = ()
     chunk_seconds: int | None = None
+    cuts: Cuts | None = None
+    whole_instants: bool = False
 
 
 @dataclass(frozen=True)
@@ -99,15 +108,21 @@ def total_tie(df: DataFrame, keys: tuple[str, ...], time: str, tie: tuple[str, .
 
 def scan(df: DataFrame, series: Series, steps: Mapping[str, Step]) -> DataFrame:
     """Add one column per step. Runs no job."""
-    seconds = series.chunk_seconds
+    seconds, cuts = series.chunk_seconds, series.cuts
     series = replace(series, tie=total_tie(df, series.keys, series.time, series.tie))
     inputs = {name: f"_in_{name}" for name in steps}
     rows = df.withColumns({inputs[name]: step.value for name, step in steps.items()})
     partition, order = list(series.keys), [series.time, *series.tie]
-    if seconds is not None:
-        slice_ = F.coalesce(time_slice(series.time, seconds), F.lit(_BEFORE_ALL_TIME))
-        rows = rows.withColumn(_SLICE, slice_).withColumn(_EDGE, F.lit(0))
-        for carriers in _carriers(rows, series, steps, inputs):
+    if cuts is not None:
+        peers = any(isinstance(step, LastKnown) and step.peers for step in steps.values())
+        rows = cut_rows(rows, cuts, peers or series.whole_instants)
+    elif seconds is not None:
+        rows = rows.withColumn(_SLICE, F.coalesce(time_slice(series.time, seconds), F.lit(_BEFORE_ALL_TIME)))
+    cut = cuts is not None or seconds is not None
+    if cut:
+        rows = rows.withColumn(_EDGE, F.lit(0))
+        sliced = rows.filter(F.col(_SLICE) != _WHOLE) if cuts is not None else rows
+        for carriers in _carriers(sliced, series, steps, inputs):
             rows = rows.unionByName(carriers, allowMissingColumns=True)
         partition, order = [*partition, _SLICE], [_EDGE, *order]
 
@@ -136,11 +151,29 @@ def scan(df: DataFrame, series: Series, steps: Mapping[str, Step]) -> DataFrame:
         instant = Window.partitionBy(*partition, *order[:-len(series.tie) or None]).orderBy(*(series.tie or order))
         instant = instant.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         rows = rows.withColumns({name: F.last(F.col(name)).over(instant) for name in shared})
-    if seconds is not None:
+    if cut:
         rows = rows.filter(F.col(_EDGE) == 0)
     return rows.drop(_SLICE, _EDGE, *inputs.values())
 
 
+def cut_rows(rows: DataFrame, cuts: Cuts, whole_instants: bool = False) -> DataFrame:
+    """Add the slice of each row, -1 for series that stay whole.
+
+    With ``whole_instants`` borders inside an instant do not count, so that its
+    rows stay together.
+    """
+    placed = cuts.place(rows)
+    names = [name for name in cuts.order if name in rows.columns]
+    if whole_instants or len(names) < len(cuts.order):
+        # Borders by time alone; the first of an instant opens it.
+        borders, value = F.array_distinct(F.transform("_borders", lambda border: border.o0)), F.col(cuts.order[0])
+        borders, value = F.transform(borders, lambda time: F.struct(time.alias("o0"))), F.struct(value.alias("o0"))
+    else:
+        borders, value = F.col("_borders"), order_of(cuts.order)
+    slice_ = F.coalesce(position(borders, value).cast("long"), F.lit(_WHOLE).cast("long"))
+    return placed.withColumn(_SLICE, slice_).drop("_borders", "_splits")
+
+
 def _carriers(rows: DataFrame, series: Series, steps: Mapping[str, Step],
               inputs: Mapping[str, str]) -> list[DataFrame]:
     far = {name: step for name, step in steps.items() if isinstance(step, Following)}
@@ -217,23 +250,3 @@ def _head_carriers(rows: DataFrame, series: Series, steps: Mapping[str, Followin
               .withColumn(_TARGET, F.lag(_SLICE, 1).over(by_slice))
               .filter(F.col(_TARGET).isNotNull()))
     return starts.select(*series.keys, F.col(_TARGET).alias(_SLICE), F.inline("_following"))
-
-
-def needed_slice(df: DataFrame, keys: tuple[str, ...], time: str, max_rows: int,
-                 probe_seconds: int = 3600) -> int | None:
-    """None when every series has at most ``max_rows`` rows, else the width of slices that do.
-
-    One job for short series. For longer ones the densest slice is counted again
-    at each narrower width, so a burst inside a quiet hour is split too; only
-    rows of one second stay together. One number per job comes back.
-    """
-    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if longest <= max_rows:
-        return None
-    width = probe_seconds
-    while True:
-        cells = df.groupBy(*keys, time_slice(time, width).alias(_SLICE)).count()
-        densest = cells.agg(F.max("count")).first()[0]
-        if densest <= max_rows or width == 1:
-            return width
-        width = max(1, min(width * max_rows // densest, width // 2))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from callcause.operators.sequence import NextKnown, Previous, RunningSum, Series, scan, time_slice
+from callcause.operators.cuts import Cuts, find_cuts, order_of, position
+from callcause.operators.sequence import NextKnown, Previous, RunningSum, scan, time_slice
 from callcause.profile import Profile
 
 NUMBER = "Failed_Event_Number"
@@ -51,14 +53,47 @@ def window_rows(windows: DataFrame, rows: DataFrame, profile: Profile, how: str
 
     ``how="left"`` also keeps windows without rows. It reads the matched rows
     twice; ``keep`` may store them first, None computes them twice.
+
+    With ``keep`` and ``max_slice_rows`` the rows of each slice are counted, and
+    slices with more are cut at the times of their rows. A window then goes to
+    the parts it touches, and to every share of an instant whose rows are dealt
+    over several.
     """
-    seconds = profile.slice_seconds
+    seconds, time = profile.slice_seconds, profile.columns.time
     first, last = time_slice(start, seconds), time_slice(end, seconds)
     spread = (windows.filter(F.col(start) <= F.col(end))
               .withColumn("_slice", F.explode(F.sequence(first, last))))
-    probes = (rows.filter(F.col(profile.columns.time).isNotNull())
-              .withColumn("_slice", time_slice(profile.columns.time, seconds)))
-    return _joined(windows, spread, probes, [*profile.join_keys, "_slice"], profile, how, start, end, keep)
+    probes = rows.filter(F.col(time).isNotNull()).withColumn("_slice", time_slice(time, seconds))
+    on = [*profile.join_keys, "_slice"]
+    if keep is not None and profile.max_slice_rows is not None:
+        dense = find_cuts(probes.select(*on, time), on, (time,), profile.max_slice_rows, keep)
+        if dense is not None:
+            spread, probes = _in_parts(spread, dense, start, end), _dealt(probes, dense)
+            on = [*on, "_part", "_share"]
+    return _joined(windows, spread, probes, on, profile, how, start, end, keep)
+
+
+def _dealt(probes: DataFrame, dense: Cuts) -> DataFrame:
+    """Rows with their part of a dense slice, and their share of the part; rows equal in all columns stay together."""
+    shares = F.coalesce(F.get("_splits", F.col("_part") - 1), F.lit(1))
+    part = F.coalesce(position(F.col("_borders"), order_of(dense.order)), F.lit(0))
+    whole = F.xxhash64(*[F.col(f.name) for f in probes.schema if f.dataType.simpleString().split("<")[0] not in ("map", "variant")])
+    return (dense.place(probes).withColumn("_part", part)
+            .withColumn("_share", F.when(shares > 1, F.pmod(whole, shares).cast("int")).otherwise(0)).drop("_borders", "_splits"))
+
+
+def _in_parts(spread: DataFrame, dense: Cuts, start: str, end: str) -> DataFrame:
+    """Windows once for every part of a dense slice that they touch, and every share of it."""
+    def part_of(name: str) -> Column:
+        return F.coalesce(position(F.col("_borders"), F.struct(F.col(name).alias("o0"))), F.lit(0))
+
+    def shares(part: Column) -> Column:
+        count = F.coalesce(F.get("_splits", part - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda share: F.struct(part.alias("_part"), share.alias("_share")))
+
+    places = F.flatten(F.transform(F.sequence(part_of(start), part_of(end)), shares))
+    return (dense.place(spread).withColumn("_place", F.explode(places))
+            .select("*", "_place.*").drop("_place", "_borders", "_splits"))
 
 
 def event_messages(events: DataFrame, profile: Profile,
@@ -80,7 +115,7 @@ def _joined(windows: DataFrame, spread: DataFrame, probes: DataFrame, on: Sequen
     time = profile.columns.time
     foreign = [key for key in profile.keys if key not in profile.join_keys]
     inside = F.col(time).between(F.col(start), F.col(end))
-    matched = spread.join(probes.drop(*foreign), list(on), "inner").filter(inside).drop("_slice")
+    matched = spread.join(probes.drop(*foreign), list(on), "inner").filter(inside).drop("_slice", "_part", "_share")
     if how != "left":
         return matched
     return with_empty_windows(windows, keep(matched) if keep else matched, profile)
@@ -98,31 +133,42 @@ def with_empty_windows(windows: DataFrame, matched: DataFrame, profile: Profile)
 
 
 def window_rows_linear(events: DataFrame, rows: DataFrame, profile: Profile) -> DataFrame:
-    """The inner form without an interval join: every row looks up the next marker.
+    """The inner form without an interval join: every row looks up the markers around it.
 
-    Windows of one key lie end to end, so a row belongs to the window that the
-    next marker at or after it closes. A row on the very instant of a marker is
-    also the first row of the window that starts there; those few are found by
-    an equi join on key and time. Needs strict join keys, and markers of one key
-    on different instants.
+    Windows of one key lie end to end, so a row belongs to windows that close on
+    the next marker instant at or after it and, on a marker instant itself, to
+    the window that opens there. Of the windows that close on one instant only
+    the first is longer than the instant. Each marker instant carries these few
+    windows, and a row takes those around it in one pass over the series.
+
+    Where rows of other work orders may enter a window (``join_keys`` shorter
+    than ``keys``), they first go to every series of their device that has
+    windows: there is one open window in each at most, except on an instant.
     """
-    if profile.join_keys != profile.keys:
-        raise ValueError("the linear form needs join_keys equal to keys")
     time, keys = profile.columns.time, list(profile.keys)
+    foreign = [key for key in keys if key not in profile.join_keys]
     own = [name for name in rows.columns if name not in (*keys, time)]
-    markers = _marker_rows(events, profile)
-    windows = failure_windows(events, profile)
-    # Every marker is met after the rows of its instant; only those that close a window carry one.
-    closing = (markers.select(*keys, F.col(time).alias(END)).distinct()
-               .join(windows, [*keys, END], "left")
-               .select(*keys, F.col(END).alias(time), F.lit(1).alias("_side"),
-                       F.struct(NUMBER, KIND, START, END).alias("_closes")))
-    mixed = rows.withColumn("_side", F.lit(0)).unionByName(closing, allowMissingColumns=True)
-    ahead = scan(mixed, Series(profile.keys, time, ("_side",), profile.fixed_slice),
-                 {"_next": NextKnown(F.col("_closes"))})
-    closed = (ahead.filter((F.col("_side") == 0) & (F.col(f"_next.{START}") <= F.col(time)))
-              .select(*keys, "_next.*", time, *own))
-    opened = (windows.filter(F.col(START) < F.col(END))
-              .join(rows.withColumn(START, F.col(time)), [*keys, START], "inner")
-              .select(*closed.columns))
-    return closed.unionByName(opened)
+    windows = failure_windows(events, profile).filter(F.col(END).isNotNull())
+    rows = rows.filter(F.col(time).isNotNull())
+    if foreign:
+        series = windows.select(*keys).distinct()
+        rows = rows.drop(*foreign).join(series, list(profile.join_keys))
+    window = F.struct(NUMBER, KIND, START, END)
+    closing = windows.groupBy(*keys, F.col(END).alias(time)).agg(F.collect_list(window).alias("_closing"))
+    opening = windows.filter(F.col(START) < F.col(END)).select(*keys, F.col(START).alias(time), F.array(window).alias("_opening"))
+    instants = _marker_rows(events, profile).filter(F.col(time).isNotNull()).select(*keys, time).distinct()
+    around = instants.join(closing, [*keys, time], "left").join(opening, [*keys, time], "left")
+    marked = around.select(*keys, time, F.lit(1).alias("_side"),
+                           F.struct(F.col(time).alias("at"), "_closing", "_opening").alias("_around"))
+    # An instant's markers stand after its rows, so that these find it as the next one.
+    mixed = rows.withColumn("_side", F.lit(0)).unionByName(marked, allowMissingColumns=True)
+    ahead = scan(mixed, replace(profile.series(), tie=("_side",), whole_instants=True), {"_next": NextKnown(F.col("_around"))})
+    none = F.array().cast(_WINDOWS)
+    closes = F.filter("_next._closing", lambda w: w[START].isNotNull() & (w[START] <= F.col(time)))
+    opens = F.when(F.col("_next.at") == F.col(time), F.col("_next._opening"))
+    found = F.concat(F.coalesce(closes, none), F.coalesce(opens, none))
+    return (ahead.filter(F.col("_side") == 0).withColumn("_window", F.explode(found))
+            .select(*keys, "_window.*", time, *own))
+
+
+_WINDOWS = f"array<struct<{NUMBER}:bigint,{KIND}:string,{START}:timestamp,{END}:timestamp>>"

@@ -74,8 +74,8 @@ def window_facts(tables: ProbeTables, profile: Profile,
     merged = merged_rows(tables, profile)
     if keep is not None:
         merged = keep(merged)
-        cut = profile.sized(merged)
-        if cut.fixed_slice is not None:
+        cut = profile.sized(merged, keep)
+        if cut.cuts is not None:
             return joined_facts(tables, cut, keep)
     return merged_facts(merged, profile)
 
@@ -97,7 +97,7 @@ def joined_facts(tables: ProbeTables, profile: Profile,
         windows = keep(failure_windows(tables.events, profile))
         tagged = keep(G.tagged_signalling(windows, tables.signalling, profile))
         facts = keep(windows.join(G.signalling_facts(tagged, profile), key, "left"))
-        profile = profile.sized(tagged, profile.event_key)
+        profile = profile.sized(tagged, keep, profile.event_key)
     facts = R.radio_facts(facts, tables.measurements, profile)
     branches = [
         access.rach_facts(windows, tables.rach, profile),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
-from callcause.operators.sequence import Series, needed_slice
+from callcause.operators.cuts import Cuts, find_cuts
+from callcause.operators.sequence import Series
 
 AUTO = "auto"
 
@@ -45,11 +47,17 @@ class Profile:
     them; its other columns follow, so the order is always total.
     ``slice_seconds`` is the time slice by which rows and windows meet in
     interval joins; a few times the usual length of a window is a good width.
-    ``chunk_seconds`` cuts series into time slices (see ``operators.sequence``),
-    so that a device with a large share of all rows is spread over many tasks.
-    ``"auto"`` leaves the width to the analyses, which count the series of a
-    stored table once and cut them if one has more than ``max_series_rows``
-    rows; single operators then work on whole series.
+    ``chunk_seconds`` cuts all series into time slices of one width (see
+    ``operators.sequence``). ``"auto"`` leaves the cuts to the analyses, which
+    count the series of a stored table once: those of more than
+    ``max_series_rows`` rows get borders of their own (``cuts``, see
+    ``operators.cuts``), so that a device with a large share of all rows is
+    spread over many tasks and all others stay whole. Single operators work on
+    whole series unless ``cuts`` are given.
+
+    ``max_slice_rows`` splits the time slices of interval joins in the same way:
+    a slice of one key with more probe rows than that is cut at their times, and
+    rows of one instant are dealt over several tasks. None counts nothing.
     """
 
     marker: str = "Drop"
@@ -61,6 +69,8 @@ class Profile:
     slice_seconds: int = 900
     chunk_seconds: int | str | None = "auto"
     max_series_rows: int = 1_000_000
+    max_slice_rows: int | None = None
+    cuts: Cuts | None = None
     rsrp_floor: float = -110.0
     sinr_floor: float = 0.0
     bler_ceiling: float = 10.0
@@ -83,18 +93,21 @@ class Profile:
 
     def series(self, keys: tuple[str, ...] | None = None) -> Series:
         """How rows of one key, or of the given keys, follow each other."""
-        return Series(keys or self.keys, self.columns.time, self.tie, self.fixed_slice)
+        keys = keys or self.keys
+        cuts = self.cuts if self.cuts is not None and self.cuts.keys == tuple(keys) else None
+        return Series(keys, self.columns.time, self.tie, self.fixed_slice, cuts)
 
     @property
     def fixed_slice(self) -> int | None:
         return None if self.chunk_seconds == AUTO else self.chunk_seconds
 
-    def sized(self, stored: DataFrame, keys: tuple[str, ...] | None = None) -> "Profile":
-        """With slices as wide as the series of a stored table ask for; counts them if the width is left open."""
+    def sized(self, stored: DataFrame, keep: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] | None = None) -> "Profile":
+        """With the cuts that the series of a stored table ask for; counts them if the width is left open."""
         if self.chunk_seconds != AUTO:
             return self
-        found = needed_slice(stored, keys or self.keys, self.columns.time, self.max_series_rows)
-        return self.with_(chunk_seconds=found)
+        keys = keys or self.keys
+        order = (self.columns.time, *[n for n in self.tie if n in stored.columns and n not in keys])
+        return self.with_(cuts=find_cuts(stored, keys, order, self.max_series_rows, keep))
 
     def ties_of(self, rows: DataFrame, *known: str) -> list[str]:
         """The tie columns that a frame has, less keys, time and those that are known."""

@@ -33,6 +33,11 @@ def hourly(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.date_trunc("hour", "ts"))
 
 
+def crowded(events: DataFrame) -> DataFrame:
+    """The hourly log with a third of all users as one, so that one key is hot and instants are shared."""
+    return hourly(events).withColumn("user_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+
+
 def call_events(events: DataFrame) -> DataFrame:
     """Sign-ups set calls up, purchases end them, errors drop them (half of them as traffic failures)."""
     return _base(events).selectExpr(*_KEYS, """

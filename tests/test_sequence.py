@@ -7,7 +7,9 @@ from frames import at
 from pyspark.sql import functions as F
 
 from callcause.operators.sequence import (Following, LastKnown, NextKnown, Previous, RunningSum,
-                                          Series, needed_slice, scan)
+                                          Series, scan)
+from callcause.operators.cuts import find_cuts, position
+from callcause.session import settle
 
 NAMES = ["previous", "next1", "next2", "next3", "total", "last", "ahead"]
 
@@ -95,18 +97,42 @@ def test_a_scan_runs_no_job(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_slices_split_a_burst(spark):
-    burst = spark.range(1000).selectExpr("1 as k", "timestamp_seconds(3600 + id % 60) as t")
-    quiet = spark.range(5).selectExpr("1 as k", "timestamp_seconds(id * 100000) as t")
-    assert needed_slice(burst.union(quiet), ("k",), "t", 40) <= 2
-    assert needed_slice(spark.range(99).selectExpr("1 as k", "timestamp_seconds(5) as t"), ("k",), "t", 10) == 1
+@pytest.mark.parametrize("seed,longest,tie", [(1, 10, ("n",)), (2, 3, ("n",)), (3, 25, ()), (5, 1, ("n",))])
+def test_a_scan_with_cuts_equals_the_definition(spark, seed, longest, tie):
+    rows = make(seed)
+    frame = settle(spark.createDataFrame([(k, at(t), n, v) for k, t, n, v in rows],
+                                         "k string, t timestamp, n int, v long").repartition(5))
+    cuts = find_cuts(frame, ("k",), ("t", *tie), longest, settle)
+    found = scan(frame, Series(("k",), "t", ("n",), None, cuts), steps())
+    assert set(found.columns) == {"k", "t", "n", "v", *NAMES}
+    got = sorted(((r.k, (r.t - at(0)).total_seconds(), r.n, *[r[s] for s in NAMES])
+                  for r in found.collect()), key=lambda r: r[:3])
+    assert got == expected(rows)
 
 
-def test_slices_are_made_only_for_long_series(spark):
-    frame = spark.range(1000).selectExpr("id % 2 as k", "timestamp_seconds(id * 36) as t")
-    assert needed_slice(frame, ("k",), "t", 500) is None
-    # An hour holds fifty rows of each series.
-    assert needed_slice(frame, ("k",), "t", 25) == 1800
+def test_peers_share_across_cuts(spark):
+    frame = settle(spark.createDataFrame([(at(1), n, n if n % 3 else None) for n in range(20)] + [(at(2), 30, None)],
+                                         "t timestamp, n int, v long").withColumn("k", F.lit(1)))
+    cuts = find_cuts(frame, ("k",), ("t", "n"), 4, settle)
+    found = scan(frame, Series(("k",), "t", ("n",), None, cuts), {"last": LastKnown(F.col("v"), peers=True)}).collect()
+    assert {r["last"] for r in found} == {19} and len(found) == 21
+
+
+def test_only_long_series_are_cut_and_no_slice_is_long(spark):
+    """A burst within one second, even one instant, is split; quiet keys stay whole."""
+    burst = spark.range(1000).selectExpr("1 as k", "timestamp_seconds(3600) as t", "id as n")
+    quick = spark.range(500).selectExpr("2 as k", "timestamp_micros(id) as t", "0L as n")
+    quiet = spark.range(90).selectExpr("cast(null as int) as k", "timestamp_seconds(id * 100000) as t", "id as n")
+    frame = settle(burst.union(quick).union(quiet))
+    assert find_cuts(frame, ("k",), ("t", "n"), 1000, settle) is None
+    cuts = find_cuts(frame, ("k",), ("t", "n"), 100, settle)
+    placed = cuts.place(frame).withColumn("slice", position(F.col("_borders"), F.struct(F.col("t").alias("o0"), F.col("n").alias("o1"))))
+    counts = {(r.k, r.slice): r["count"] for r in placed.groupBy("k", "slice").count().collect()}
+    assert {key[0] for key in counts} == {1, 2, None} and counts[None, None] == 90
+    assert max(counts.values()) <= 100 and len(counts) >= 16
+    # By time alone the thousand rows of one instant are one slice, and known to need several parts.
+    splits = {r.k: max(r._splits) for r in find_cuts(frame, ("k",), ("t",), 100, settle).frame.collect()}
+    assert splits[1] >= 10 and splits[2] == 1
 
 
 def test_a_sliced_scan_shuffles_by_key_and_slice(spark):

@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 from frames import DROP, END, SETUP, events, samples, seconds
 
 from callcause.operators import windows as W
 from callcause.profile import Profile
+from callcause.session import settle
 
 P = Profile(slice_seconds=7)
 
@@ -16,7 +18,7 @@ def spans(frame):
 def test_window_starts_at_the_marker_before(spark, chunk, longest):
     log = events(spark, [(0, SETUP), (2, "ping"), (10, DROP), (20, "Voice Drop"), (30, END), (31, "Setup Start"),
                          (45, DROP), (50, None)])
-    found = W.failure_windows(log, P.with_(chunk_seconds=chunk, max_series_rows=longest).sized(log))
+    found = W.failure_windows(log, P.with_(chunk_seconds=chunk, max_series_rows=longest).sized(log, settle))
     assert ("_slice" in found._jdf.queryExecution().toString()) is (chunk == 3 or longest == 2)
     assert spans(found) == [(1, 1, 0, 10), (1, 2, 10, 20), (1, 3, 30, 45)]
 
@@ -65,6 +67,33 @@ def test_linear_form_agrees(log, probes, chunk):
     assert found.select(columns).exceptAll(joined.select(columns)).count() == 0
 
 
+def test_linear_form_where_markers_share_instants(spark):
+    """Several failures on one instant, a failure without a start, rows before, on and after every marker."""
+    log = events(spark, [(0, DROP), (5, SETUP), (5, DROP), (5, DROP), (9, "x"), (10, DROP), (10, END), (10, DROP), (20, DROP),
+                         (None, DROP), (30, END), (30, DROP), (40, "x")])
+    probes = samples(spark, [(t, n, 1, -100.0, 5.0) for n, t in enumerate([-1, 0, 1, 5, 5, 7, 10, 15, 20, 25, 30, 35, None])])
+    joined = W.window_rows(W.failure_windows(log, P), probes, P)
+    found = W.window_rows_linear(log, probes, P)
+    assert joined.count() >= 10
+    assert found.select(joined.columns).exceptAll(joined).count() == 0 and joined.exceptAll(found.select(joined.columns)).count() == 0
+
+
+def test_a_dense_slice_is_spread_over_parts_and_shares(spark):
+    """Two hundred thousand rows in one slice of one key, half of them on one instant."""
+    rows = settle(spark.range(200_000).selectExpr(
+        "1 as WorkOrderId", "1 as Device", "id as n", "timestamp_micros(1704067200000000 + case when id % 2 = 0 then 3000000 else id * 30 end) as Time"))
+    log = events(spark, [(t / 10, SETUP if t % 5 == 0 else DROP) for t in range(70)])
+    windows = settle(W.failure_windows(log, P))
+    profile = P.with_(max_slice_rows=5_000)
+    found = W.window_rows(windows, rows, profile, keep=settle)
+    plain = W.window_rows(windows, rows, P)
+    key = ["Failed_Event_Number", "n"]
+    assert found.count() == plain.count() > 150_000 and found.select(key).exceptAll(plain.select(key)).count() == 0
+    dense = W.find_cuts(rows.withColumn("_slice", F.lit(0)), ["Device", "WorkOrderId", "_slice"], ("Time",), 5_000, settle)
+    dealt = W._dealt(rows.withColumn("_slice", F.lit(0)), dense).groupBy("_part", "_share").count().collect()
+    assert len(dealt) >= 40 and max(r["count"] for r in dealt) <= 6_500
+
+
 @pytest.mark.parametrize("width", [1, 13, 10_000])
 def test_slice_width_does_not_matter(log, probes, width):
     profile = P.with_(slice_seconds=width)
@@ -83,8 +112,7 @@ def test_device_alone_lets_other_work_orders_in(log, probes):
     windows = W.failure_windows(log, P)
     wide = P.with_(join_keys=("Device",))
     assert rows_of(W.window_rows(windows, probes, wide)) == sorted([*INNER, (1, 5)])
-    with pytest.raises(ValueError):
-        W.window_rows_linear(log, probes, wide)
+    assert rows_of(W.window_rows_linear(log, probes, wide)) == sorted([*INNER, (1, 5)])
 
 
 def test_event_messages_are_the_events_of_the_window(log):
