@@ -6,6 +6,8 @@ Spark side decodes, and they use plain whole-key windows and theta joins.
 
 from __future__ import annotations
 
+import re
+
 from callcause import schemas as S
 
 # Fixed values that the profile of the queries uses.
@@ -324,6 +326,36 @@ def _crowded(sql: str) -> str:
     return _hourly(sql).replace("user_id as wo, user_id // 2 as dev", f"{user} as wo, {user} // 2 as dev", 1)
 
 
+def _digits(sql: str, digits: int) -> str:
+    """The same with averages and minima rounded to other digits."""
+    return re.sub(rf"(round\((?:avg|min)\(\w+\), ){DIGITS}\)", rf"\g<1>{digits})", sql)
+
+
+def _shifted(sql: str) -> str:
+    """The same over values off the hundredths."""
+    return sql.replace("event_type, value,", "event_type, value + 0.0012345::double as value,", 1)
+
+
+def _by_device(sql: str) -> str:
+    """The same with rows of all work orders of a device in its windows."""
+    for strict, wide in [("g.wo = w.wo and g.t", "g.dev = w.dev and g.t"), ("ms as (select wo, ts", "ms as (select dev, ts"),
+                         ("ms.wo = w.wo", "ms.dev = w.dev"), ("ms.wo = f.wo", "ms.dev = f.dev"), ("pr.wo = w.wo", "pr.dev = w.dev")]:
+        sql = sql.replace(strict, wide)
+    return sql
+
+
+def _broken(sql: str) -> str:
+    """The same with every fifth message unreadable: its text still names its kind, its fields are unknown."""
+    for whole, lost in [("case when kind = 'sync' then k % 10 end", "case when kind = 'sync' and k % 5 <> 0 then k % 10 end"),
+                        ("case when kind = 'sync' then 5000", "case when kind = 'sync' and k % 5 <> 0 then 5000"),
+                        ("'config' and k % 2 = 1 then", "'config' and k % 2 = 1 and k % 5 <> 0 then"),
+                        ("case when kind = 'report' then k % 4 + 1", "case when kind = 'report' and k % 5 <> 0 then k % 4 + 1"),
+                        ("where kind <> 'report' or k % 4 <> 0", "where kind <> 'report' or (k % 4 <> 0 and k % 5 <> 0)"),
+                        ("case when kind = 'config' then case", "case when kind = 'config' and k % 5 <> 0 then case")]:
+        sql = sql.replace(whole, lost)
+    return sql
+
+
 def _stored(sql: str, pattern: str, *times: str) -> str:
     """The rows as they are stored: whole numbers narrow, times as text."""
     texts = [f"strftime(\"{name}\", '{pattern}') as \"{name}\"" for name in times]
@@ -349,6 +381,13 @@ def oracle_sql() -> dict[str, str]:
         from fil where not exists (select 1 from suc where suc.wo = fil.wo and suc.dev = fil.dev
             and suc.s_pci = fil.pci and suc.s_freq = fil.freq and suc.t_pci = fil.t_pci
             and suc.t_freq is not distinct from fil.t_freq)""")
+    failure = _finding(
+        handover, "lf", "first_report", "Handover failure",
+        'pcis as "NR5G_PCC_PCI_Last", rsrp_l as "NR5G_PCC_RSRP_Last", sinr_l as "NR5G_PCC_SINR_Last",',
+        f"not other and cells <= 1 and {_POOR_LAST} "
+        "and not exists (select 1 from ok where ok.wo = lf.wo and ok.n = lf.n)")
+    neighbour = _finding(handover, "lf", "first_report", "Missing neighbor relation",
+                                  where=f"not other and cells <= 1 and {_POOR_EXACT}")
     devices_of_two = "dev % 3 in (0, 1)"
     text_time = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f') as \"{n}\""
     return {
@@ -391,13 +430,10 @@ def oracle_sql() -> dict[str, str]:
             e as "Event_Analysis_End_Time" from sf where last_report is not null""",
         "subwindow_radio": f"{handover} select {key}, {last} from lf where cells <= 1 or {_POOR_LAST}",
         "subwindow_radio_v1": f"{handover} select {key}, {last} from lf",
-        "handover_failure": _finding(
-            handover, "lf", "first_report", "Handover failure",
-            'pcis as "NR5G_PCC_PCI_Last", rsrp_l as "NR5G_PCC_RSRP_Last", sinr_l as "NR5G_PCC_SINR_Last",',
-            f"not other and cells <= 1 and {_POOR_LAST} "
-            "and not exists (select 1 from ok where ok.wo = lf.wo and ok.n = lf.n)"),
-        "missing_neighbour": _finding(handover, "lf", "first_report", "Missing neighbor relation",
-                                      where=f"not other and cells <= 1 and {_POOR_EXACT}"),
+        "handover_failure": failure,
+        "handover_failure_tens": _digits(failure, -1),
+        "missing_neighbour": neighbour,
+        "missing_neighbour_tens": _digits(neighbour, -1),
         "rach_failure": _finding(_plus(_base(), _RACH), "ra", "ask_t", "RACH failure",
                                  where="asked and neither and not answered"),
         "pingpong_handover": _finding(
@@ -413,6 +449,10 @@ def oracle_sql() -> dict[str, str]:
             from w join ev on ev.wo = w.wo and ev.ts = w.e""",
         "diagnosis_v2": _diagnosis_v2(),
         "diagnosis_v2_sliced": _diagnosis_v2(),
+        "diagnosis_v2_two_digits": _digits(_shifted(_diagnosis_v2()), 2),
+        "diagnosis_v2_tens": _digits(_diagnosis_v2(), -1),
+        "diagnosis_v2_by_device": _by_device(_diagnosis_v2()),
+        "diagnosis_v2_broken": _broken(_diagnosis_v2()),
         "diagnosis_v2_cut": _diagnosis_v2(),
         "diagnosis_v1": _diagnosis_v1(),
         "diagnosis_v2_traffic_fail": _diagnosis_v2("Traffic Fail"),
@@ -469,6 +509,7 @@ def oracle_sql() -> dict[str, str]:
             from f left join l on l.l_orderkey = f.l_orderkey and l.r = f.r""",
         "suspected_missing_relations": suspected,
         "suspected_missing_relations_sliced": suspected,
+        "suspected_missing_relations_broken": _broken(suspected),
         "suspected_missing_relations_cut": suspected,
         "suspected_missing_relations_tied": _hourly(suspected),
         "table_scan": "select o_orderkey, o_custkey, o_orderpriority from orders",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,6 +28,8 @@ FAIL = PROFILE.with_(marker="Traffic Fail")
 FAIL_V1 = FAIL.with_(version="v1")
 # Long series get cuts of their own, and dense time slices are split, both at sizes that these tables reach.
 CUT = PROFILE.with_(max_series_rows=40, max_slice_rows=20)
+# Rounding as results are stored, and so coarse that a rounded average often lies across a floor.
+TWO_DIGITS, TENS = PROFILE.with_(digits=2), PROFILE.with_(digits=-1)
 BY_DEVICE = PROFILE.with_(join_keys=("Device",))
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,25 +271,44 @@ def subwindow_radio_v1(spark, folder):
     return radio.subwindow_radio(found, _measurements(spark, folder), PROFILE_V1)
 
 
-def _stretch(spark, folder, found, tagged):
-    facts = settle(signalling.signalling_facts(tagged, PROFILE))
-    return handover.last_stretch_facts(found, facts, _measurements(spark, folder), PROFILE)
+def _stretch(spark, folder, found, tagged, profile):
+    facts = settle(signalling.signalling_facts(tagged, profile))
+    return handover.last_stretch_facts(found, facts, _measurements(spark, folder), profile)
+
+
+def _handover_failure(spark, folder, profile):
+    found = _kept_windows(spark, folder, profile)
+    tagged = settle(signalling.tagged_signalling(found, _signalling(spark, folder), profile))
+    success = handover.handover_success(tagged, profile)
+    return handover.handover_failure(_stretch(spark, folder, found, tagged, profile), success, profile)
+
+
+def _missing_neighbour(spark, folder, profile):
+    found = _kept_windows(spark, folder, profile)
+    tagged = signalling.tagged_signalling(found, _signalling(spark, folder), profile)
+    return handover.missing_neighbour(_stretch(spark, folder, found, tagged, profile), profile)
 
 
 @query
 def handover_failure(spark, folder):
-    found = _kept_windows(spark, folder)
-    tagged = settle(signalling.tagged_signalling(found, _signalling(spark, folder), PROFILE))
-    success = handover.handover_success(tagged, PROFILE)
-    return handover.handover_failure(_stretch(spark, folder, found, tagged), success, PROFILE)
+    return _handover_failure(spark, folder, PROFILE)
+
+
+@query
+def handover_failure_tens(spark, folder):
+    """Averages rounded to tens: some that lie below a floor no longer do."""
+    return _handover_failure(spark, folder, TENS)
 
 
 @query
 def missing_neighbour(spark, folder):
-    found = _kept_windows(spark, folder)
-    tagged = signalling.tagged_signalling(found, _signalling(spark, folder), PROFILE)
-    stretch = _stretch(spark, folder, found, tagged)
-    return handover.missing_neighbour(stretch, PROFILE)
+    return _missing_neighbour(spark, folder, PROFILE)
+
+
+@query
+def missing_neighbour_tens(spark, folder):
+    """Compares averages as they are, whatever the rounding, so it finds windows that a handover failure misses."""
+    return _missing_neighbour(spark, folder, TENS)
 
 
 @query
@@ -335,6 +357,29 @@ def diagnosis_v2_sliced(spark, folder):
     return diagnosis.diagnose(_tables(spark, folder), SLICED)
 
 
+@query
+def diagnosis_v2_two_digits(spark, folder):
+    return diagnosis.diagnose(event_log.probe_tables(event_log.shifted(_events(spark, folder))), TWO_DIGITS)
+
+
+@query
+def diagnosis_v2_tens(spark, folder):
+    return diagnosis.diagnose(_tables(spark, folder), TENS)
+
+
+@query
+def diagnosis_v2_by_device(spark, folder):
+    """With rows of the other work orders of a device in its windows."""
+    return diagnosis.diagnose(_tables(spark, folder), BY_DEVICE)
+
+
+@query
+def diagnosis_v2_broken(spark, folder):
+    """With every fifth message broken off."""
+    whole = _tables(spark, folder)
+    return diagnosis.diagnose(replace(whole, signalling=event_log.broken_signalling(_events(spark, folder))), PROFILE)
+
+
 @query
 def diagnosis_v2_cut(spark, folder):
     return diagnosis.diagnose(_tables(spark, folder), CUT)
@@ -524,6 +569,11 @@ def suspected_missing_relations_sliced(spark, folder):
     return relations.suspected_missing_relations(_signalling(spark, folder), SLICED)
 
 
+@query
+def suspected_missing_relations_broken(spark, folder):
+    return relations.suspected_missing_relations(event_log.broken_signalling(_events(spark, folder)), PROFILE)
+
+
 @query
 def suspected_missing_relations_cut(spark, folder):
     return relations.suspected_missing_relations(_signalling(spark, folder), CUT)

@@ -33,6 +33,11 @@ def hourly(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.date_trunc("hour", "ts"))
 
 
+def shifted(events: DataFrame) -> DataFrame:
+    """The log with values off the hundredths, so that no average lies half way between two of them."""
+    return events.withColumn("value", F.col("value") + F.lit(0.0012345))
+
+
 def crowded(events: DataFrame) -> DataFrame:
     """The hourly log with a third of all users as one, so that one key is hot and instants are shared."""
     return hourly(events).withColumn("user_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
@@ -188,6 +193,13 @@ def signalling(events: DataFrame) -> DataFrame:
                         "RRC_NR5G_event", "RRC_NR5G_message"))
 
 
+def broken_signalling(events: DataFrame) -> DataFrame:
+    """The same with the end of every fifth message lost, so that it cannot be parsed."""
+    text = F.col("RRC_NR5G_message")
+    return signalling(events).withColumn(
+        "RRC_NR5G_message", F.when(F.col("Epoch") % 5 == 0, F.substring(text, F.lit(1), F.length(text) - 3)).otherwise(text))
+
+
 def probe_tables(events: DataFrame) -> ProbeTables:
     return ProbeTables(call_events(events), measurements(events), signalling(events),
                        rach(events), physical(events))
