@@ -453,6 +453,8 @@ def oracle_sql() -> dict[str, str]:
         "diagnosis_v2_tens": _digits(_diagnosis_v2(), -1),
         "diagnosis_v2_by_device": _by_device(_diagnosis_v2()),
         "diagnosis_v2_broken": _broken(_diagnosis_v2()),
+        "diagnosis_v2_decoded": _diagnosis_v2(),
+        "diagnosis_v2_stored_devices": _diagnosis_v2(where=devices_of_two),
         "diagnosis_v2_cut": _diagnosis_v2(),
         "diagnosis_v1": _diagnosis_v1(),
         "diagnosis_v2_traffic_fail": _diagnosis_v2("Traffic Fail"),
@@ -510,6 +512,7 @@ def oracle_sql() -> dict[str, str]:
         "suspected_missing_relations": suspected,
         "suspected_missing_relations_sliced": suspected,
         "suspected_missing_relations_broken": _broken(suspected),
+        "suspected_missing_relations_decoded": suspected,
         "suspected_missing_relations_cut": suspected,
         "suspected_missing_relations_tied": _hourly(suspected),
         "table_scan": "select o_orderkey, o_custkey, o_orderpriority from orders",
@@ -533,6 +536,7 @@ def oracle_sql() -> dict[str, str]:
         "output_table_v1": _stored(_diagnosis_v1(), "%Y-%m-%d", *_SPAN_TIMES),
         "output_table_relations": _stored(suspected, _MICROSECONDS, "Time"),
         "sink_roundtrip": window,
+        "sink_renewed_days": f"""select *, strftime("Event_Analysis_End_Time", '%Y-%m-%d') as "Failure_Day" from ({_diagnosis_v2()})""",
         "sink_roundtrip_csv": f"""{_base()} select {_KEY}, typ as "Failed_Event_Type",
             {text_time.format(c="s", n="Event_Analysis_Start_Time")},
             {text_time.format(c="e", n="Event_Analysis_End_Time")} from w""",

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from callcause import schemas as S
 from callcause.functions.values import look_up
 from callcause.operators import access, handover, radio, relations, signalling, windows
-from callcause.plans import diagnosis
+from callcause.plans import diagnosis, updates
 from callcause.plans.diagnosis import ProbeTables
 from callcause.plans.services import diagnose_services
 from callcause.profile import Profile
 from callcause.session import new_path, settle
-from callcause.sources import event_log, sinks, tables
+from callcause.sources import event_log, sinks, store, tables
 
 # The event log spans weeks and its events are hours apart, so gaps and slices are wide here.
 # Six digits keep rounding equal in other engines.
@@ -380,6 +380,31 @@ def diagnosis_v2_broken(spark, folder):
     return diagnosis.diagnose(replace(whole, signalling=event_log.broken_signalling(_events(spark, folder))), PROFILE)
 
 
+def _decoded(spark, folder):
+    """One store of decoded messages, sorted by series and time, for both jobs."""
+    rows = signalling.decode(_signalling(spark, folder), PROFILE)
+    return settle(rows.repartition(*PROFILE.keys).sortWithinPartitions(*PROFILE.keys, "Time"))
+
+
+@query
+def diagnosis_v2_decoded(spark, folder):
+    return diagnosis.diagnose(replace(_tables(spark, folder), signalling=_decoded(spark, folder)), PROFILE)
+
+
+@query
+def suspected_missing_relations_decoded(spark, folder):
+    return relations.suspected_missing_relations(_decoded(spark, folder), PROFILE)
+
+
+@query
+def diagnosis_v2_stored_devices(spark, folder):
+    """The devices of two services from a store by device group, which reads their groups alone."""
+    place = new_path(spark, "store")
+    store.write_store(_tables(spark, folder), place, PROFILE, groups=16)
+    devices = event_log.device_services(_events(spark, folder)).filter(F.col("ServiceName").isin("IPERF3_DL", "IPERF3_UL"))
+    return diagnosis.diagnose(store.stored_devices(store.open_store(spark, place), devices, PROFILE, groups=16), PROFILE)
+
+
 @query
 def diagnosis_v2_cut(spark, folder):
     return diagnosis.diagnose(_tables(spark, folder), CUT)
@@ -647,6 +672,18 @@ def sink_roundtrip(spark, folder):
     return spark.read.parquet(place)
 
 
+@query
+def sink_renewed_days(spark, folder):
+    """The first half of the log diagnosed and stored by day, then the rest added: all days as in one run."""
+    place, log = new_path(spark, "sink"), _events(spark, folder)
+    half = log.agg(F.expr("percentile(event_id, 0.5)")).first()[0]
+    early = event_log.probe_tables(log.filter(F.col("event_id") <= half))
+    late = event_log.probe_tables(log.filter(F.col("event_id") > half))
+    updates.write_days(diagnosis.diagnose(early, PROFILE), place)
+    updates.renew_days(event_log.probe_tables(log), late, place, PROFILE)
+    return updates.read_days(spark, place).withColumn(updates.DAY, F.col(updates.DAY).cast("string"))
+
+
 @query
 def sink_roundtrip_csv(spark, folder):
     place = new_path(spark, "sink")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from callcause import schemas as S
 from callcause.functions.messages import decode_downlink, decode_uplink
 from callcause.functions.values import look_up, second_word
+from callcause.operators.signalling import CHECK, OFFSET, is_decoded
 from callcause.operators.sequence import (Following, LastKnown, NextKnown, RunningSum, Step,
                                           scan)
 from callcause.profile import Profile
@@ -47,8 +48,11 @@ def decode_messages(tokens: DataFrame, profile: Profile) -> DataFrame:
     """Decode both kinds of messages, each row once, and drop the message text.
 
     Reports get measurement id and neighbour cells; reconfigurations get target
-    cell, target frequency and measurement lists.
+    cell, target frequency and measurement lists. Tables that ``signalling.decode``
+    has decoded stay as they are.
     """
+    if is_decoded(tokens):
+        return tokens.drop(CHECK, OFFSET)
     return decode_reconfig(_decode_reports(tokens, profile), profile).drop(profile.columns.rrc_message)
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from callcause import schemas as S
-from callcause.functions.messages import decode_downlink
+from callcause.functions.messages import decode_downlink, decode_uplink
 from callcause.functions.values import (empty_to_null, ever, first_time, is_true, last_time,
-                                        set_text)
+                                        second_word, set_text)
 from callcause.operators.radio import LAST_REPORT, TAG, TAG_TIME
 from callcause.operators.windows import END, START, window_rows
 from callcause.profile import Profile
@@ -42,8 +42,42 @@ def event_a3_config(signalling: DataFrame, profile: Profile) -> DataFrame:
             .withColumn(CLASS, text).drop("a3_offsets", c.rrc_message))
 
 
+# What a row's message holds, for both jobs; a table that has these is decoded already.
+DECODED = ("report_meas_id", "neighbour_pcis", "target_pci", "target_frequency", "meas_ids", "meas_object_ids",
+           "object_ids", "object_frequencies", OFFSET)
+
+
+def is_decoded(signalling: DataFrame) -> bool:
+    return {CHECK, *DECODED} <= set(signalling.columns)
+
+
+def decode(signalling: DataFrame, profile: Profile) -> DataFrame:
+    """All columns but the message text, with its fields (DECODED) and the kind of the row.
+
+    A stored table of this kind serves the diagnosis and the relations, and no
+    message is parsed again.
+    """
+    c = profile.columns
+    event, token = F.col(c.rrc_event), second_word(F.col(c.rrc_event))
+    rows = decode_uplink(message_class(signalling, profile), c.rrc_message, (event == S.REPORT) | (token == S.REPORT_TOKEN))
+    rows = decode_downlink(rows, c.rrc_message, (event == S.RECONFIGURATION) | (token == S.RECONFIGURATION_TOKEN),
+                           [*DECODED[2:-1], "a3_offsets"])
+    return rows.withColumn(OFFSET, F.get(F.col("a3_offsets"), F.lit(1))).drop("a3_offsets", c.rrc_message)
+
+
+def _from_decoded(decoded: DataFrame, profile: Profile) -> DataFrame:
+    c = profile.columns
+    event = F.col(c.rrc_event)
+    target, offset = (F.when(event == S.RECONFIGURATION, F.col(name)) for name in ("target_pci", OFFSET))
+    text = F.when(event.isin(S.REPORT, S.RECONFIGURATION), F.concat_ws("_", CHECK, offset))
+    return decoded.select(*profile.keys, c.time, *profile.ties_of(decoded), c.rrc_event, c.rrc_cell, CHECK,
+                          target.alias(TARGET), offset.alias(OFFSET), text.alias(CLASS))
+
+
 def narrow(signalling: DataFrame, profile: Profile) -> DataFrame:
     """The columns the detectors need, messages already decoded."""
+    if is_decoded(signalling):
+        return _from_decoded(signalling, profile)
     c = profile.columns
     slim = signalling.select(*profile.keys, c.time, *profile.ties_of(signalling), c.rrc_event, c.rrc_cell, c.rrc_message)
     return event_a3_config(slim, profile)

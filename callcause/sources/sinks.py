@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Text patterns of the two versions.
 MICROSECOND_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -54,6 +54,23 @@ def write_table(df: DataFrame, location: str, target: str = "parquet", mode: str
         writer.format(target).save(location)
 
 
+def write_schema(df: DataFrame, location: str) -> None:
+    """Keep the schema beside files that lie by a column: without rows there are none to tell it."""
+    df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{location}/_schema")
+
+
+def read_partitioned(spark: SparkSession, location: str) -> DataFrame:
+    """A table that lies by a column, with or without rows."""
+    return spark.read.schema(spark.read.parquet(f"{location}/_schema").schema).parquet(location)
+
+
+def drop_partition(spark: SparkSession, location: str, column: str, value) -> None:
+    """Remove one folder of files that lie by a column."""
+    name = "__HIVE_DEFAULT_PARTITION__" if value is None else str(value)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{location.rstrip('/')}/{column}={name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", **properties: str) -> None:
     df.write.jdbc(url, table, mode=mode, properties=properties)
 
