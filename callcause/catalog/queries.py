@@ -380,7 +380,7 @@ def diagnosis_v2_broken(spark, folder):
     return diagnosis.diagnose(replace(whole, signalling=event_log.broken_signalling(_events(spark, folder))), PROFILE)
 
 
-def _decoded(spark, folder):
+def _decoded_store(spark, folder):
     """One store of decoded messages, sorted by series and time, for both jobs."""
     rows = signalling.decode(_signalling(spark, folder), PROFILE)
     return settle(rows.repartition(*PROFILE.keys).sortWithinPartitions(*PROFILE.keys, "Time"))
@@ -388,12 +388,12 @@ def _decoded(spark, folder):
 
 @query
 def diagnosis_v2_decoded(spark, folder):
-    return diagnosis.diagnose(replace(_tables(spark, folder), signalling=_decoded(spark, folder)), PROFILE)
+    return diagnosis.diagnose(replace(_tables(spark, folder), signalling=_decoded_store(spark, folder)), PROFILE)
 
 
 @query
 def suspected_missing_relations_decoded(spark, folder):
-    return relations.suspected_missing_relations(_decoded(spark, folder), PROFILE)
+    return relations.suspected_missing_relations(_decoded_store(spark, folder), PROFILE)
 
 
 @query
