@@ -28,6 +28,8 @@ ROLLING, MEAN, LEAST = 16, 512, 96
 BACK, AHEAD = 2, (4, 24)
 # Pre-tokens of chunks that are remembered at most, in one task.
 REMEMBERED = 1_000_000
+# Bytes of text that go through the array steps at once; a longer text is a step of its own.
+STEP = 250_000
 RESULTS = ("ids",)
 
 
@@ -211,7 +213,7 @@ class Chunks:
 def _sketch(batch: pa.RecordBatch, text: str) -> dict[str, pa.Array]:
     """The least hash of a text's chunks: texts that share most chunks mostly share it."""
     found = []
-    for data, offsets, _, _ in doc_batches(batch.column(text), 1_000_000):
+    for data, offsets, _, _ in doc_batches(batch.column(text), STEP):
         least = np.zeros(len(offsets) - 1, np.uint64)
         starts = chunk_starts(data, offsets)
         if len(starts):
@@ -243,7 +245,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", together: bool = True
         chunks = Chunks(vocabulary(path))
         for batch in batches:
             if batch.num_rows:
-                parts = [chunks.encode(data, offsets) for data, offsets, _, _ in doc_batches(batch.column(text), 1_000_000)]
+                parts = [chunks.encode(data, offsets) for data, offsets, _, _ in doc_batches(batch.column(text), STEP)]
                 ids = lists(np.concatenate([p[0] for p in parts]).view(np.int32), np.concatenate([p[1] for p in parts]), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [ids], keep + ["ids"])
 

@@ -198,10 +198,16 @@ def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def same_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
-               other: np.ndarray, other_starts: np.ndarray) -> np.ndarray:
+               other: np.ndarray, other_starts: np.ndarray, step: int = 1 << 17) -> np.ndarray:
     """Whether each range of ``data`` equals the range of ``other`` of the same size, byte by byte."""
-    differ = data[expand(starts, sizes)] != other[expand(other_starts, sizes)]
     same = np.ones(len(starts), bool)
-    if differ.any():
-        same[np.searchsorted(np.cumsum(sizes), np.flatnonzero(differ), "right")] = False
+    ends = np.cumsum(sizes)
+    low = 0
+    while low < len(starts):  # about ``step`` bytes at a time
+        before = ends[low - 1] if low else 0
+        high = max(int(np.searchsorted(ends, before + step, "right")), low + 1)
+        part = slice(low, high)
+        differ = np.flatnonzero(data[expand(starts[part], sizes[part])] != other[expand(other_starts[part], sizes[part])])
+        same[low + np.searchsorted(ends[part] - before, differ, "right")] = False
+        low = high
     return same
