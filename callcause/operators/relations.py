@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from callcause import schemas as S
 from callcause.functions.messages import decode_downlink, decode_uplink
 from callcause.functions.values import look_up, second_word
 from callcause.operators.signalling import CHECK, OFFSET, is_decoded
-from callcause.operators.sequence import (Following, LastKnown, NextKnown, RunningSum, Step,
+from callcause.operators.sequence import (Following, LastKnown, NextKnown, Previous, RunningSum, Step,
                                           scan)
 from callcause.profile import Profile
 from callcause.session import settle
@@ -218,7 +218,6 @@ def forward_fill(reports: DataFrame, profile: Profile) -> DataFrame:
 
 def reported_relations(failed: DataFrame, profile: Profile, keep: Keep = None) -> DataFrame:
     """Reported cells of the rows that led to no handover, with serving and target frequency."""
-    c = profile.columns
     rows = (scan(failed, profile.series(),
                  {**_sighting_steps(), **group_steps(profile), **carry_steps(profile)})
             .filter(_session_seen()).withColumn(CARRIED_ID, _carried_id()))
@@ -229,6 +228,12 @@ def reported_relations(failed: DataFrame, profile: Profile, keep: Keep = None) -
         config_lookup(rows, profile), profile)
     # Reports of the serving cell alone leave no row, so they take no part in the fill.
     reports = reports.filter(F.size(_other_cells(profile)) > 0)
+    return _named(reports, profile)
+
+
+def _named(reports: DataFrame, profile: Profile) -> DataFrame:
+    """One row per reported cell, frequencies carried on, with the names of a relation."""
+    c = profile.columns
     named = (forward_fill(reports, profile)
              .transform(lambda df: explode_neighbours(df, profile))
              .withColumnsRenamed({c.rrc_cell: "S_PCI", c.rrc_frequency: "S_Freq"}))
@@ -247,18 +252,51 @@ def without_proven(reported: DataFrame, proven: DataFrame, profile: Profile) ->
     return reported.join(known, condition, "left_anti")
 
 
+def streamed_relations(failed: DataFrame, profile: Profile) -> DataFrame:
+    """``reported_relations`` for series that fit a task: no join and nothing stored.
+
+    A group's frequency is the last known value in a frame over the group, and
+    the report that ends a group stands right after its last row. All frames lie
+    within the series, so the rows are exchanged once.
+    """
+    c = profile.columns
+    rows = (scan(failed, profile.series(),
+                 {**_sighting_steps(), **group_steps(profile), **carry_steps(profile)})
+            .filter(_session_seen()).withColumn(CARRIED_ID, _carried_id()))
+    order = [c.time, *profile.ties_of(rows, GROUP)]
+
+    def last_of_group(frame: DataFrame, value: str, name: str) -> DataFrame:
+        # Of rows that nothing else orders the greater value counts.
+        group = Window.partitionBy(*profile.keys, GROUP).orderBy(*order, value)
+        whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return frame.withColumn(name, F.last(value, ignorenulls=True).over(whole))
+
+    rows = rows.withColumn("_object", look_up(F.col(CARRIED_ID), F.col("meas_ids"), F.col("meas_object_ids")))
+    rows = last_of_group(rows, "_object", "_group_object").withColumn(
+        "_frequency", look_up(F.col("_group_object"), F.col("object_ids"), F.col("object_frequencies")))
+    rows = last_of_group(rows, "_frequency", "_group_frequency").drop(
+        "_object", "_group_object", "_frequency", "meas_ids", "meas_object_ids", "object_ids", "object_frequencies")
+    shifted = scan(rows, profile.series(), {"T_Freq": Previous(F.col("_group_frequency"))}).drop("_group_frequency")
+    reports = shifted.filter(_is(profile, S.REPORT_TOKEN) & (F.size(_other_cells(profile)) > 0))
+    return _named(reports, profile)
+
+
 def suspected_missing_relations(signalling: DataFrame, profile: Profile, keep: Keep = settle) -> DataFrame:
     """Neighbour cells that were reported but never handed over to.
 
-    ``keep`` stores what several branches read: the decoded rows, so that no
-    message is parsed twice, and the numbered rows; the series of the decoded
-    rows are counted once. None recomputes the rows and counts nothing.
+    ``keep`` stores the decoded rows, so that no message is parsed twice, and
+    their series are counted once. Series that fit a task go through frames
+    alone; longer ones are cut, and the rows that several branches read are
+    stored as well. None recomputes the rows and counts nothing.
     """
     store = keep or (lambda df: df)
     decoded = store(decode_messages(event_token(signalling, profile), profile))
     if keep is not None:
         profile = profile.sized(decoded, keep)
-    keep = store
-    ordered = keep(numbered_rows(with_neighbours(decoded, profile), profile))
-    reported = reported_relations(not_succeeded(ordered, profile), profile, keep)
+    ordered = numbered_rows(with_neighbours(decoded, profile), profile)
+    if profile.cuts is None and profile.fixed_slice is None:
+        reported = streamed_relations(not_succeeded(ordered, profile), profile)
+    else:
+        ordered = store(ordered)
+        reported = reported_relations(not_succeeded(ordered, profile), profile, store)
     return without_proven(reported, relation_success(ordered, profile), profile)
