@@ -20,28 +20,52 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from callcause.llm.common import Kept, doc_batches, lists, without
 from callcause.llm.pretokens import Vocabulary
 
+# Fixed value: how byte-level vocabularies of this make cut a text before they merge.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pairs whose counts are handed to every task: at most 24 MB.
 HOT_PAIRS = 1_000_000
 # Rows of partial counts that a task holds before it passes them on.
 PARTIAL = 500_000
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 # Bytes of text, and tokens, that go through the array steps at once; a longer text is a step of its own.
-_STEP, _TOKENS = 250_000, 100_000
+_STEP, _TOKENS = 500_000, 150_000
 _SHIFT = 32
 _LOW = np.int64((1 << _SHIFT) - 1)
 
 
-@functools.lru_cache(maxsize=2)
-def _byte_tokens(path: str) -> Vocabulary:
+class _ByteTokens:
     """The first tokenizer; special tokens inside texts are plain text."""
-    found = Vocabulary(path)
-    found.library.encode_special_tokens = True
-    return found
+
+    def __init__(self, path: str):
+        vocab = Vocabulary(path)
+        self.strings, self.merger, self.vocab = vocab.strings, None, vocab
+        if vocab.fast:
+            ends = np.cumsum(self.strings.sizes)
+            raw = self.strings.data.tobytes()
+            ranks = {raw[end - size:end]: k for k, (end, size) in enumerate(zip(ends.tolist(), self.strings.sizes.tolist()))
+                     if k not in vocab.special.values()}
+            self.merger = tiktoken.Encoding("byte tokens", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        else:
+            vocab.library.encode_special_tokens = True
+
+    def encode(self, texts: list[bytes]) -> pa.ListArray:
+        words = [t.decode("utf-8", "replace") for t in texts]
+        if self.merger is not None:
+            ids = [self.merger.encode_ordinary(t) for t in words]
+        else:
+            ids = [e.ids for e in self.vocab.library.encode_batch_fast(words, add_special_tokens=False)]
+        return pa.array(ids, pa.list_(pa.int32()))
+
+
+@functools.lru_cache(maxsize=2)
+def _byte_tokens(path: str) -> _ByteTokens:
+    return _ByteTokens(path)
 
 
 def piece_bytes(piece: str) -> bytes:
@@ -71,12 +95,11 @@ def _encode(data: np.ndarray, offsets: np.ndarray, a_path: str, b_path: str) ->
     plain = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
     texts = [b" " + t if t else b"" for t in plain]
     spaced = pa.array(texts, pa.binary())
-    joined = b"".join(texts)
-    ids, counts = vocab.encode(np.frombuffer(joined, np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
-    a = lists(ids.astype(np.int32), counts, pa.int32())
+    a = vocab.encode(texts)
     b = pa.array(model.encode([t.decode("utf-8", "replace") for t in plain], num_threads=1), pa.list_(pa.int32()))
-    starts = np.concatenate([[0], np.cumsum(vocab.strings.sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])]
-    back = vocab.strings.join(ids).tobytes()
+    a_ids, a_ends = pc.list_flatten(a).to_numpy(), a.offsets.to_numpy()
+    starts = np.concatenate([[0], np.cumsum(vocab.strings.sizes[a_ids])])[a_ends]
+    back = vocab.strings.join(a_ids).tobytes()
     a_text = pa.array([back[s:e] for s, e in zip(starts[:-1], starts[1:])], pa.binary())
     b_text = pc.binary_join(pa.ListArray.from_arrays(b.offsets, pc.take(pieces, pc.list_flatten(b))), b"")
     good = pc.and_(pc.equal(a_text, spaced), pc.equal(b_text, spaced))
