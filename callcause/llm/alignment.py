@@ -114,10 +114,10 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> Dat
 
     def run(batches):
         for batch in batches:
-            found = [_encode(data, offsets, a_path, b_path) for data, offsets, _, _ in doc_batches(batch.column("_t"), _STEP)]
-            if found:
-                a, b = (pa.concat_arrays(side) for side in zip(*found))
-                yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [a, b], [*names, "_a", "_b"])
+            for data, offsets, low, high in doc_batches(batch.column("_t"), _STEP):
+                a, b = _encode(data, offsets, a_path, b_path)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(n).slice(low, high - low) for n in names] + [a, b], [*names, "_a", "_b"])
 
     ids = T.ArrayType(T.IntegerType())
     fields = [f for f in read.schema.fields if f.name in names]
@@ -258,8 +258,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", hot_pai
 
     def run(batches):
         for batch in batches:
-            made = []
-            for _, a, b in _parts(batch):
+            for low, a, b in _parts(batch):
                 found = Aligned(a, b, *_sizes(a_path, b_path))
                 keys = found.keys().to_numpy()
                 at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
@@ -269,14 +268,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", hot_pai
                 groups, n_groups = found.groups()
                 doc = found.doc.to_numpy()
                 rare = lists(keys[~known], np.bincount(doc[~known], minlength=found.docs), pa.int64())
-                made.append([found.n_a, found.n_b, n_groups, found.per_doc(), found.per_doc(pa.array(is_best)),
-                             np.bincount(doc, counts, found.docs), groups, rare])
-            if made:
-                columns = list(zip(*made))
-                numbers = [pa.array(np.concatenate([np.asarray(x) for x in c]).astype(np.int64)) for c in columns[:6]]
+                numbers = [found.n_a, found.n_b, n_groups, found.per_doc(), found.per_doc(pa.array(is_best)),
+                           np.bincount(doc, counts, found.docs)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(n) for n in names] + numbers + [pa.concat_arrays(columns[6]), pa.concat_arrays(columns[7])],
-                    [*names, *RESULTS, "_rare"])
+                    [batch.column(n).slice(low, found.docs) for n in names]
+                    + [pa.array(np.asarray(x).astype(np.int64)) for x in numbers] + [groups, rare], [*names, *RESULTS, "_rare"])
 
     fields = [f for f in coded.schema.fields if f.name in names]
     fields += [T.StructField(n, T.StringType() if n == "groups" else T.LongType()) for n in RESULTS]
