@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callcause import schemas as S
 from callcause.operators.relations import suspected_missing_relations
+from callcause.plans import updates
 from callcause.plans.diagnosis import diagnose
 from callcause.plans.services import diagnose_services
 from callcause.profile import DATA_DROP, DATA_DROP_V1, TRAFFIC_FAIL, TRAFFIC_FAIL_V1, Profile
@@ -24,7 +25,8 @@ from callcause.sources import sinks, tables
 
 Keep = Callable[[DataFrame], DataFrame]
 
-PROFILES = {"drop": DATA_DROP, "fail": TRAFFIC_FAIL, "drop-v1": DATA_DROP_V1, "fail-v1": TRAFFIC_FAIL_V1}
+PROFILES = {name: profile.with_(max_slice_rows=1_000_000) for name, profile in {
+    "drop": DATA_DROP, "fail": TRAFFIC_FAIL, "drop-v1": DATA_DROP_V1, "fail-v1": TRAFFIC_FAIL_V1}.items()}
 
 
 def diagnosis_job(spark: SparkSession, folder: str, profile: Profile, source: str = "parquet",
@@ -63,6 +65,8 @@ def main(arguments: Sequence[str] | None = None) -> None:
     parser.add_argument("--format", default="parquet", help="format of the result")
     parser.add_argument("--services", default="", help="comma separated services; all devices without")
     parser.add_argument("--text-times", action="store_true", help="write times as text")
+    parser.add_argument("--by-day", action="store_true",
+                        help="lay a diagnosis by day of the failure; days that it does not hold stay as they are")
     parser.add_argument("--read-option", action="append", default=[], metavar="NAME=VALUE", help="option of the source")
     parser.add_argument("--write-option", action="append", default=[], metavar="NAME=VALUE", help="option of the result")
     parser.add_argument("--show", type=int, default=0, help="print this many rows as well")
@@ -80,11 +84,15 @@ def main(arguments: Sequence[str] | None = None) -> None:
             services = [name for name in chosen.services.split(",") if name]
             version = profile.version
             result = diagnosis_job(spark, chosen.tables, profile, chosen.source, services, read, keep)
+        layout = {}
+        if chosen.by_day and chosen.job != "relations":
+            result = updates.by_day(result)
+            layout, write = {"partition_by": [updates.DAY]}, {"partitionOverwriteMode": "dynamic", **write}
         if chosen.text_times:
             result = sinks.times_as_text(result, sinks.MICROSECOND_TEXT if version == "v2" else sinks.DATE_TEXT)
         if chosen.format == "csv":
             write = {"header": "true", **write}
-        sinks.write_table(result, chosen.out, chosen.format, **write)
+        sinks.write_table(result, chosen.out, chosen.format, **layout, **write)
     if chosen.show:
         sinks.preview(tables.read_table(spark, chosen.out, result.columns, chosen.format, **write), chosen.show)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from callcause import schemas as S
 from callcause.functions.values import first_time, set_text
-from callcause.operators.windows import END, START, window_rows
+from callcause.operators.windows import END, START, Keep, window_rows
 from callcause.profile import Profile
 
 TAG, TAG_TIME = "Tag_Name", "Tag_Time"
@@ -67,12 +67,12 @@ def _finish_last(facts: DataFrame, profile: Profile) -> DataFrame:
     })
 
 
-def radio_facts(windows: DataFrame, meas: DataFrame, profile: Profile) -> DataFrame:
+def radio_facts(windows: DataFrame, meas: DataFrame, profile: Profile, keep: Keep = None) -> DataFrame:
     """Radio summary of every window, windows without samples included.
 
     When the windows carry the time of their last neighbour report, the same pass
     over the samples also summarises the stretch from there to the failure. The
-    windows are read twice, so they should be stored.
+    windows are read twice, so they should be stored. ``keep`` as in ``window_rows``.
     """
     key = list(profile.event_key)
     with_last = LAST_REPORT in windows.columns
@@ -80,7 +80,7 @@ def radio_facts(windows: DataFrame, meas: DataFrame, profile: Profile) -> DataFr
     if with_last:
         measures += _last_stretch(profile, F.col(profile.columns.time) >= F.col(LAST_REPORT))
     borders = [*key, START, END, *([LAST_REPORT] if with_last else [])]
-    rows = window_rows(windows.select(*borders), _probe(meas, profile), profile)
+    rows = window_rows(windows.select(*borders), _probe(meas, profile), profile, keep=keep)
     facts = windows.join(rows.groupBy(*key).agg(*measures), key, "left").withColumns({
         CHANNELS: set_text(F.col(CHANNELS)), CELLS: set_text(F.col(CELLS))})
     return _finish_last(facts, profile) if with_last else facts
@@ -143,12 +143,12 @@ def poor_last(profile: Profile, exact: bool) -> Column:
     return poor_radio(F.col(names[0]), F.col(names[1]), profile)
 
 
-def bler_facts(windows: DataFrame, phydl: DataFrame, profile: Profile) -> DataFrame:
+def bler_facts(windows: DataFrame, phydl: DataFrame, profile: Profile, keep: Keep = None) -> DataFrame:
     """Average downlink block-error rate per window that has samples."""
     c = profile.columns
     samples = phydl.filter(F.col(c.bler).isNotNull()).select(*profile.keys, c.time, c.bler)
     slim = windows.select(*profile.event_key, START, END)
-    return window_rows(slim, samples, profile).groupBy(*profile.event_key).agg(
+    return window_rows(slim, samples, profile, keep=keep).groupBy(*profile.event_key).agg(
         F.round(F.avg(c.bler), profile.digits).alias(BLER_AVG),
         first_time(F.col(c.bler) > profile.bler_ceiling, c.time).alias("Bler_Time"))
 

@@ -9,7 +9,7 @@ from callcause.functions.messages import decode_downlink, decode_uplink
 from callcause.functions.values import (empty_to_null, ever, first_time, is_true, last_time,
                                         second_word, set_text)
 from callcause.operators.radio import LAST_REPORT, TAG, TAG_TIME
-from callcause.operators.windows import END, START, window_rows
+from callcause.operators.windows import END, START, Keep, window_rows
 from callcause.profile import Profile
 
 CHECK, CLASS, TARGET, OFFSET = "Check", "Message_Class", "Target_PCI", "A3_Offset"
@@ -83,10 +83,10 @@ def narrow(signalling: DataFrame, profile: Profile) -> DataFrame:
     return event_a3_config(slim, profile)
 
 
-def tagged_signalling(windows: DataFrame, signalling: DataFrame, profile: Profile) -> DataFrame:
-    """Decoded signalling rows next to the window they fall into."""
+def tagged_signalling(windows: DataFrame, signalling: DataFrame, profile: Profile, keep: Keep = None) -> DataFrame:
+    """Decoded signalling rows next to the window they fall into; ``keep`` as in ``window_rows``."""
     return window_rows(windows.select(*profile.event_key, START, END),
-                       narrow(signalling, profile), profile)
+                       narrow(signalling, profile), profile, keep=keep)
 
 
 def signalling_facts(tagged: DataFrame, profile: Profile) -> DataFrame:

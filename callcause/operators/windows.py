@@ -11,6 +11,8 @@ from callcause.operators.cuts import Cuts, find_cuts, order_of, position
 from callcause.operators.sequence import NextKnown, Previous, RunningSum, scan, time_slice
 from callcause.profile import Profile
 
+Keep = Callable[[DataFrame], DataFrame] | None
+
 NUMBER = "Failed_Event_Number"
 KIND = "Failed_Event_Type"
 START = "Event_Analysis_Start_Time"
@@ -44,7 +46,7 @@ def failure_windows(events: DataFrame, profile: Profile) -> DataFrame:
 
 def window_rows(windows: DataFrame, rows: DataFrame, profile: Profile, how: str = "inner",
                 start: str = START, end: str = END,
-                keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                keep: Keep = None) -> DataFrame:
     """Rows with ``start <= time <= end``, both ends included, next to their window.
 
     Every window is spread over the time slices it touches and meets the rows of
@@ -97,7 +99,7 @@ def _in_parts(spread: DataFrame, dense: Cuts, start: str, end: str) -> DataFrame
 
 
 def event_messages(events: DataFrame, profile: Profile,
-                   keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                   keep: Keep = None) -> DataFrame:
     """All call events inside each window, from its first marker to the failure."""
     windows = failure_windows(events, profile)
     return window_rows(keep(windows) if keep else windows, events, profile, "left", keep=keep)
@@ -111,7 +113,7 @@ def window_rows_keyed(windows: DataFrame, rows: DataFrame, profile: Profile, how
 
 def _joined(windows: DataFrame, spread: DataFrame, probes: DataFrame, on: Sequence[str],
             profile: Profile, how: str, start: str, end: str,
-            keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+            keep: Keep = None) -> DataFrame:
     time = profile.columns.time
     foreign = [key for key in profile.keys if key not in profile.join_keys]
     inside = F.col(time).between(F.col(start), F.col(end))

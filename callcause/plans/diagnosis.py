@@ -86,7 +86,8 @@ def joined_facts(tables: ProbeTables, profile: Profile,
 
     ``keep`` stores the windows and the signalling rows inside them, which
     several branches use, and the facts that the radio pass joins to, so that the
-    planner knows their size. None leaves all to be recomputed.
+    planner knows their size; with ``max_slice_rows`` each table's time slices
+    are counted. None leaves all to be recomputed.
     """
     key = list(profile.event_key)
     if keep is None:
@@ -95,12 +96,12 @@ def joined_facts(tables: ProbeTables, profile: Profile,
         facts = windows.join(G.signalling_facts(tagged, profile), key, "left")
     else:
         windows = keep(failure_windows(tables.events, profile))
-        tagged = keep(G.tagged_signalling(windows, tables.signalling, profile))
+        tagged = keep(G.tagged_signalling(windows, tables.signalling, profile, keep))
         facts = keep(windows.join(G.signalling_facts(tagged, profile), key, "left"))
         profile = profile.sized(tagged, keep, profile.event_key)
-    facts = R.radio_facts(facts, tables.measurements, profile)
+    facts = R.radio_facts(facts, tables.measurements, profile, keep)
     branches = [
-        access.rach_facts(windows, tables.rach, profile),
+        access.rach_facts(windows, tables.rach, profile, keep),
         handover.pingpong_windows(tagged, profile).withColumn("Pingpong", F.lit(True)),
         reference_columns(windows, tables.events, profile),
     ]
@@ -109,7 +110,7 @@ def joined_facts(tables: ProbeTables, profile: Profile,
         # cell; v2 asks for nothing else, v1 leaves out evidence of such windows.
         branches.append(handover.handover_success(tagged, profile).withColumn("Handed_Over", F.lit(True)))
     if profile.version == "v2" and tables.physical is not None:
-        branches.append(R.bler_facts(windows, tables.physical, profile))
+        branches.append(R.bler_facts(windows, tables.physical, profile, keep))
     for branch in branches:
         facts = facts.join(branch, key, "left")
     return facts

@@ -164,6 +164,11 @@ def test_jobs_read_and_write(spark, stored, tmp_path, monkeypatch):
     row = spark.read.parquet(str(tmp_path / "drop")).first()
     assert row.Analysis == "Poor RF condition"
     assert row.Failed_Event_Number == 1 and row.NR5G_PCC_RSRP_Avg == -120.0
+    for _ in range(2):  # the second run rewrites the same days
+        jobs.main(["drop", "--tables", stored, "--out", str(tmp_path / "days"), "--services", "DL,UL", "--by-day"])
+    days = spark.read.parquet(str(tmp_path / "days"))
+    assert days.drop("Failure_Day").exceptAll(spark.read.parquet(str(tmp_path / "drop"))).count() == 0
+    assert days.count() == spark.read.parquet(str(tmp_path / "drop")).count() > 0
     # v1 has no use for block errors, and the table may be missing.
     shutil.move(os.path.join(stored, "PHYDL_NR"), str(tmp_path / "away"))
     jobs.main(["drop-v1", "--tables", stored, "--out", str(tmp_path / "v1"), "--text-times", "--format", "csv"])
