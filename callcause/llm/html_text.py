@@ -23,9 +23,9 @@ from callcause.llm.common import Kept, map_batches, without
 
 # A subtree is template when it stands beside this many different articles of its host.
 TEMPLATE_PAGES = 10
-# Prose of an article (_PROSE) needs this many times as many; prose of fewer than SHORT characters, which recurs by
-# chance (cells, list items), must also stand in over half of the host's different articles.
-PROSE_TIMES, SHORT = 2, 24
+# Prose of an article (_PROSE) needs this many times as many, and over half of the host's different articles: what a
+# few articles of a large host share is no template.
+PROSE_TIMES = 2
 # Bits of the filter that tells most pages which lose nothing by the counts.
 _FILTER_BITS = 2**27
 RESULTS = ("text", "n_chars")
@@ -40,8 +40,6 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
            "wbr", "img", "ruby", "rb", "rt", "rp", "label", "input", "button", "select"}
 # Blocks that are prose: inside an article they are taken for template only on more evidence.
 _PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "tr", "tbody", "figcaption"}
-# How much evidence a subtree needs.
-_FRAME, _PROSE_LINE, _SHORT_LINE = range(3)
 # Classes and ids that name no part of an article, as whole words; and those of talk about it, which may be longer than it.
 _NAMES = re.compile(
     r"ad|ads|adv|advert[a-z]*|banner|sponsor[a-z]*|promo[a-z]*|cookies?|cookieconsent|consent|gdpr|notices?|alert|sidebar|menu|"
@@ -51,7 +49,7 @@ _TALK = re.compile(r"comments?|disqus|replies")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu",
           "menubar", "toolbar", "form"}
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
+    r"<!---?>|<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # What an opening tag closes, and where the search for it stops.
@@ -103,7 +101,7 @@ class _Open:
 
 
 class Page:
-    """One parsed page: blocks of its main part, the subtrees over them as (print, kind, first, end), and the prints to count."""
+    """One parsed page: blocks of its main part, the subtrees over them as (print, prose, first, end), and the prints to count."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, tuple[bool, bool]]] = []
@@ -235,10 +233,9 @@ class Page:
     def _finish(self) -> None:
         self._by_name()
         shown = [not dropped and (main or not self._any_main) for _, (main, dropped) in self.blocks]
-        sizes, room, place = [0], [0], [0]  # before each block: characters shown, all characters, blocks shown
+        sizes, place = [0], [0]  # before each block: characters shown, blocks shown
         for (text, _), here in zip(self.blocks, shown):
             sizes.append(sizes[-1] + len(text) * here)
-            room.append(room[-1] + len(text))
             place.append(place[-1] + here)
         counted, self.inside = set(), []
         for tree in self._subtrees:  # inner ones first
@@ -253,36 +250,33 @@ class Page:
             if 2 * size <= sizes[-1]:
                 counted.add(print_)
             if size:
-                if not tree.main or tree.tag not in _PROSE:
-                    kind = _FRAME
-                else:
-                    kind = _SHORT_LINE if room[tree.last] - room[tree.first] < SHORT else _PROSE_LINE
-                self.inside.append((print_, kind, place[tree.first], place[tree.last]))
+                prose = tree.main and tree.tag in _PROSE
+                self.inside.append((print_, prose, place[tree.first], place[tree.last]))
         self.counted = sorted(counted)
         self.blocks = [block for block, here in zip(self.blocks, shown) if here]
         self.article = xxhash.xxh3_64_intdigest("\n".join(text for text, _ in self.blocks)) - 2**63
 
 
-_INSIDE = pa.list_(pa.struct([("print", pa.int64()), ("kind", pa.int32()), ("first", pa.int32()), ("end", pa.int32())]))
+_INSIDE = pa.list_(pa.struct([("print", pa.int64()), ("prose", pa.bool_()), ("first", pa.int32()), ("end", pa.int32())]))
 _PRINTS = [T.StructField("_counted", T.ArrayType(T.LongType())),
            T.StructField("_inside", T.ArrayType(T.StructType([
-               T.StructField("print", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("kind", "first", "end")]]))),
+               T.StructField("print", T.LongType()), T.StructField("prose", T.BooleanType()),
+               *[T.StructField(n, T.IntegerType()) for n in ("first", "end")]]))),
            T.StructField("_article", T.LongType())]
 _BLOCKS = [T.StructField("_blocks", T.ArrayType(T.StringType()))]
 
 
 def _prints_of(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     pages = [Page(source or "") for source in batch.column("_html").to_pylist()]
-    names = ("print", "kind", "first", "end")
+    names = ("print", "prose", "first", "end")
     return {"_counted": pa.array([page.counted for page in pages], pa.list_(pa.int64())),
             "_inside": pa.array([[dict(zip(names, i)) for i in page.inside] for page in pages], _INSIDE),
             "_article": pa.array([page.article for page in pages], pa.int64())}
 
 
-def _blocks_of(pages: DataFrame, keep: list[str], chosen: np.ndarray, inside: bool) -> DataFrame:
+def _blocks_of(pages: DataFrame, names: list[str], chosen: np.ndarray, inside: bool) -> DataFrame:
     """Blocks of the pages whose bit in ``chosen`` is set, or of the others."""
-    fields = [*[f for f in pages.schema.fields if f.name in keep], *_BLOCKS]
-    names = [f.name for f in fields[:-1]]
+    fields = [*[pages.schema[n] for n in names], *_BLOCKS]
 
     def run(batches):
         for batch in batches:
@@ -315,14 +309,15 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", templat
     body if it has none. A null or empty html gives an empty text; pages without
     a url share the host "". Pages that repeat an article count once for the
     template, and a subtree that holds most of a page's text does not count
-    there. Input columns of the result's names give way to them.
+    there. Input columns of the result's names give way to them; others may have any name.
     """
     kept = Kept(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
     # Rows equal in url and html have equal texts; 128 bits of hash stand for both.
-    source = without(pages.withColumns({
-        "_html": F.col(html).cast("string"), "_host": host, "_p": F.xxhash64(url, html),
-        "_q": F.xxhash64(F.lit("second"), url, html)}), (html, *RESULTS))
+    stays = without(pages, (html, *RESULTS)).columns
+    source = pages.select(
+        F.struct(*[F.col(f"`{c}`") for c in stays]).alias("_row"), F.col(html).cast("string").alias("_html"), host.alias("_host"),
+        F.xxhash64(url, html).alias("_p"), F.xxhash64(F.lit("second"), url, html).alias("_q"))
     # Parsing runs once for the prints, which are kept, and once for the blocks, which are not.
     prints = kept.keep(map_batches(source, _prints_of, _PRINTS, keep=["_p", "_q", "_host"]), "prints")
     # Few rows: what recurs. A print stands beside each different article once.
@@ -331,24 +326,21 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", templat
                          .filter(F.col("n") >= template_pages), "recurring")
     articles = prints.select("_host", "_article").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("articles"))
     template = kept.keep(template.join(articles, "_host"), "template")
-    kind, many = F.col("_in.kind"), F.col("n") >= PROSE_TIMES * template_pages
-    enough = ((kind == _FRAME) | (kind == _PROSE_LINE) & many
-              | (kind == _SHORT_LINE) & many & (2 * F.col("n") > F.col("articles")))
+    prose_enough = (F.col("n") >= PROSE_TIMES * template_pages) & (2 * F.col("n") > F.col("articles"))
+    enough = ~F.col("_in.prose") | prose_enough
     # Only pages that lose blocks by the counts, each with at most as many ranges of blocks as it has elements.
     own = kept.keep(prints.select("_p", "_q", "_host", F.explode("_inside").alias("_in")).withColumn("_print", F.col("_in.print"))
                     .join(template, ["_host", "_print"]).filter(enough)
                     .groupBy("_p", "_q").agg(F.collect_set(F.struct("_in.first", "_in.end")).alias("_gone")), "own")
-    names = [c for c in source.columns if c not in ("_html", "_host", "_p", "_q")]
     # Pages that lose nothing are not shuffled; the others meet their ranges, which are as many, by a sort-merge join.
     chosen = _filter(own)
     left = F.filter("_blocks", lambda _, k: ~F.exists("_gone", lambda g: (g["first"] <= k) & (k < g["end"])))
-    some = (_blocks_of(source, [*names, "_p", "_q"], chosen, True).join(own.hint("merge"), ["_p", "_q"], "left")
+    some = (_blocks_of(source, ["_row", "_p", "_q"], chosen, True).join(own.hint("merge"), ["_p", "_q"], "left")
             .withColumn("_blocks", F.when(F.col("_gone").isNull(), F.col("_blocks")).otherwise(left)))
-    rest = _blocks_of(source, names, chosen, False)
-    return (some.select(*names, "_blocks").union(rest.select(*names, "_blocks"))
-            .select(*names, F.array_join("_blocks", " ").alias("text"))
-            .withColumn("n_chars", F.char_length("text").cast("long")))
+    rest = _blocks_of(source, ["_row"], chosen, False)
+    found = some.select("_row", "_blocks").union(rest).withColumn("_text", F.array_join("_blocks", " "))
+    return found.select("_row.*", F.col("_text").alias("text"), F.char_length("_text").cast("long").alias("n_chars"))
 
 
 def query(pages: DataFrame) -> DataFrame:
-    return extract_text(pages).select("page_id", "url", "text", "n_chars")
+    return extract_text(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+from random import Random
 
 import pytest
 
@@ -32,6 +33,7 @@ def text_of(source):
     ("<article></article><p>outside</p>", ""),
     ("<main><p>m</p></main><article><p>a</p></article>", "m a"),
     ("<script>never closed <p>x", ""),
+    ("<p>a</p><!-- b --!><p>c</p><!--> d <!---> e", "a c d e"),
 ])
 def test_pages(source, text):
     assert text_of(source) == text
@@ -116,6 +118,55 @@ def test_known_template_goes_where_it_is_most_of_a_page(spark):
     assert texts_of(spark, [*pages, f"<article><p>brief</p>{note}</article>"])[12] == "brief"
 
 
+@pytest.mark.parametrize("size", [300, 3_000])
+def test_a_line_that_some_articles_share_stays_on_hosts_of_any_size(spark, size):
+    line = "The council met again on the first evening of the month"
+    sources = [f"<article><h1>head {k}</h1><p>story {k} with some words of its own that no other page has, {k}</p>"
+               + (f"<p>{line}</p>" if k % 8 == 0 else "") + "</article>" for k in range(size)]
+    found = texts_of(spark, sources)
+    assert sum(text.endswith(line) for text in found.values()) == -(-size // 8)
+
+
+def test_counts_against_brute_force(spark):
+    """Flat articles: a line goes by the number and the share of its host's different articles, a box by the number."""
+    random = Random(5)
+    sources, parts = {}, {}
+    for host, size in (("a", 30), ("b", 60), ("c", 9)):
+        lines = [(tag, f"{tag} {k} of host {host}") for tag in ("p", "li", "div") for k in range(6)]
+        for k in range(size):
+            own = ("p", f"story {k} of {host}, " + "longer than all the lines that it shares with other pages " * 12)
+            parts[host, k] = [own, *[line for i, line in enumerate(lines) if random.random() < (i % 6 + 1) / 7]]
+            sources[host, k] = "<article>" + "".join(f"<{tag}>{text}</{tag}>" for tag, text in parts[host, k]) + "</article>"
+    rows = [(n, f"http://{host}/{k}", sources[host, k]) for n, (host, k) in enumerate(sources)]
+    rows += [(len(rows) + n, f"http://a/again/{n}", sources["a", 0]) for n in range(40)]
+    parts |= {("again", n): parts["a", 0] for n in range(40)}
+    beside, articles = {}, {}
+    for (_, url, source), blocks in zip(rows, parts.values()):
+        host = url.split("/")[2]
+        articles.setdefault(host, set()).add(source)
+        for block in blocks:
+            beside.setdefault((host, block), set()).add(source)
+
+    def stays(host, block):
+        n = len(beside[host, block])
+        return n < 10 if block[0] == "div" else n < 20 or 2 * n <= len(articles[host])
+
+    found = {r["page_id"]: r["text"] for r in html_text.query(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    gone = 0
+    for (page, url, _), blocks in zip(rows, parts.values()):
+        left = [text for tag, text in blocks if stays(url.split("/")[2], (tag, text))]
+        gone += len(blocks) - len(left)
+        assert found[page] == " ".join(" ".join(left).split())
+    assert gone > 100
+
+
+def test_input_columns_of_any_name(spark):
+    names = ["_row", "_p", "_q", "_host", "_html", "_blocks", "_text", "_gone", "a.b"]
+    pages = spark.createDataFrame([(1, "http://h/", "<p>x</p>", *names)], ["page_id", "url", "html", *names])
+    row = html_text.extract_text(pages).collect()[0].asDict()
+    assert row == {"page_id": 1, "url": "http://h/", "text": "x", "n_chars": 1} | {n: n for n in names}
+
+
 def test_odd_tables(spark):
     rows = [(None, None, None, "old"), (1, "u", "", "old"), (1, "u", "", "old"), (2, "http://x/", "<p>" + "long " * 200_000, "old")]
     docs = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
