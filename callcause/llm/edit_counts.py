@@ -168,7 +168,7 @@ class Change:
         """Take the encoding over, if a pre-token begins at the border; else ask for more."""
         document, tree = self.document, self.document.tree
         document.encoded += len(piece)
-        if cut is None:  # characters that only the library knows: one leaf for all
+        if cut is None:  # the special token, which only the library cuts: one leaf for all
             tokens = len(vocab.library_ids(document.text))
             document.encoded += len(document.text) - len(piece)
             document.tree = Tree(np.array([len(document.text)]), np.array([tokens]))

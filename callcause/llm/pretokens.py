@@ -1,10 +1,11 @@
 """Byte-level BPE of whole batches: texts are cut into pre-tokens by array operations, and each distinct
 pre-token is encoded once.
 
-The cuts follow the tokenizer's pattern for characters below U+0240. Texts with
-others, with non-ASCII white space, or with the special token go to the
-tokenizers library as a whole. So do all texts if the vocabulary file is of
-another make than the cuts are written for.
+The cuts follow the tokenizer's pattern for characters of all alphabets; the
+tokenizers library itself says what kind a character from U+0240 on is, when it
+is first seen. Texts with the special token, and bytes that are no UTF-8, go to
+the library as a whole. So do all texts if the vocabulary file is of another
+make than the cuts are written for.
 """
 
 from __future__ import annotations
@@ -40,10 +41,46 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+_UNSEEN = 255
+_BYTE_LEVEL = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+
+
+class _Wide:
+    """Kinds of the characters from U+0240 on, each asked of the tokenizers library once."""
+
+    def __init__(self):
+        self.kinds = np.full(0x110000, _UNSEEN, np.uint8)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        for point in np.unique(points[self.kinds[points] == _UNSEEN]).tolist():
+            # One pre-token with a neighbour means of its kind; white space makes one with none of these.
+            joins = (kind for kind, before in ((_LETTER, "a"), (_NUMBER, "1"), (_OTHER, "!"))
+                     if len(_BYTE_LEVEL.pre_tokenize_str(before + chr(point))) == 1)
+            self.kinds[point] = next(joins, _SPACE)
+        return self.kinds[points]
+
+
+_WIDE = _Wide()
+
+
+def _wide_kinds(data: np.ndarray, kind: np.ndarray) -> None:
+    """Set the kinds of characters of three and four bytes, and of those of two from U+0240 on, at all their bytes."""
+    leads = np.flatnonzero(data >= 0xC9)
+    size = 2 + (data[leads] >= 0xE0) + (data[leads] >= 0xF0).astype(np.int64)
+    for n in (2, 3, 4):
+        at = leads[size == n]
+        if not len(at):
+            continue
+        point = data[at].astype(np.int64) & (0x7F >> n)
+        for k in range(1, n):
+            point = point << 6 | data[at + k] & 0x3F
+        found = _WIDE.of(point)
+        for k in range(n):
+            kind[at + k] = found
 
 
 def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the pre-tokens of texts end to end begin. Characters must be below U+0240, white space ASCII."""
+    """Where the pre-tokens of texts end to end begin. The bytes of each text must be UTF-8."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
@@ -52,6 +89,8 @@ def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lead = lead[lead + 1 < n]
     wide = ((data[lead].astype(np.int64) & 0x1F) << 6) | (data[lead + 1] & 0x3F)
     kind[lead] = kind[lead + 1] = _CLASS[np.minimum(wide, 0x23F)]
+    if len(lead) and data[lead].max() >= 0xC9:
+        _wide_kinds(data, kind)
     first = offsets[:-1][offsets[1:] > offsets[:-1]]
     is_first = np.zeros(n, bool)
     is_first[first] = True
@@ -62,7 +101,10 @@ def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     # A last space before a word belongs to it; other white space before a word stands alone.
     after_space = np.flatnonzero(start & (kind != _SPACE) & ~is_first)
     after_space = after_space[kind[after_space - 1] == _SPACE]
-    start[after_space - 1] = True
+    last = after_space - 1
+    for _ in range(2):  # white space of two or three bytes
+        last = last - ((data[last] & 0xC0) == 0x80)
+    start[last] = True
     start[after_space[data[after_space - 1] == 0x20]] = False
     # An apostrophe that begins a pre-token takes the letters of a contraction.
     marks = np.flatnonzero((data == 0x27) & start)
@@ -148,14 +190,12 @@ class Vocabulary:
         rows = len(offsets) - 1
         if not self.fast:
             return np.arange(rows)
-        bad = [np.flatnonzero(data >= 0xC9)]
-        lead = np.flatnonzero(data == 0xC2)
-        lead = lead[lead + 1 < len(data)]
-        bad.append(lead[(data[lead + 1] == 0x85) | (data[lead + 1] == 0xA0)])
-        marked = np.flatnonzero(data == 0x7C)  # the second byte of the special token
-        if len(marked):
-            bad.append(np.array([m.start() for m in re.finditer(re.escape(SPECIAL.encode()), data.tobytes())], np.int64))
-        return np.unique(hashing.doc_of(offsets, np.concatenate(bad)))
+        raw = data.tobytes()
+        bad = [np.array(_not_utf8(data, raw, offsets), np.int64)]
+        if b"|" in raw:  # the second byte of the special token
+            marks = np.array([m.start() for m in re.finditer(re.escape(SPECIAL.encode()), raw)], np.int64)
+            bad.append(hashing.doc_of(offsets, marks))
+        return np.unique(np.concatenate(bad))
 
     def _remember(self, piece: bytes) -> int:
         ids = self._merger.encode_ordinary(piece.decode())
@@ -230,6 +270,26 @@ class Vocabulary:
         return self.strings.join(ids), sizes[offsets]
 
 
+def _not_utf8(data: np.ndarray, raw: bytes, offsets: np.ndarray) -> list[int]:
+    """Texts whose bytes are no UTF-8."""
+    if raw.isascii():
+        return []
+    first = offsets[:-1][offsets[1:] > offsets[:-1]]
+    if not ((data[first] & 0xC0) == 0x80).any():
+        try:
+            raw.decode()
+            return []
+        except UnicodeDecodeError:
+            pass
+    found = []
+    for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        try:
+            raw[a:b].decode()
+        except UnicodeDecodeError:
+            found.append(row)
+    return found
+
+
 def without_rows(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts that are not in ``rows``, end to end, and their numbers."""
     stay = np.setdiff1d(np.arange(len(offsets) - 1), rows)

@@ -55,6 +55,18 @@ def test_shared_passages_are_encoded_once(mixed):
     assert chunks.encoded < 0.2 * chunks.asked
 
 
+@pytest.mark.parametrize("mark", ["\u2019s", " \u2014 ", " Привет, мир", "日本。", "\u3000", "😀"])
+def test_chunks_of_all_alphabets(mixed, mark):
+    chunks = chunk_bpe.Chunks(pretokens.Vocabulary(PATH))
+    text = mark.join([mixed[70][1], *(t for _, t in mixed[:40])])
+    raw = [(f"{k}{mark} " * k + text).encode() for k in range(20)]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    ids, counts = chunks.encode(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    assert chunks.encoded < 0.2 * chunks.asked
+    for r, mine in zip(raw, np.split(ids, np.cumsum(counts)[:-1])):
+        assert mine.tolist() == library(r.decode())
+
+
 def test_query_against_the_library(frame, mixed):
     found = {r[0]: tuple(r[1:]) for r in chunk_bpe.query(frame(mixed), PATH).collect()}
     assert len(found) == len(mixed)

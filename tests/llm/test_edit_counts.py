@@ -8,7 +8,7 @@ import pytest
 from callcause.llm import edit_counts, pretokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-BITS = [" the", " and", "'s", "'re", "'", "\n", "\n\n", "   ", " ", " \n", "12", " 345", "é", " Über", "!!", " ...", "a", "%%%", "\t", "ve", "l"]
+BITS = ["\u201c", "\u2019s", "\u3000", " мир", "日本", "😀", " the", " and", "'s", "'re", "'", "\n", "\n\n", "   ", " ", " \n", "12", " 345", "é", " Über", "!!", " ...", "a", "%%%", "\t", "ve", "l"]
 
 
 def library(text):
@@ -64,6 +64,17 @@ def test_exotic_characters_may_come_by_an_edit():
     assert int(document.tree.tokens[1]) == library(edited(text, [(100, 2, "日本"), (300, 0, "<|endoftext|>"), (5, 1, "x")]))
 
 
+@pytest.mark.parametrize("mark", ["\u2019s", "日本。", "\u00a0", "мир", "😀"])
+def test_surroundings_are_enough_in_all_alphabets(mark):
+    vocab = pretokens.vocabulary(PATH)
+    text = f"some words{mark} of a long text, " * 2000
+    tree = edit_counts.trees_of(vocab, [text.encode()])[0]
+    document = edit_counts.Document(text.encode(), tree, [(20_000, 3, f"new{mark} "), (10, 0, mark), (40_000, 1, "")])
+    edit_counts.apply_edits(vocab, [document])
+    assert document.encoded < 0.1 * len(text.encode())
+    assert int(document.tree.tokens[1]) == library(edited(text, document.edits))
+
+
 def test_only_the_surroundings_are_encoded():
     vocab = pretokens.vocabulary(PATH)
     text = "some words of a long text, " * 4000

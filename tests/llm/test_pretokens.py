@@ -12,7 +12,8 @@ from callcause.llm import pretokens
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = ["the", " and", "'s", "'re", "'LL", "''ll", "'", " '", " 've", "'vex", "\n", "\n\n", "  ", "   x", "\t", " \n", "12", " 345", "½",
           "é", "ß", " Über", "!!", " ...", "a'b", "'d'm", "x's's", "%%%", "|", "<|endoftext|>", " ", "\u0085", "日本", " ",
-          "á", "ǅ", "\x00", "\x1c", "\x1c \x1d", "…"]
+          "á", "ǅ", "\x00", "\x1c", "\x1c \x1d", "…", "\u201cquoted\u201d", "don\u2019t", "\u2014", " \u2014 ", "Привет", " мир", "'ж", "'sж",
+          "\u3000", "\u2003x", "\u2028", " \u3000", "\u3000 ", "٣٤", " Ⅷ", "e\u0301", "😀", " 👩\u200d👧", "\ufeff", "𝒜x", "हिन्दी", "한국", "\u1680!"]
 
 
 def texts(items):
@@ -42,6 +43,26 @@ def test_every_character_below_the_limit():
     check([f"{a}{chr(p)}{b}" for p in range(0x300) for a in ("", "x", " ", "'") for b in ("", "y", " z", "s")])
 
 
+def test_every_character_of_many_blocks():
+    points = [p for p in range(0x240, 0x110000) if not 0xD800 <= p < 0xE000]
+    check([f"a{chr(p)} {chr(p)}1 b{chr(p)}{chr(p)} {chr(p)}c '{chr(p)}s'" for p in [*points[:0x3000], *points[0x3000::97]]])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=30), max_size=6))
+def test_any_texts_of_all_alphabets(items):
+    check([t for t in items])
+
+
+def test_bytes_that_are_no_text():
+    vocabulary = pretokens.vocabulary(PATH)
+    raw = [b"fine \xe2\x80\x99s", b"cut \xe2\x80", b"\x99 off", "日本".encode(), b"\xff"]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    ids, counts = vocabulary.encode(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    for r, mine in zip(raw, np.split(ids, np.cumsum(counts)[:-1])):
+        assert mine.tolist() == vocabulary.library.encode(r.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet=st.characters(codec="utf-8", max_codepoint=0x260), max_size=30), max_size=6))
 def test_any_texts(items):
