@@ -22,9 +22,11 @@ import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame, functions as F, types as T
+from sentencepiece import sentencepiece_model_pb2
 
 from callcause.llm.common import Kept, doc_batches, lists, without
-from callcause.llm.pretokens import Vocabulary
+from callcause.llm.hashing import doc_of
+from callcause.llm.pretokens import Vocabulary, distinct_words, joined, without_rows
 
 # Fixed value: how byte-level vocabularies of this make cut a text before they merge.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,6 +37,8 @@ PARTIAL = 500_000
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 # Bytes of text, and tokens, that go through the array steps at once; a longer text is a step of its own.
 _STEP, _TOKENS = 500_000, 150_000
+# Distinct words that the tokenizers get at once, and those that a task remembers.
+_LOT, REMEMBERED = 500, 200_000
 _SHIFT = 32
 _LOW = np.int64((1 << _SHIFT) - 1)
 
@@ -88,8 +92,105 @@ def _sizes(a_path: str, b_path: str) -> tuple[pa.Array, pa.Array]:
             pc.cast(pc.binary_length(_piece_tokens(b_path)[1]), pa.int64()))
 
 
+@functools.lru_cache(maxsize=2)
+def _by_words(a_path: str, b_path: str) -> bool:
+    """Whether no token of either tokenizer reaches from a word into a space behind it, and texts are taken as they are."""
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(_piece_tokens(b_path)[0].serialized_model_proto())
+    norm = spec.normalizer_spec
+    plain = (norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces
+             and not norm.precompiled_charsmap and not norm.normalization_rule_tsv
+             and not spec.denormalizer_spec.precompiled_charsmap)
+    return bool(plain and spec.trainer_spec.model_type == spec.trainer_spec.BPE and not spec.trainer_spec.treat_whitespace_as_suffix
+                and not any("▁" in p.piece.lstrip("▁") for p in spec.pieces) and _byte_tokens(a_path).merger is not None)
+
+
 def _encode(data: np.ndarray, offsets: np.ndarray, a_path: str, b_path: str) -> tuple[pa.Array, pa.Array]:
-    """Ids by both tokenizers, as lists; without any for texts that are empty or come back otherwise."""
+    """Ids by both tokenizers, as lists; without any for texts that are empty or come back otherwise.
+
+    Texts are cut at single spaces, and each distinct word is encoded once, while it is remembered. Texts with other runs of
+    white space around a space, or with words that do not come back, are encoded whole.
+    """
+    if not _by_words(a_path, b_path):
+        return _encode_whole(data, offsets, a_path, b_path)
+    words, numbers, bounds = distinct_words(data, offsets)
+    known = _known_words(a_path, b_path)
+    numbers = known.look_up(words)[numbers]
+    a_words, b_words = known.lists
+    odd = a_words.value_lengths().to_numpy() == 0
+    whole = np.unique(doc_of(bounds, np.flatnonzero(odd[numbers])))
+    if not len(whole):
+        return _texts_of(a_words, numbers, bounds), _texts_of(b_words, numbers, bounds)
+    again = _encode_whole(*without_rows(data, offsets, np.setdiff1d(np.arange(len(offsets) - 1), whole))[:2], a_path, b_path)
+    stays = ~np.isin(doc_of(bounds, np.arange(len(numbers))), whole)
+    rest = np.setdiff1d(np.arange(len(offsets) - 1), whole)
+    rest_bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[rest])])
+    order = pa.array(np.argsort(np.concatenate([rest, whole]), kind="stable"))
+    return tuple(pc.take(pa.concat_arrays([_texts_of(of_words, numbers[stays], rest_bounds), of_texts]), order)
+                 for of_words, of_texts in zip((a_words, b_words), again))
+
+
+class _Words:
+    """Words that were encoded before, at most REMEMBERED (or those of one step); beyond it the memory starts anew."""
+
+    def __init__(self, a_path: str, b_path: str):
+        self.paths = a_path, b_path
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.lists = [pa.array([], pa.list_(pa.int32())) for _ in range(2)]
+
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct words; those that are new are encoded."""
+        new = [w for w in words if w not in self.slots]
+        if len(self.slots) + len(new) > REMEMBERED:
+            self.clear()
+            new = words
+        if new:
+            self.lists = [pa.concat_arrays(pair) for pair in zip(self.lists, _encode_words(new, *self.paths))]
+            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
+        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+
+
+@functools.lru_cache(maxsize=2)
+def _known_words(a_path: str, b_path: str) -> _Words:
+    return _Words(a_path, b_path)
+
+
+def _texts_of(of_words: pa.ListArray, numbers: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """Lists of texts from those of their words."""
+    found = pc.take(of_words, pa.array(numbers))
+    return pa.ListArray.from_arrays(pc.take(found.offsets, pa.array(bounds)), found.values)
+
+
+def _encode_words(words: list[bytes], a_path: str, b_path: str) -> tuple[pa.Array, pa.Array]:
+    """Ids of a space and each word; without any for words that are empty, begin with white space or come back otherwise.
+
+    Many words go to the tokenizers at once, and their tokens are told apart by their byte ends.
+    """
+    plain = np.flatnonzero([bool(w) and not w[:4].decode("utf-8", "ignore")[:1].isspace() for w in words])
+    lots = [plain[low:low + _LOT] for low in range(0, len(plain), _LOT)]
+    a, b = _encode_whole(*joined([b" ".join([words[k] for k in lot.tolist()]) for lot in lots]), a_path, b_path)
+    bad = a.value_lengths().to_numpy() == 0
+    good = np.concatenate([np.zeros(0, np.int64), *[lot for lot, x in zip(lots, bad) if not x]])
+    apart = np.setdiff1d(plain, good)
+    again = _encode_whole(*joined([words[k] for k in apart.tolist()]), a_path, b_path)
+    ends = np.cumsum([len(words[k]) + 1 for k in good.tolist()], dtype=np.int64)
+    order = np.full(len(words), len(good) + len(apart))
+    order[good], order[apart] = np.arange(len(good)), len(good) + np.arange(len(apart))
+    found = []
+    for lists_, sizes, apart_lists in zip((a, b), _sizes(a_path, b_path), again):
+        flat = pc.list_flatten(lists_)
+        cuts = np.searchsorted(np.cumsum(pc.take(sizes, flat).to_numpy()), ends) + 1
+        of_good = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts]).astype(np.int32)), flat)
+        none = pa.array([[]], pa.list_(pa.int32()))
+        found.append(pc.take(pa.concat_arrays([of_good, apart_lists, none]), pa.array(order)))
+    return found[0], found[1]
+
+
+def _encode_whole(data: np.ndarray, offsets: np.ndarray, a_path: str, b_path: str) -> tuple[pa.Array, pa.Array]:
+    """The same, each text as a whole."""
     vocab, (model, pieces) = _byte_tokens(a_path), _piece_tokens(b_path)
     raw = data.tobytes()
     plain = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])]

@@ -1,14 +1,18 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
 
 from callcause.llm import alignment as A
+from callcause.llm.common import doc_batches
 from callcause.llm.queries import PIECES, VOCABULARY
 
 
@@ -85,3 +89,26 @@ def test_odd_tables(spark, frame):
     assert found.columns == ["doc_id", *A.RESULTS]
     assert sorted((r["doc_id"] or 0, r["n_a"], r["groups"]) for r in found.collect())[0] == (0, 0, "")
     assert A.query(frame([]), VOCABULARY, PIECES).count() == 0
+
+
+def test_words_are_encoded_once_and_texts_of_odd_words_whole(monkeypatch):
+    rng = random.Random(12)
+    bits = [" ", "  ", "a", "b c", " the", "\n", "\t", "é", "日本", " ", "　", "▁", "<0x0A>", "<s>", "<|endoftext|>", "'s", "12",
+            "!!", "\x1c", "́", "😀", " \n", "\n ", " x", "word "]
+    rows = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(3000)] + [None, "", "plain words " * 300]
+    calls, whole = [], A._encode_whole
+    expected = [whole(data, offsets, VOCABULARY, PIECES) for data, offsets, _, _ in doc_batches(pa.array(rows), 20_000)]
+
+    def counted(data, offsets, *paths):
+        calls.append(len(data))
+        return whole(data, offsets, *paths)
+
+    monkeypatch.setattr(A, "_encode_whole", counted)
+    monkeypatch.setattr(A, "REMEMBERED", 500)
+    A._known_words.cache_clear()
+    found = [A._encode(data, offsets, VOCABULARY, PIECES) for data, offsets, _, _ in doc_batches(pa.array(rows), 20_000)]
+    assert [[side.to_pylist() for side in pair] for pair in found] == [[side.to_pylist() for side in pair] for pair in expected]
+    calls.clear()
+    text = np.frombuffer(b"several plain words, " * 1000, np.uint8)
+    A._encode(text[:-1], np.array([0, len(text) - 1]), VOCABULARY, PIECES)
+    assert sum(calls) < 100
