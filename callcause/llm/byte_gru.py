@@ -25,7 +25,9 @@ TRAIN_CHARS = 300
 EPOCHS, BATCH = 30, 256
 UNKNOWN = "und"
 RESULTS = ("lang_pred", "score")
-_LANES = 4_096
+_LANES = 1_024
+# Bytes of text that go through the array steps at once; a longer text is a step of its own.
+_STEP = 250_000
 _BUCKETS = 1_000_003
 
 
@@ -250,7 +252,7 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text") -> Da
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        found = [network.pooled(data, offsets) for data, offsets, _, _ in doc_batches(batch.column("_read"), 1_000_000)]
+        found = [network.pooled(data, offsets) for data, offsets, _, _ in doc_batches(batch.column("_read"), _STEP)]
         means = np.concatenate(found)
         best = means.argmax(axis=1)
         known = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)

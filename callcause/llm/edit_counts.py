@@ -23,6 +23,8 @@ LEAF = 128
 SWOLLEN = 4
 # Bytes left of an edit that may decide a boundary: two characters, with room to spare.
 CONTEXT = 16
+# Bytes of text that go through the array steps at once; a longer text is a step of its own.
+_STEP = 250_000
 _TREE = [T.StructField("tree_bytes", T.ArrayType(T.LongType())), T.StructField("tree_tokens", T.ArrayType(T.LongType()))]
 RESULTS = ("n_tokens", "n_edits", "n_tokens_after", "bytes_encoded", "tree_bytes", "tree_tokens")
 
@@ -207,7 +209,7 @@ def build_trees(docs: DataFrame, path: str, text: str = "text", id_column: str =
     """One row per input row: its id, ``_text`` (hash of the text), tree_bytes and tree_tokens (heaps, the root at 1)."""
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         trees = []
-        for data, offsets, _, _ in doc_batches(batch.column("_read"), 1_000_000):
+        for data, offsets, _, _ in doc_batches(batch.column("_read"), _STEP):
             raw = data.tobytes()
             trees += trees_of(vocabulary(path), [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])])
         return {"tree_bytes": pa.array([t.bytes for t in trees], pa.list_(pa.int64())),

@@ -35,7 +35,7 @@ BANDS, ROWS = 25, 5
 MISS = 1e-6
 BLOCK = 1_024
 RESULTS = ("n_shingles", "component_id", "kept")
-_STEP = 1_000_000
+_STEP = 250_000
 _CONTENT = ("_id", "_text")
 
 # Words are runs of bytes that are no ASCII white space.
