@@ -82,3 +82,27 @@ def test_other_vocabularies_use_the_library(name):
     items = ["Some words here", "", "and é more"]
     ids, counts = vocabulary.encode(*texts(items))
     assert ids.tolist() == sum((vocabulary.library.encode(t, add_special_tokens=False).ids for t in items), [])
+
+
+def test_new_pretokens_are_merged_together(monkeypatch):
+    """The merger is called once for all new pre-tokens of a step, and apart only for those of several lines."""
+    vocabulary, calls = pretokens.Vocabulary(PATH), []
+    alone = type(vocabulary._merger)._encode_single_piece
+    monkeypatch.setattr(type(vocabulary._merger), "_encode_single_piece", lambda self, piece: calls.append(piece) or alone(self, piece))
+    items = [f"word{k} éa{k}!\n\n \u3000 x{k} 日本{k}" for k in range(300)] + ["\n\n\n", "a\nb", "\n"]
+    ids, counts = vocabulary.encode(*texts(items))
+    assert ids.tolist() == sum((vocabulary.library.encode(t, add_special_tokens=False).ids for t in items), [])
+    assert len(calls) == len(set(calls)) <= 6 and all(b"\n" in bytes(c) for c in calls)
+
+
+def test_frequent_pretokens_stay_remembered(monkeypatch):
+    monkeypatch.setattr(pretokens, "REMEMBERED", 40)
+    vocabulary, merged = pretokens.Vocabulary(PATH), []
+    remember = vocabulary._remember
+    monkeypatch.setattr(vocabulary, "_remember", lambda pieces: merged.extend(pieces) or remember(pieces))
+    for k in range(12):
+        items = [f"often again {' '.join(f'w{n}q' for n in range(20 * k, 20 * k + 20))}"]
+        ids, _ = vocabulary.encode(*texts(items))
+        assert ids.tolist() == vocabulary.library.encode(items[0], add_special_tokens=False).ids
+        assert vocabulary.known <= 40 + 63
+    assert merged.count(b"often") == merged.count(b" again") == 1
