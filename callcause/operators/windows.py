@@ -137,40 +137,49 @@ def with_empty_windows(windows: DataFrame, matched: DataFrame, profile: Profile)
 def window_rows_linear(events: DataFrame, rows: DataFrame, profile: Profile) -> DataFrame:
     """The inner form without an interval join: every row looks up the markers around it.
 
-    Windows of one key lie end to end, so a row belongs to windows that close on
-    the next marker instant at or after it and, on a marker instant itself, to
+    Windows of one key lie end to end, so a row belongs to the window that closes
+    on the next marker instant at or after it and, on a marker instant itself, to
     the window that opens there. Of the windows that close on one instant only
-    the first is longer than the instant. Each marker instant carries these few
-    windows, and a row takes those around it in one pass over the series.
+    the first is longer than the instant, so a marker instant carries two windows
+    at most, and a row takes those around it in one pass over the series. Windows
+    of one instant, of which there may be many, meet the rows of the same instant
+    in an equi join by key and time, where every pair is a row of the result.
 
     Where rows of other work orders may enter a window (``join_keys`` shorter
     than ``keys``), they first go to every series of their device that has
     windows: there is one open window in each at most, except on an instant.
+    Rows and events with a null key meet nothing.
     """
     time, keys = profile.columns.time, list(profile.keys)
     foreign = [key for key in keys if key not in profile.join_keys]
     own = [name for name in rows.columns if name not in (*keys, time)]
-    windows = failure_windows(events, profile).filter(F.col(END).isNotNull())
-    rows = rows.filter(F.col(time).isNotNull())
+    for key in keys:
+        events = events.filter(F.col(key).isNotNull())
+    for key in profile.join_keys:
+        rows = rows.filter(F.col(key).isNotNull())
+    windows = failure_windows(events, profile).filter(F.col(START) <= F.col(END))
+    rows = rows.filter(F.col(time).isNotNull()).drop(*foreign)
+    # Dealt by instant, where they would stay together by key, and into a fixed number of parts, as the planner merges parts by
+    # what they read and a few rows and windows make many pairs.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    instant = windows.filter(F.col(START) == F.col(END)).withColumn(time, F.col(END)).repartition(parts, *profile.join_keys, time)
+    within = rows.join(instant, [*profile.join_keys, time]).select(*keys, NUMBER, KIND, START, END, time, *own)
     if foreign:
-        series = windows.select(*keys).distinct()
-        rows = rows.drop(*foreign).join(series, list(profile.join_keys))
+        rows = rows.join(windows.select(*keys).distinct(), list(profile.join_keys))
     window = F.struct(NUMBER, KIND, START, END)
-    closing = windows.groupBy(*keys, F.col(END).alias(time)).agg(F.collect_list(window).alias("_closing"))
-    opening = windows.filter(F.col(START) < F.col(END)).select(*keys, F.col(START).alias(time), F.array(window).alias("_opening"))
-    instants = _marker_rows(events, profile).filter(F.col(time).isNotNull()).select(*keys, time).distinct()
-    around = instants.join(closing, [*keys, time], "left").join(opening, [*keys, time], "left")
+    none = F.lit(None)
+    ends = F.array(F.struct(F.col(END).alias(time), window.alias("_closing"), none.alias("_opening")),
+                   F.struct(F.col(START).alias(time), none.alias("_closing"), window.alias("_opening")))
+    longer = windows.filter(F.col(START) < F.col(END)).select(*keys, F.inline(ends))
+    instants = _marker_rows(events, profile).filter(F.col(time).isNotNull()).select(*keys, time)
+    around = (instants.unionByName(longer, allowMissingColumns=True).groupBy(*keys, time)
+              .agg(F.first("_closing", True).alias("_closing"), F.first("_opening", True).alias("_opening")))
     marked = around.select(*keys, time, F.lit(1).alias("_side"),
                            F.struct(F.col(time).alias("at"), "_closing", "_opening").alias("_around"))
     # An instant's markers stand after its rows, so that these find it as the next one.
     mixed = rows.withColumn("_side", F.lit(0)).unionByName(marked, allowMissingColumns=True)
     ahead = scan(mixed, replace(profile.series(), tie=("_side",), whole_instants=True), {"_next": NextKnown(F.col("_around"))})
-    none = F.array().cast(_WINDOWS)
-    closes = F.filter("_next._closing", lambda w: w[START].isNotNull() & (w[START] <= F.col(time)))
-    opens = F.when(F.col("_next.at") == F.col(time), F.col("_next._opening"))
-    found = F.concat(F.coalesce(closes, none), F.coalesce(opens, none))
-    return (ahead.filter(F.col("_side") == 0).withColumn("_window", F.explode(found))
-            .select(*keys, "_window.*", time, *own))
-
-
-_WINDOWS = f"array<struct<{NUMBER}:bigint,{KIND}:string,{START}:timestamp,{END}:timestamp>>"
+    found = F.array(F.col("_next._closing"), F.when(F.col("_next.at") == F.col(time), F.col("_next._opening")))
+    passed = (ahead.filter(F.col("_side") == 0).withColumn("_window", F.explode(found)).filter(F.col("_window").isNotNull())
+              .select(*keys, "_window.*", time, *own))
+    return passed.unionByName(within)

@@ -78,6 +78,28 @@ def test_linear_form_where_markers_share_instants(spark):
     assert found.select(joined.columns).exceptAll(joined).count() == 0 and joined.exceptAll(found.select(joined.columns)).count() == 0
 
 
+def test_linear_form_deals_crowded_instants(spark):
+    """Many windows and rows of one key on each of forty instants: no row carries the windows of its instant, and no task has all pairs."""
+    log = events(spark, [(t, text) for t in range(0, 400, 10) for text in (SETUP, *[DROP] * 30, END, *["Voice Drop"] * 5)])
+    probes = samples(spark, [(t - n % 2, n, 1, -100.0, 5.0) for t in range(0, 400, 10) for n in range(40)])
+    found = W.window_rows_linear(log, probes, P)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    joined = W.window_rows(W.failure_windows(log, P), probes, P)
+    assert joined.count() >= 40 * 20 * 34
+    assert found.select(joined.columns).exceptAll(joined).count() == 0 and joined.exceptAll(found.select(joined.columns)).count() == 0
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) < 0.7 * sum(tasks)
+
+
+def test_linear_form_without_keys(spark):
+    log = events(spark, [(0, SETUP, None), (5, DROP, None), (5, DROP, None), (0, SETUP, 1, None), (5, DROP, 1, None), (0, SETUP), (5, DROP), (5, DROP)])
+    probes = samples(spark, [(t, 1, 1, -100.0, 5.0, *key) for t in (3, 5) for key in ((None,), (1, None), (1, 1), (None, None))])
+    for profile, count in ((P, 3), (P.with_(join_keys=("Device",)), 6)):
+        joined = W.window_rows(W.failure_windows(log.filter("WorkOrderId is not null"), profile), probes, profile)
+        found = W.window_rows_linear(log, probes, profile)
+        assert found.count() == count and found.select(joined.columns).exceptAll(joined).count() == 0
+
+
 def test_a_dense_slice_is_spread_over_parts_and_shares(spark):
     """Two hundred thousand rows in one slice of one key, half of them on one instant."""
     rows = settle(spark.range(200_000).selectExpr(
